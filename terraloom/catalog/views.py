@@ -87,3 +87,8 @@ class Views:
     @cached_property
     def scenes(self) -> DataFrame:
         return self._view("scenes")
+
+    def sql(self, text: str) -> DataFrame:
+        """Input tables derived with SQL; ``{name}`` stands for a view."""
+        used = {n: self._view(n) for n in VIEW_SQL if "{" + n + "}" in text}
+        return self.spark.sql(text, **used)
