@@ -227,16 +227,26 @@ IRREGULAR = ([1, 1, 0, 1, 1, 1, 0, 1, 1], [0, 1, 1, 1, 1, 0, 1, 1, 1], [1, 0, 1,
 def irregular_open(df: DataFrame, mask: str, choice: Column, out: str = "opened") -> DataFrame:
     """Opening with one of three irregular elements, chosen per row by ``choice`` (0, 1 or 2).
 
-    Rows are true pixels of one region each; neighbours count only inside the same region, given by
-    ``region``. Erosion and dilation use the null border, so the outside never limits a region.
+    Rows are the true pixels of one region per ``scene_id`` value, with the image's last row and column
+    in ``row_end`` and ``col_end``. A missing neighbour inside the image is false; outside the image it
+    is ignored.
     """
+    offsets = [(i // 3 - 1, i % 3 - 1) for i in range(9)]
+
+    def outside(dr, dc):
+        r, c = F.col("pix_row") + dr, F.col("pix_col") + dc
+        return (r < 0) | (c < 0) | (r > F.col("row_end")) | (c > F.col("col_end"))
 
     def step(frame, value, grow):
         n = neighbourhood(frame, value, 1, "null", "_n")
         picked = None
         for k, element in enumerate(IRREGULAR):
             cells = element[::-1] if grow else element
-            vals = [F.coalesce(F.col("_n")[i], F.lit(0.0 if grow else 1.0)) for i, on in enumerate(cells) if on]
+            vals = []
+            for i, on in enumerate(cells):
+                if on:
+                    missing = F.lit(0.0) if grow else F.when(outside(*offsets[i]), 1.0).otherwise(0.0)
+                    vals.append(F.coalesce(F.col("_n")[i], missing))
             agg = F.greatest(*vals) if grow else F.least(*vals)
             picked = F.when(choice == k, agg) if picked is None else picked.when(choice == k, agg)
         return n.withColumn(value, picked).drop("_n")
