@@ -99,6 +99,7 @@ def incomplete_beta(a: Column, b: Column, x: Column) -> Column:
 
 def t_two_sided_p(t: Column, df: Column) -> Column:
     """Two-sided p of Student's t; from 20000 degrees of freedom on, through a normal transform."""
+    df = F.when(df > 0, df)  # undefined without degrees of freedom, also where a filter is evaluated early
     z = F.abs(t) * (1 - 1 / (4 * df)) / F.sqrt(1 + t * t / (2 * df))
     return F.when(df > 20000, two_sided_z_p(z)).otherwise(incomplete_beta(df / 2, F.lit(0.5), df / (df + t * t)))
 
