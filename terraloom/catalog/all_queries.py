@@ -1,4 +1,4 @@
 """Imports every query module so that all queries are registered."""
 
-from terraloom.catalog import coordinates, lidar, pixels, rasters, regions, scalars, spatial  # noqa: F401
+from terraloom.catalog import coordinates, evidence, lidar, pixels, rasters, regions, reports, scalars, spatial  # noqa: F401
 from terraloom.catalog.registry import ORACLES, QUERIES  # noqa: F401

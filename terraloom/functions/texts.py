@@ -47,9 +47,14 @@ def investigation_priority(conf: Column, area: Column, count: Column) -> Column:
     return text_ladder(investigation_points(conf, area, count), L.PRIORITY_TEXT, ">=")
 
 
+def fixed(x: Column, digits: int) -> Column:
+    """Decimal text with a fixed number of digits, ties rounded to even."""
+    return F.call_function("format_number", x, F.lit("0" if digits == 0 else "0." + "0" * digits))
+
+
 def percent(x: Column) -> Column:
     """Percentage with one decimal, as text."""
-    return F.concat(F.format_string("%.1f", x * 100), F.lit("%"))
+    return F.concat(fixed(x * 100, 1), F.lit("%"))
 
 
 def selection_reason(conf: Column, distance_m: Column, lidar: Column, combined: Column, det_type: Column) -> Column:
@@ -58,7 +63,7 @@ def selection_reason(conf: Column, distance_m: Column, lidar: Column, combined:
         F.when(_conf(conf) >= 0.5, F.concat(F.lit("High confidence ("), percent(conf), F.lit(")"))),
         F.when(
             distance_m.isNotNull(),
-            F.concat(F.lit("Multi-sensor convergence at "), F.format_string("%.0f", distance_m), F.lit("m")),
+            F.concat(F.lit("Multi-sensor convergence at "), fixed(distance_m, 0), F.lit("m")),
         ),
         F.when(lidar, "GEDI LiDAR support"),
         F.when(combined > _conf(conf), F.concat(F.lit("Enhanced combined confidence ("), percent(combined), F.lit(")"))),
