@@ -127,6 +127,8 @@ def _cell_edges(core: DataFrame, radius: float, closed: bool, by: list[str]) ->
     )
     cells = cut_lineage(cells)
     sure, undecided = cells.where("sure").select("src", "dst"), cells.where("NOT sure").select("src", "dst")
+    if undecided.isEmpty():
+        return sure
 
     side = _side(radius) / _SUB
     owned = core.join(ids.select(*cell, "id"), cell).select("id", "lon", "lat").withColumn(
@@ -140,6 +142,8 @@ def _cell_edges(core: DataFrame, radius: float, closed: bool, by: list[str]) ->
     )
     sub_pairs = cut_lineage(sub_pairs)
     sub_sure = sub_pairs.where("sure").select("src", "dst").distinct()
+    if sub_pairs.where("NOT sure").isEmpty():
+        return sure.unionByName(sub_sure)
     open_pairs = sub_pairs.where("NOT sure").join(sub_sure, ["src", "dst"], "left_anti")
     pa = open_pairs.join(
         owned.select(F.col("id").alias("src"), F.col("sub").alias("sa"), F.col("lon").alias("ax"), F.col("lat").alias("ay")), ["src", "sa"]
@@ -216,7 +220,7 @@ def leaders(points: DataFrame, key: str, radius: float, min_points: int = 1, by:
     live = cut_lineage(cand)
     d = geo.planar_deg(F.col("lon"), F.col("lat"), F.col("olon"), F.col("olat"))
     found = None
-    while live.limit(1).count():
+    while not live.isEmpty():
         offer = live.groupBy(*cell).agg(F.min(F.struct("k", "lon", "lat")).alias("o")).select(
             *cell, F.col("o.k").alias("ok"), F.col("o.lon").alias("olon"), F.col("o.lat").alias("olat")
         )
