@@ -7,7 +7,8 @@ from pyspark.sql import functions as F
 from terraloom.catalog.coordinates import MOVED, hav
 from terraloom.catalog.evidence import AGG, CAND, SCORES, SITES, dets, r, scores
 from terraloom.catalog.lidar import GAP_CL, GAP_EPS, MOUND_CL, MOUND_EPS, STATS as ASTATS
-from terraloom.catalog.pixels import PX
+from terraloom.catalog.pixels import INDEX_SQL, PX
+from terraloom.catalog.rasters import morph_sql
 from terraloom.catalog.registry import query
 from terraloom.catalog.regions import STATS, label_sql
 from terraloom.catalog.reports import ACTION, BREAK
@@ -40,13 +41,31 @@ WEAK = "SELECT scene_id, pix_row, pix_col, blue, green, red, red_edge_1 - 0.03E0
 WEAK_STATS = STATS.replace(label_sql("tp", "lb"), label_sql("tp", "lb", True)).replace("FROM pixels", "FROM wk_px").replace("JOIN pixels", "JOIN wk_px")
 
 
+CROP_STEPS = [("erode", 4), ("dilate", 4), ("dilate", 3), ("erode", 3), ("erode", 2), ("dilate", 2)]
+
+
+def crop_sql(name: str, kind: str, mask: str) -> str:
+    """CTEs ending in ``name``: scored crop-mark regions of one sign."""
+    ctes, last = morph_sql(f"{name}_b", CROP_STEPS, prefix=f"{name}_m")
+    return f"""{name}_b AS (SELECT scene_id, pix_row, pix_col, CAST({mask} AS INT) AS m FROM wk_px), {ctes}, {name}_t AS (SELECT scene_id, pix_row AS r, pix_col AS c FROM {last} WHERE m = 1), {label_sql(f'{name}_t', f'{name}_l')},
+    {name}_s AS (SELECT l.scene_id, comp_row, comp_col, count(*) AS n_px, count(*) * 100.0E0 AS area_m2, avg({INDEX_SQL['crop_mark']}) AS ci, avg(r) AS centre_row, avg(c) AS centre_col,
+      greatest(max(r) - min(r) + 1, max(c) - min(c) + 1) / least(max(r) - min(r) + 1, max(c) - min(c) + 1)::DOUBLE AS aspect FROM {name}_l l JOIN wk_px p ON p.scene_id = l.scene_id AND p.pix_row = l.r AND p.pix_col = l.c GROUP BY 1, 2, 3),
+    {name} AS (SELECT scene_id, 'crop_mark_{kind}' AS det_type, comp_row, comp_col, n_px, area_m2, least(1, sqrt(area_m2) / 30) * least(1, abs(ci) * 10) * 0.8E0 AS confidence, centre_row, centre_col FROM {name}_s
+      WHERE area_m2 BETWEEN 300 AND 20000 AND n_px >= 3 AND aspect <= 10 AND least(1, sqrt(area_m2) / 30) * least(1, abs(ci) * 10) * 0.8E0 >= 0.3E0)"""
+
+
+_NDVI, _CM = INDEX_SQL["ndvi"], INDEX_SQL["crop_mark"]
+CROP_SQL = crop_sql("cpos", "positive", f"{_CM} > 0.06E0 AND {_NDVI} > 0.5E0") + ", " + crop_sql("cneg", "negative", f"{_CM} < -0.06E0 AND {_NDVI} > 0.4E0")
+
+
 @query(
     "p02_spectral_scene",
     f"""wk_px AS ({WEAK} pixels), {WEAK_STATS}, c AS (SELECT fs.*, (0.4E0 * least(1, mean_terra_preta_enhanced * 6) + 0.25E0 * least(1, (mean_ndvi - 0.3E0) * 3) + 0.25E0 * least(1, mean_ndre1 * 6) + 0.1E0 * least(1, sqrt(area_m2) / 50))
       * CASE WHEN mean_terra_preta_enhanced > 0.25E0 AND mean_ndre1 > 0.3E0 THEN 1.3E0 WHEN mean_terra_preta_enhanced > 0.2E0 AND mean_ndre1 > 0.25E0 THEN 1.15E0 ELSE 1 END AS b, n / edge::DOUBLE AS ap FROM fs JOIN pe ON pe.scene_id = fs.scene_id AND pe.comp_row = fs.comp_row AND pe.comp_col = fs.comp_col),
     k AS (SELECT *, least(1, b) * CASE WHEN mean_terra_preta_enhanced + mean_ndre1 * 0.5E0 < 0.3E0 THEN 0.8E0 ELSE 1 END AS confidence FROM c WHERE area_m2 BETWEEN 500 AND 50000 AND n_px >= 3 AND aspect <= 8 AND ap <= 25),
-    f AS (SELECT k.*, (p.nir - p.red) / (p.nir + p.red + 1E-8) AS nv, p.swir1, p.swir2 FROM k LEFT JOIN wk_px p ON p.scene_id = k.scene_id AND p.pix_row = round(k.centre_row) AND p.pix_col = round(k.centre_col) WHERE confidence >= 0.8E0 AND confidence <= 0.98E0)
-    SELECT scene_id, 'terra_preta' AS det_type, comp_row, comp_col, n_px, area_m2, round(confidence, 9) AS confidence FROM f WHERE NOT coalesce((nv > 0.6E0 AND swir1 < 0.2E0) OR (nv > 0.3E0 AND nv < 0.6E0 AND swir2 > 0.4E0) OR (nv > 0.8E0 AND swir1 < 0.15E0), false)""",
+    {CROP_SQL}, al AS (SELECT scene_id, 'terra_preta' AS det_type, comp_row, comp_col, n_px, area_m2, confidence, centre_row, centre_col FROM k WHERE confidence >= 0.8E0 UNION ALL SELECT * FROM cpos UNION ALL SELECT * FROM cneg),
+    f AS (SELECT al.*, (p.nir - p.red) / (p.nir + p.red + 1E-8) AS nv, p.swir1, p.swir2 FROM al LEFT JOIN wk_px p ON p.scene_id = al.scene_id AND p.pix_row = round(al.centre_row) AND p.pix_col = round(al.centre_col) WHERE confidence <= 0.98E0)
+    SELECT scene_id, det_type, comp_row, comp_col, n_px, area_m2, round(confidence, 9) AS confidence FROM f WHERE NOT coalesce((nv > 0.6E0 AND swir1 < 0.2E0) OR (nv > 0.3E0 AND nv < 0.6E0 AND swir2 > 0.4E0) OR (nv > 0.8E0 AND swir1 < 0.15E0), false)""",
 )
 def _(v):
     f = an.spectral_scene(v.sql(WEAK + "{pixels}"), "fast")

@@ -117,7 +117,7 @@ def _(v):
 MASK = f"CAST({INDEX_SQL['terra_preta_enhanced']} > 0.12E0 AND pix_col % 7 <> 3 AS INT)"
 
 
-def morph_sql(source: str, steps: list[tuple[str, int]], value: str = "m") -> tuple[str, str]:
+def morph_sql(source: str, steps: list[tuple[str, int]], value: str = "m", prefix: str = "mo") -> tuple[str, str]:
     """CTEs applying erode/dilate passes; returns (ctes, name of the last)."""
     ctes, cur, i = [], source, 0
     for op, size in steps:
@@ -125,7 +125,7 @@ def morph_sql(source: str, steps: list[tuple[str, int]], value: str = "m") -> tu
         b = size - 1 - a
         lo, hi, f = (a, b, "min") if op == "erode" else (b, a, "max")
         for part, order in (("pix_col", "pix_row"), ("pix_row", "pix_col")):
-            name = f"mo{i}"
+            name = f"{prefix}{i}"
             ctes.append(
                 f"{name} AS (SELECT * EXCLUDE ({value}), {f}({value}) OVER (PARTITION BY scene_id, {part} ORDER BY {order} RANGE BETWEEN {lo} PRECEDING AND {hi} FOLLOWING) AS {value} FROM {cur})"
             )

@@ -111,6 +111,7 @@ def component_brake(
     Scenes with more than ``medium`` regions keep mid-sized ones, largest first up to a limit; with
     more than ``major`` the limits tighten; scenes still above ``final`` are dropped.
     """
+    stats = cut_lineage(stats)  # one row per region, read four times below
     counts = stats.groupBy("scene_id").agg(F.count(F.lit(1)).alias("_k"))
     s = stats.join(counts, "scene_id")
     heavy, busy = F.col("_k") > major, F.col("_k") > medium
