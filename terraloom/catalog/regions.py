@@ -41,13 +41,12 @@ STATS = f"""{REGIONS}, fs AS (SELECT lb.scene_id, comp_row, comp_col, count(*) A
   pe AS (SELECT scene_id, comp_row, comp_col, count(*) AS n, count(*) FILTER (k < 4) AS edge FROM nb GROUP BY 1, 2, 3)"""
 
 
-def clean_mask(v):
-    px = with_indices(v.pixels, BANDS).withColumn("m", masks.fast_mask_with_red_edge().cast("int"))
-    return st.morphology(px, "m", CHAIN, "clean").where("clean = 1").drop("m", "clean")
+def labelled(v, connectivity=4):
+    return rg.clean_regions(v.pixels, masks.fast_mask_with_red_edge(), CHAIN, connectivity)
 
 
-def labelled(v):
-    return rg.label_regions(clean_mask(v), 4)
+def measured(v):
+    return labelled(v).join(with_indices(v.pixels, BANDS), PX)
 
 
 @query("n07_component_labels_4", f"{REGIONS} SELECT scene_id, r AS pix_row, c AS pix_col, comp_row, comp_col FROM lb")
@@ -75,7 +74,7 @@ def _r9(c):
     {', '.join(f'round(mean_{b}, 9) AS mean_{b}' for b in BANDS)} FROM fs""",
 )
 def _(v):
-    s = rg.region_stats(labelled(v), BANDS)
+    s = rg.region_stats(measured(v), BANDS)
     return s.select(*rg.COMP, "n_px", _r9("centre_row"), _r9("centre_col"), _r9("aspect"), "area_m2", *[_r9(f"mean_{b}") for b in BANDS])
 
 
@@ -109,7 +108,7 @@ def _(v):
     WHERE area_m2 BETWEEN 2000 AND 1000000 AND n_px >= 50 AND CASE WHEN mean_terra_preta > 0.12E0 THEN greatest(raw, 0.6E0) ELSE raw END >= 0.5E0""",
 )
 def _(v):
-    s = rg.region_stats(labelled(v), BANDS)
+    s = rg.region_stats(measured(v), BANDS)
     return rg.standard_filter(s, 2000.0, 1000000.0).select(*rg.COMP, _r9("confidence"))
 
 
@@ -137,7 +136,7 @@ ELEMENTS = "el AS (SELECT * FROM (VALUES " + ", ".join(f"({k}, {r}, {c})" for k,
     SELECT DISTINCT q.scene_id, q.r AS pix_row, q.c AS pix_col FROM q JOIN el ON el.k = q.k JOIN er ON er.scene_id = q.scene_id AND er.comp_row = q.comp_row AND er.comp_col = q.comp_col AND er.r = q.r - el.dr AND er.c = q.c - el.dc""",
 )
 def _(v):
-    return rg.varied_open(rg.label_regions(clean_mask(v).select(*PX), 8), v.pixels)
+    return rg.varied_open(labelled(v, 8), v.pixels)
 
 
 def clamp(x, top):

@@ -56,6 +56,7 @@ def _core_locations(points: DataFrame, key: str, radius: float, min_points: int,
     locs = _locations(points, key, radius, by)
     if min_points <= 1:
         return locs.withColumn("is_core", F.lit(True))
+    locs = cut_lineage(locs)  # a compact table that every step below reads
     cell = [*by, "cx", "cy"]
     weight = locs.groupBy(*cell).agg(F.sum("w").alias("cw"))
     dense = weight.where(F.col("cw") >= min_points).select(*cell)

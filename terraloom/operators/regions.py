@@ -2,13 +2,13 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from terraloom.constants import PIXEL_AREA_M2
 from terraloom.functions import scores as S
 from terraloom.operators.graph import connected_components
-from terraloom.operators.stencil import irregular_open
+from terraloom.operators.stencil import PIX, irregular_open, morphology
 from terraloom.runtime import cut_lineage
 
 COMP = ["scene_id", "comp_row", "comp_col"]
@@ -46,6 +46,17 @@ def label_regions(true_pixels: DataFrame, connectivity: int = 4) -> DataFrame:
     )
 
 
+def clean_regions(pixels: DataFrame, mask: Column, chain: list[tuple[str, int]], connectivity: int = 4) -> DataFrame:
+    """Labelled pixels of a cleaned mask: (scene_id, pix_row, pix_col, comp_row, comp_col).
+
+    Only the pixel key and one byte pass through the morphology shuffles; band values are joined to the
+    surviving pixels afterwards by whoever needs them.
+    """
+    slim = pixels.select(*PIX, mask.cast("byte").alias("m"))
+    kept = morphology(slim, "m", chain, "_c").where("_c = 1").select(*PIX)
+    return label_regions(kept, connectivity)
+
+
 def region_stats(labelled: DataFrame, means: list[str] = ()) -> DataFrame:
     """Size, centroid, box, aspect, area and mean of any columns, per region, in one aggregate."""
     h = F.max("pix_row") - F.min("pix_row") + 1

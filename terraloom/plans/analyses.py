@@ -80,10 +80,9 @@ CROP_CHAIN = [("open", 4), ("close", 3), ("open", 2)]
 def terra_preta_regions(pixels: DataFrame, preset: str = "archaeological") -> DataFrame:
     """Scored terra-preta regions: mask, clean, label, measure, filter, score."""
     mask = masks.fast_mask_with_red_edge() if preset == "fast" else masks.enhanced_mask(preset)
-    px = with_indices(pixels, BANDS_USED).withColumn("m", mask.cast("int"))
-    clean = st.morphology(px, "m", TERRA_CHAIN, "_c").where("_c = 1").drop("m", "_c")
-    lab = cut_lineage(rg.label_regions(clean, 8 if preset == "fast" else 4))
-    stats = rg.region_stats(lab, BANDS_USED).join(rg.perimeters(lab), rg.COMP)
+    lab = cut_lineage(rg.clean_regions(pixels, mask, TERRA_CHAIN, 8 if preset == "fast" else 4))
+    measured = lab.join(with_indices(pixels, BANDS_USED), st.PIX)
+    stats = rg.region_stats(measured, BANDS_USED).join(rg.perimeters(lab), rg.COMP)
     conf = S.region_confidence_enhanced(F.col("mean_terra_preta_enhanced"), F.col("mean_ndvi"), F.col("mean_ndre1"), F.col("area_m2"))
     scored = rg.enhanced_prefilter(stats).withColumn("confidence", conf)
     return scored.where(F.col("confidence") >= PRESETS[preset]["base_confidence"])
@@ -91,11 +90,10 @@ def terra_preta_regions(pixels: DataFrame, preset: str = "archaeological") -> Da
 
 def crop_mark_regions(pixels: DataFrame, threshold: Column) -> DataFrame:
     """Positive and negative crop marks as scored regions, load-limited per scene."""
-    px = with_indices(pixels, BANDS_USED)
     out = None
     for kind, mask in (("positive", masks.crop_positive(threshold)), ("negative", masks.crop_negative(threshold))):
-        clean = st.morphology(px.withColumn("m", mask.cast("int")), "m", CROP_CHAIN, "_c").where("_c = 1").drop("m", "_c")
-        stats = rg.component_brake(rg.region_stats(rg.label_regions(clean, 4), ["crop_mark"]))
+        lab = rg.clean_regions(pixels, mask, CROP_CHAIN, 4).join(with_indices(pixels, ["crop_mark"]), st.PIX)
+        stats = rg.component_brake(rg.region_stats(lab, ["crop_mark"]))
         conf = S.crop_confidence(F.col("area_m2"), F.col("mean_crop_mark"))
         marks = rg.crop_prefilter(stats).withColumn("confidence", conf).where("confidence >= 0.3").withColumn("det_type", F.lit(f"crop_mark_{kind}"))
         out = marks if out is None else out.unionByName(marks)
