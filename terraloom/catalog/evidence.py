@@ -189,7 +189,7 @@ CAND = f"""{PAIRS}, b AS (SELECT det_id, max(strength) AS s FROM (SELECT id1 AS
 
 
 def candidates(v):
-    d = sp.convergence_per_detection(v.detections, sp.provider_pairs(v.detections))
+    d = sp.convergence_per_detection(v.detections)
     return rk.with_candidate_score(d).withColumn("enhanced_score", F.round("enhanced_score", 9))
 
 
@@ -208,7 +208,7 @@ DIV = CAND.replace("WHERE d <= 1500", "WHERE d <= 60").replace("1 - d / 1500", "
     o AS (SELECT *, CASE WHEN rn <= 7 OR conv > 0 THEN 0 ELSE 1 END AS late FROM rs) SELECT det_id, det_type, CAST(row_number() OVER (ORDER BY late, es DESC, det_id) AS INT) AS rank FROM o ORDER BY late, es DESC, det_id LIMIT 30""",
 )
 def _(v):
-    d = sp.convergence_per_detection(v.detections, sp.provider_pairs(v.detections, 60.0))
+    d = sp.convergence_per_detection(v.detections, 60.0)
     c = rk.with_candidate_score(d).withColumn("enhanced_score", F.round("enhanced_score", 9))
     return rk.diverse_top(c, 30).select("det_id", "det_type", "rank")
 

@@ -35,7 +35,7 @@ def _(v):
     FROM detections d LEFT JOIN b ON b.det_id = d.det_id""",
 )
 def _(v):
-    out = sp.convergence_per_detection(v.detections, sp.provider_pairs(v.detections))
+    out = sp.convergence_per_detection(v.detections)
     return out.select("det_id", F.round("convergence_score", 8).alias("convergence_score"), "lidar_support", "spectral_support")
 
 
@@ -327,7 +327,7 @@ def _(v):
     ON m.x = round(d.lon, 6) AND m.y = round(d.lat, 6)""",
 )
 def _(v):
-    return sp.flag_membership(v.detections, v.detections.where("confidence > 0.7")).select("det_id", "is_convergent")
+    return sp.flag_membership(v.detections, v.detections.where("confidence > 0.7"), "det_id").select("det_id", "is_convergent")
 
 
 NN = """nn AS (SELECT a.det_id, min(sqrt((a.lon - b.lon) * (a.lon - b.lon) + (a.lat - b.lat) * (a.lat - b.lat))) AS d FROM detections a JOIN detections b ON a.det_id <> b.det_id GROUP BY a.det_id)"""

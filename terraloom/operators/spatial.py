@@ -69,13 +69,22 @@ def provider_pairs(detections: DataFrame, radius_m: float = 1500.0, providers=("
     )
 
 
-def convergence_per_detection(detections: DataFrame, pairs: DataFrame) -> DataFrame:
-    """Best pair strength per detection and the sensor support flags."""
-    ends = F.array(F.col("a.det_id"), F.col("b.det_id"))
-    best = pairs.select(F.explode(ends).alias("det_id"), "strength").groupBy("det_id").agg(F.max("strength").alias("_s"))
+def convergence_per_detection(detections: DataFrame, radius_m: float = 1500.0, providers=("sentinel2", "gedi")) -> DataFrame:
+    """Strength of the closest detection of the other provider, and the sensor support flags.
+
+    Only the closest counts, so both sides are first reduced to distinct locations: copies of a place
+    are paired once however many there are, and the minimum combines map-side.
+    """
+    locs = detections.where(F.col("provider").isin(*providers)).groupBy("provider", "lon", "lat").agg(F.min("det_id").alias("det_id"))
+    side = lambda p: locs.where(F.col("provider") == p)
+    pairs = near_pairs(side(providers[0]), side(providers[1]), radius_m, "det_id").select(
+        F.array(F.col("a.det_id"), F.col("b.det_id")).alias("ends"), (1 - F.col("distance") / radius_m).alias("s")
+    )
+    best = pairs.select(F.explode("ends").alias("det_id"), "s").groupBy("det_id").agg(F.max("s").alias("_s"))
+    known = locs.join(best, "det_id").select("provider", "lon", "lat", "_s")
     hit = F.col("_s").isNotNull()
     return (
-        detections.join(best, "det_id", "left")
+        salted_join(detections, known, ["provider", "lon", "lat"], "det_id", how="left")
         .withColumn("convergence_score", F.coalesce("_s", F.lit(0.0)))
         .withColumn("lidar_support", (F.col("provider") == "gedi") | hit)
         .withColumn("spectral_support", (F.col("provider") == "sentinel2") | hit)
@@ -282,11 +291,11 @@ def merged_by_coordinate(layers: DataFrame) -> DataFrame:
     )
 
 
-def flag_membership(points: DataFrame, members: DataFrame, out: str = "is_convergent") -> DataFrame:
-    """Flag points whose rounded coordinate occurs in ``members``."""
+def flag_membership(points: DataFrame, members: DataFrame, key: str, out: str = "is_convergent") -> DataFrame:
+    """Flag points whose rounded coordinate occurs in ``members``; coordinates with many copies are sliced."""
     keys = members.select(_key("lon").alias("_kx"), _key("lat").alias("_ky")).distinct().withColumn("_hit", F.lit(True))
     p = points.withColumn("_kx", _key("lon")).withColumn("_ky", _key("lat"))
-    return p.join(keys, ["_kx", "_ky"], "left").withColumn(out, F.col("_hit").isNotNull()).drop("_kx", "_ky", "_hit")
+    return salted_join(p, keys, ["_kx", "_ky"], key, how="left").withColumn(out, F.col("_hit").isNotNull()).drop("_kx", "_ky", "_hit")
 
 
 # --- nearest neighbour

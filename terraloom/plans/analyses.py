@@ -160,7 +160,7 @@ def scored_zones(detections: DataFrame, zones: DataFrame) -> DataFrame:
 
 def fused_candidates(detections: DataFrame, k: int = 20, radius_m: float = 1500.0) -> DataFrame:
     """Diverse top candidates across providers, ranked, with field priority."""
-    c = rk.with_candidate_score(sp.convergence_per_detection(detections, sp.provider_pairs(detections, radius_m)))
+    c = rk.with_candidate_score(sp.convergence_per_detection(detections, radius_m))
     top = rk.diverse_top(c, k)
     return top.withColumn("field_priority", F.when(F.col("rank") <= 3, "high").otherwise("medium"))
 

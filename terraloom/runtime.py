@@ -40,8 +40,10 @@ def heavy_keys(df: DataFrame, keys: list[str], parts: int = 512) -> DataFrame:
     )
 
 
-def salted_join(left: DataFrame, right: DataFrame, keys: list[str], spread: str, parts: int = 512) -> DataFrame:
-    """Inner equi-join where hot keys on the left are cut into slices.
+def salted_join(
+    left: DataFrame, right: DataFrame, keys: list[str], spread: str, parts: int = 512, how: str = "inner"
+) -> DataFrame:
+    """Equi-join (inner or left) where hot keys on the left are cut into slices.
 
     Left rows of a hot key get a slice from a hash of ``spread``; the matching right rows are
     copied once per slice. Cold keys keep slice 0, so the join result is unchanged.
@@ -53,4 +55,4 @@ def salted_join(left: DataFrame, right: DataFrame, keys: list[str], spread: str,
     r = right.join(hot, keys, "left").withColumn(
         "_salt", F.explode(F.sequence(F.lit(0), F.coalesce(F.col("_slices"), F.lit(1)) - 1))
     ).drop("_slices")
-    return l.join(r, keys + ["_salt"]).drop("_salt")
+    return l.join(r, keys + ["_salt"], how).drop("_salt")
