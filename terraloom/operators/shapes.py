@@ -12,6 +12,7 @@ from terraloom.operators.radiometry import to_8bit
 from terraloom.operators.regions import COMP, label_regions
 from terraloom.operators.spatial import near_pairs
 from terraloom.operators.stencil import PIX, gaussian_weights, gradient, neighbourhood, separable
+from terraloom.runtime import cut_lineage
 
 
 def canny(pixels: DataFrame, level: str, low: float, high: float) -> DataFrame:
@@ -50,6 +51,7 @@ def straight_segments(edge_px: DataFrame, votes: int = 140, min_length: float =
     Votes are counted map-side. Pixels of accepted lines are then ordered along each line and cut
     where consecutive pixels are further apart than the gap; a line holds at most one image diagonal.
     """
+    edge_px = cut_lineage(edge_px)  # few pixels of a scene are edges; they are read by the vote and by the segments
     angles = edge_px.withColumn("theta", F.explode(F.sequence(F.lit(0), F.lit(179))))
     rad = F.radians(F.col("theta").cast("double"))
     rho = _snap(F.col("pix_col") * F.cos(rad) + F.col("pix_row") * F.sin(rad))
@@ -87,7 +89,7 @@ def circle_votes(edge_px: DataFrame, radii: range, min_votes: int, step_deg: int
 
 def circles(edge_px: DataFrame, radii: range, min_votes: int, min_distance: float) -> DataFrame:
     """Best-voted circles whose centres are at least ``min_distance`` apart, per scene."""
-    v = circle_votes(edge_px, radii, min_votes).withColumn(
+    v = cut_lineage(circle_votes(edge_px, radii, min_votes)).withColumn(
         "key", F.struct((-F.col("votes")).alias("v"), "radius", "cx", "cy", "scene_id")
     )
     pts = v.select("scene_id", "key", F.col("cx").cast("double").alias("lon"), F.col("cy").cast("double").alias("lat"))
