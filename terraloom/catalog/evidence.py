@@ -25,7 +25,7 @@ BONUS = f"""{AGG}, st AS (SELECT zone_id, coalesce(sum(weight) FILTER (type LIKE
     coalesce(sum(weight) FILTER (type LIKE 'env%' OR type LIKE 'pri%') * avg(confidence) FILTER (type LIKE 'env%' OR type LIKE 'pri%'), 0) AS c, count(*) AS n, count(DISTINCT type) AS k FROM evi GROUP BY zone_id),
   ib AS (SELECT zone_id, n AS evidence_count, CASE WHEN n < 2 THEN 0 ELSE least(3, CASE WHEN g > 0 AND s > 0 THEN (g + s) / 2 * 1.5E0 WHEN g > 1 OR s > 1 THEN greatest(g, s) * 0.8E0 ELSE 0 END + CASE WHEN c > 0 THEN c * 0.5E0 ELSE 0 END + k * 0.3E0) END AS bonus FROM st)"""
 ENV = "1 + CASE WHEN lower(zone_name) LIKE '%confluence%' OR lower(zone_name) LIKE '%junction%' THEN 0.3E0 ELSE 0 END + CASE WHEN (south + north) / 2 > -5 AND (south + north) / 2 < 0 AND (west + east) / 2 > -65 AND (west + east) / 2 < -55 THEN 0.2E0 ELSE 0 END"
-SCORES = f"""{BONUS}, sc AS (SELECT z.zone_id, z.zone_name, z.priority, coalesce((SELECT least(6, sum(weight)) FROM ge WHERE ge.zone_id = z.zone_id), 0) AS geometric, coalesce((SELECT weight FROM te WHERE te.zone_id = z.zone_id), 0) AS terra_preta,
+SCORES = f"""{BONUS}, sc AS (SELECT z.zone_id, z.zone_name, z.priority, coalesce((SELECT least(6, coalesce(sum(weight), 0)) FROM ge WHERE ge.zone_id = z.zone_id), 0) AS geometric, coalesce((SELECT weight FROM te WHERE te.zone_id = z.zone_id), 0) AS terra_preta,
     {ENV} AS environment, CASE WHEN priority = 1 THEN 1 ELSE 0 END AS priority_bonus, ib.bonus AS integration_bonus, ib.evidence_count FROM zones z JOIN ib ON ib.zone_id = z.zone_id),
   zs AS (SELECT *, least(13, geometric + terra_preta + environment + priority_bonus + integration_bonus) AS total_score FROM sc),
   zc AS (SELECT *, CASE WHEN total_score >= 10 THEN 'HIGH CONFIDENCE ARCHAEOLOGICAL SITE' WHEN total_score >= 7 THEN 'PROBABLE ARCHAEOLOGICAL FEATURE' WHEN total_score >= 4 THEN 'POSSIBLE ANOMALY - INVESTIGATE' ELSE 'NATURAL VARIATION' END AS classification FROM zs)"""
@@ -47,7 +47,7 @@ def r(c, n=8):
     return F.round(c, n).alias(c)
 
 
-@query("f09_geometric_evidence", f"{AGG} SELECT z.zone_id, round(coalesce((SELECT least(6, sum(weight)) FROM ge WHERE ge.zone_id = z.zone_id), 0), 8) AS geometric FROM zones z")
+@query("f09_geometric_evidence", f"{AGG} SELECT z.zone_id, round(coalesce((SELECT least(6, coalesce(sum(weight), 0)) FROM ge WHERE ge.zone_id = z.zone_id), 0), 8) AS geometric FROM zones z")
 def _(v):
     return aggs(v).select("zone_id", F.round(ev.geometric_score(), 8).alias("geometric"))
 

@@ -57,7 +57,7 @@ SIGNIF = f"""{STATS}, sg AS (SELECT zone_id, count(*) AS n, avg(elevation_ground
 
 @query(
     "f04_anomaly_significance",
-    f"{SIGNIF} SELECT zone_id, n, round(t, 6) AS t_stat, round(p, 8) AS p_value, round(d, 8) AS cohens_d, significance FROM sl",
+    f"{SIGNIF} SELECT zone_id, n, round(CASE WHEN n >= 3 THEN t END, 6) AS t_stat, round(p, 8) AS p_value, round(d, 8) AS cohens_d, significance FROM sl",
 )
 def _(v):
     s = li.anomaly_significance(li.elevation_anomalies(v.shots, ["zone_id"]), ["zone_id"])
