@@ -8,7 +8,6 @@ from terraloom.catalog.coordinates import hav
 from terraloom.catalog.registry import query
 from terraloom.catalog.scalars import beta_sql
 from terraloom.catalog.spatial import SCORED
-from terraloom.functions import scores as S
 from terraloom.operators import density as de
 from terraloom.operators import display as di
 from terraloom.operators import lidar as li
@@ -278,6 +277,3 @@ def _(v):
 @query("h03_top_per_provider", "SELECT det_id, provider, CAST(rn AS INT) AS rank FROM (SELECT *, row_number() OVER (PARTITION BY provider ORDER BY coalesce(confidence, 0) DESC, det_id) AS rn FROM detections) d WHERE rn <= 5")
 def _(v):
     return di.top_per_group(v.detections, ["provider"], F.coalesce("confidence", F.lit(0.0)), "det_id", 5).select("det_id", "provider", "rank")
-
-
-__all__ = ["S"]

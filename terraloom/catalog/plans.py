@@ -4,8 +4,8 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from terraloom.catalog.coordinates import MOVED, hav
-from terraloom.catalog.evidence import AGG, CAND, SCORES, SITES, dets, r, scores
+from terraloom.catalog.coordinates import hav
+from terraloom.catalog.evidence import CAND, SCORES, SITES, dets, r, scores
 from terraloom.catalog.lidar import GAP_CL, GAP_EPS, MOUND_CL, MOUND_EPS, STATS as ASTATS
 from terraloom.catalog.pixels import INDEX_SQL, PX
 from terraloom.catalog.rasters import morph_sql
@@ -153,6 +153,3 @@ def _(v):
     t = an.report_tables(v.detections, v.zones, scores(v), v.shots)
     n = t["high_priority"].agg(F.count(F.lit(1))).scalar()
     return t["zone_details"].select("zone_id", "recommended_action", (F.col("lidar_features") + F.col("spectral_features")).alias("n_features"), n.alias("n_priority"))
-
-
-__all__ = ["AGG", "MOVED"]

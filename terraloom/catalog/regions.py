@@ -7,7 +7,7 @@ import math
 from pyspark.sql import functions as F
 
 from terraloom.catalog.pixels import INDEX_SQL, PX
-from terraloom.catalog.rasters import LEVEL, mask_pixels, morph_sql
+from terraloom.catalog.rasters import LEVEL, morph_sql
 from terraloom.catalog.registry import query
 from terraloom.functions.indices import with_indices
 from terraloom.operators import masks
@@ -249,6 +249,3 @@ def _mir(x):
 )
 def _(v):
     return sh.terrain_grid(v.shots).select("zone_id", "pix_row", "pix_col", F.round("elevation", 6).alias("elevation"))
-
-
-__all__ = ["mask_pixels"]

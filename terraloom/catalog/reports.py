@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from terraloom.catalog.coordinates import MOVED, hav
-from terraloom.catalog.evidence import SCORES, dets, r, scores, supported
+from terraloom.catalog.evidence import SCORES, r, scores, supported
 from terraloom.catalog.registry import query
 from terraloom.catalog.spatial import AREAS, FIRST, LAYERS, NN, SCORED, SUPPORT
 from terraloom.functions import labels as L
@@ -262,6 +262,3 @@ RULES = [
 )
 def _(v):
     return qa.check_requirements(v.detections, RULES)
-
-
-__all__ = ["dets"]

@@ -6,7 +6,6 @@ import re
 import uuid
 
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
 from terraloom.catalog.coordinates import MOVED
 from terraloom.catalog.evidence import PRIO, top_candidates
@@ -586,6 +585,3 @@ def _(v):
         c = ra.anomalies(px, "v", m).groupBy("scene_id").agg(F.count_if("anomaly").alias(m))
         out = c if out is None else out.join(c, "scene_id")
     return out
-
-
-__all__ = ["T"]

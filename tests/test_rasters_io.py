@@ -160,7 +160,6 @@ def test_flag_csv_and_stages(spark, tmp_path):
     ex.write_stage(d, str(tmp_path / "stage"), "r1")
     ex.write_stage(d, str(tmp_path / "stage"), "r2")
     assert ex.read_stage(spark, str(tmp_path / "stage"), "r1").count() == 1
-    ex.lidar_features  # noqa: B018 - exported name
 
 
 def test_stream_skips_files_already_processed(spark, tmp_path):
