@@ -7,7 +7,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from terraloom.operators.graph import connected_components
@@ -191,3 +191,23 @@ def with_both(pairs: DataFrame, payload: DataFrame, cols: list[str]) -> DataFram
     left = payload.select(F.col("id").alias("a"), *[F.col(c).alias(f"a_{c}") for c in cols])
     right = payload.select(F.col("id").alias("b"), *[F.col(c).alias(f"b_{c}") for c in cols])
     return salted_join(salted_join(pairs, left, ["a"], "b"), right, ["b"], "a")
+
+
+# ---- ordered sums ----------------------------------------------------------------------------------------------------
+
+
+def prefix_sums(df: DataFrame, order: list[Column], values: list[str]) -> DataFrame:
+    """``df`` with before_<v> for every value: the sum over all rows that come earlier in ``order``.
+
+    Rows are range-partitioned; each partition sums its own rows and starts from the totals of the partitions before
+    it, one row per partition.
+    """
+    ranged = saved(df.repartitionByRange(*order).withColumn("_part", F.spark_partition_id()), "ranged")
+    totals = ranged.groupBy("_part").agg(*[F.sum(v).alias(f"_t_{v}") for v in values])
+    earlier = Window.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)  # one row per partition
+    starts = totals.select("_part", *[F.coalesce(F.sum(f"_t_{v}").over(earlier), F.lit(0)).alias(f"_t_{v}") for v in values])
+    inside = Window.partitionBy("_part").orderBy(*order).rowsBetween(Window.unboundedPreceding, -1)
+    out = ranged.join(starts, "_part")
+    for v in values:
+        out = out.withColumn(f"before_{v}", F.col(f"_t_{v}") + F.coalesce(F.sum(v).over(inside), F.lit(0)))
+    return out.drop("_part", *[f"_t_{v}" for v in values])
