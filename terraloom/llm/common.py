@@ -7,6 +7,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -74,7 +75,7 @@ def slices(batch: pa.RecordBatch, column: str = "text", limit: int = SLICE_CHARS
     col = batch.column(batch.schema.get_field_index(column))
     if len(col) == 0:
         return
-    lengths = np.nan_to_num(pa.compute.binary_length(col).to_numpy(zero_copy_only=False).astype(float)).astype(np.int64)
+    lengths = np.nan_to_num(pc.binary_length(col).to_numpy(zero_copy_only=False).astype(float)).astype(np.int64)
     group = np.cumsum(lengths) // limit
     start = 0
     for end in [*(np.flatnonzero(np.diff(group)) + 1), len(col)]:

@@ -35,8 +35,7 @@ FILTER = "shard int, seed long, segment int, segments int, marks binary"
 
 def _places(keys: np.ndarray, seed: int, segment: int, segments: int) -> tuple[np.ndarray, np.ndarray]:
     """Three slots in neighbouring segments and the fingerprint of every key."""
-    with np.errstate(over="ignore"):
-        h = mix64(keys + np.uint64(seed) * np.uint64(0x9E3779B97F4A7C15))
+    h = mix64(keys + np.uint64(seed * 0x9E3779B97F4A7C15 % (1 << 64)))
     first = ((h >> np.uint64(32)) * np.uint64(segments * segment)) >> np.uint64(32)
     mask = np.uint64(segment - 1)
     second = (first + np.uint64(segment)) ^ ((h >> np.uint64(18)) & mask)

@@ -1,4 +1,4 @@
 """Imports every module that registers a query."""
 
-from terraloom.llm import exact_dedup, mixing, pii, sharding  # noqa: F401
+from terraloom.llm import exact_dedup, mixing, near_dedup, pii, quality, sharding  # noqa: F401
 from terraloom.llm.registry import ORACLES, QUERIES  # noqa: F401
