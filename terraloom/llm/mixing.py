@@ -18,7 +18,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from terraloom.llm.common import prefix_sums, saved, whole_text
+from terraloom.llm.common import prefix_sums, row_digest, saved, whole_text
 from terraloom.llm.registry import query, table
 from terraloom.runtime import salted_join
 
@@ -102,3 +102,16 @@ def op7_mixing(spark, sf_dir):
     return mix_units(table(spark, sf_dir, "documents")).select(
         "doc_id", "size", "source_size", "target", (F.col("copies") * F.col("size")).alias("taken"), "copies"
     )
+
+
+def mixed_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source") -> DataFrame:
+    """The rows of ``docs``, each as often as the mix takes it (0, 1 or 2 times).
+
+    Rows are matched by a digest of all their columns. Equal rows are one unit with the sum of their copies, so they are exchangeable.
+    """
+    units = mix_units(docs, id_col, text_col, source_col, {"digest": row_digest(docs)})
+    copies = units.groupBy("digest").agg(F.sum("copies").alias("copies")).where("copies > 0").select(F.col("digest").alias("_digest"), F.col("copies").alias("_copies"))
+    rows = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("_doc"), row_digest(docs).alias("_digest"))
+    # a row without words is not taken by any target; it has no tokens to mix
+    once = rows.join(copies, "_digest").dropDuplicates(["_digest"])
+    return once.select("_doc", F.explode(F.sequence(F.lit(1), F.col("_copies").cast("int"))).alias("_copy")).select("_doc.*")
