@@ -28,7 +28,7 @@ from pyspark.sql import functions as F
 from terraloom.llm.common import saved, shared_folder, slices, whole_text
 from terraloom.llm.registry import query, table
 
-CACHE = 400_000
+CACHE = 900_000
 END = 1
 
 
@@ -41,8 +41,21 @@ def _storage(path: str):
     return fs.FileSystem.from_uri(path) if "://" in path else (fs.LocalFileSystem(), path)
 
 
+def stem_of(piece: str) -> str:
+    """The piece without full stops and commas after a letter, and A-Z folded in ASCII pieces.
+
+    The vocabulary folds case and encodes punctuation after a letter on its own, so the ids of a piece are those of its stem and of the rest. Pieces that could
+    hold the name of a special token stay as they are, as case folding after composition may differ for others than ASCII.
+    """
+    if "<" in piece:
+        return piece
+    folded = piece.lower() if piece.isascii() else piece
+    stem = folded.rstrip(".,")
+    return stem if stem and stem[-1].isalpha() else folded
+
+
 class Encoder:
-    """Ids of texts by the library, one call for the pieces that are not in the cache."""
+    """Ids of texts by the library, one call for the stems that are not in the cache."""
 
     def __init__(self, definition: str):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
@@ -57,14 +70,21 @@ class Encoder:
         pieces = split.flatten().dictionary_encode()
         words = pieces.dictionary.to_pylist()
         codes = pieces.indices.to_numpy()
-        known = [self.cache.get(w) for w in words]
-        new = [i for i, k in enumerate(known) if k is None]
-        if new:
-            made = self.tokenizer.encode_batch_fast([words[i] for i in new], add_special_tokens=False)
-            for i, e in zip(new, made):
-                known[i] = np.array(e.ids, "<u4").tobytes()
-                if len(self.cache) < CACHE:
-                    self.cache[words[i]] = known[i]
+        cache = self.cache
+        known = [cache.get(w) for w in words]
+        missing = [i for i, k in enumerate(known) if k is None]
+        stems = {i: stem_of(words[i]) for i in missing}
+        tails = {i: words[i][len(s):] for i, s in stems.items()}
+        new = list({x for x in (*stems.values(), *tails.values()) if x and x not in cache})
+        made = {}
+        for x, e in zip(new, self.tokenizer.encode_batch_fast(new, add_special_tokens=False) if new else []):
+            made[x] = np.array(e.ids, "<u4").tobytes()
+            if len(cache) < CACHE:
+                cache[x] = made[x]
+        for i, stem in stems.items():
+            found = made.get(stem) or cache.get(stem, b"")
+            tail = tails[i]
+            known[i] = found + (made.get(tail) or cache.get(tail, b"")) if tail else found
         flat = np.frombuffer(b"".join(known), "<u4") if known else np.zeros(0, "<u4")
         size = np.array([len(k) // 4 for k in known], np.int64)
         first = np.cumsum(size) - size
@@ -103,7 +123,7 @@ def write_tokens(docs: DataFrame, definition: str, folder: str, id_col: str = "d
         encoder, lengths, ids = None, [], []
         out = None
         for b in batches:
-            for s in slices(b, "text", 3 * 4_000_000):
+            for s in slices(b, "text"):
                 encoder = encoder or Encoder(shared.value)
                 out = out or store.open_output_stream(f"{root}/{name}.bin")
                 flat, n = encoder.ids(s.column(1))
