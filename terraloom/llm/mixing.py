@@ -73,7 +73,7 @@ def rounded_copies(units: DataFrame, rates: DataFrame) -> DataFrame:
     now = saved(ranked.withColumn("copies", F.when(F.col("size") > 0, whole + extra).otherwise(0).cast("long")).drop("first", "k", "rate"), "copies")
     for _ in range(REPAIRS):
         gap = now.groupBy("g").agg((F.first("target") - F.sum(F.col("copies") * F.col("size"))).alias("gap"))
-        able = now.join(gap, "g").where(
+        able = salted_join(now, gap, ["g"], "row").where(
             (F.col("size") > 0) & (F.col("size") < 2 * F.abs("gap"))
             & F.when(F.col("gap") > 0, F.col("copies") < int(CAP)).otherwise(F.col("copies") > 0)
         )
