@@ -156,7 +156,7 @@ def shingle_hashes(words: np.ndarray, offsets: np.ndarray, size: int = 5) -> tup
 # ---- groups of linked rows -------------------------------------------------------------------------------------------
 
 
-def linked_groups(buckets: DataFrame, prepare, near: str | None = None, features: DataFrame | None = None, pivots: int = 2) -> DataFrame:
+def linked_groups(buckets: DataFrame, prepare, near: str | None = None, features: DataFrame | None = None, pivots: int = 3) -> DataFrame:
     """(node, component) of the graph of verified pairs among ids that share a bucket.
 
     ``buckets`` has (bucket, id), an id once per bucket. ``prepare`` takes the table of ids (id) in shared buckets and returns a function that keeps the good rows of a table of pairs (a, b).
@@ -196,7 +196,7 @@ def linked_groups(buckets: DataFrame, prepare, near: str | None = None, features
         if marked.isEmpty():
             return found
         if turn < pivots:
-            one = marked.groupBy("bucket").agg(F.min(F.struct(F.xxhash64("id", F.lit(turn)).alias("h"), "id", "c")).alias("p"))
+            one = marked.groupBy("bucket").agg(F.min(F.struct(F.xxhash64("id", "bucket", F.lit(turn)).alias("h"), "id", "c")).alias("p"))
             apart = marked.join(one, "bucket").where(F.col("c") != F.col("p.c"))
             pairs = apart.select(F.least("id", "p.id").alias("a"), F.greatest("id", "p.id").alias("b"))
         else:
