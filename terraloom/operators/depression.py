@@ -42,7 +42,8 @@ def index_significance(pixels: DataFrame, value: str, keys: list[str]) -> DataFr
     s = pixels.groupBy(*keys).agg(
         F.count(value).alias("n"), F.avg(value).alias("mean"), F.stddev_samp(value).alias("sd"), F.stddev_pop(value).alias("sp")
     )
-    p = ST.t_two_sided_p(F.col("mean") / (F.col("sd") / F.sqrt("n")), (F.col("n") - 1).cast("double"))
+    p = ST.t_two_sided_p(F.col("mean") / (F.nullif("sd", F.lit(0.0)) / F.sqrt("n")), (F.col("n") - 1).cast("double"))
+    p = F.when(F.col("sd") == 0, F.when(F.col("mean") == 0, 1.0).otherwise(0.0)).otherwise(p)  # a constant layer
     effect = F.abs("mean") / (F.col("sp") + 1e-8)
     s = s.withColumn("p_value", F.when(F.col("n") < 50, 1.0).otherwise(p))
     s = s.withColumn("effect_size", F.when(F.col("n") < 50, 0.0).otherwise(effect))

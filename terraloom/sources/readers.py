@@ -71,7 +71,7 @@ def parse_geometry(kind: Column, coordinates: Column) -> Column:
     single = F.from_json(coordinates, "array<double>")
     ring = F.transform(F.from_json(coordinates, "array<array<array<double>>>")[0], lambda p: geo.point(p[0], p[1]))
     return (
-        F.when(kind == "Point", F.array(geo.point(single[0], single[1])))
+        F.when(kind == "Point", F.array(geo.point(F.get(single, F.lit(0)), F.get(single, F.lit(1)))))
         .when(kind == "LineString", _points(coordinates))
         .when(kind == "Polygon", ring)
     )
@@ -89,18 +89,18 @@ def feature_rows(features: DataFrame) -> DataFrame:
     given = F.from_json(p["coordinates"], "array<double>")
     f = features.select("*", pts.alias("points")).withColumn(
         "at",
-        F.when(given.isNotNull(), geo.point(given[0], given[1]))
+        F.when(given.isNotNull(), geo.point(F.get(given, F.lit(0)), F.get(given, F.lit(1))))
         .when(
             (F.col("geometry.type") == "Polygon") & p["geo_center_calculated"].isNotNull(),
-            geo.point(stored[0].cast("double"), stored[1].cast("double")),
+            geo.point(F.get(stored, F.lit(0)).try_cast("double"), F.get(stored, F.lit(1)).try_cast("double")),
         )
         .when(F.size("points") >= 1, geo.vertex_mean(F.col("points"))),
     )
     out = f.select(
         p["id"].alias("id"), F.coalesce(p["type"], F.lit("unknown")).alias("det_type"),
         F.col("at.lon").alias("lon"), F.col("at.lat").alias("lat"),
-        F.coalesce(p["confidence"].cast("double"), F.lit(0.6)).alias("confidence"),
-        F.coalesce(p["area_m2"].cast("double"), F.lit(0.0)).alias("area_m2"), p.alias("props"),
+        F.coalesce(p["confidence"].try_cast("double"), F.lit(0.6)).alias("confidence"),
+        F.coalesce(p["area_m2"].try_cast("double"), F.lit(0.0)).alias("area_m2"), p.alias("props"),
     )
     return out.where(geo.in_amazon(F.col("lon"), F.col("lat")))
 
@@ -117,7 +117,7 @@ def provider_rows(features: DataFrame, provider: str, order: str) -> DataFrame:
         F.coalesce(p["id"], F.concat(F.lit(provider + "_"), F.col(order).cast("string"))).alias("id"),
         F.lit(provider).alias("provider"), F.coalesce(p["type"], F.lit("unknown")).alias("det_type"),
         at["lon"].alias("lon"), at["lat"].alias("lat"),
-        F.coalesce(p["confidence"].cast("double"), F.lit(0.0)).alias("confidence"),
+        F.coalesce(p["confidence"].try_cast("double"), F.lit(0.0)).alias("confidence"),
         F.coalesce(F.when(poly, geo.ring_area_m2(ring)), F.lit(0.0)).alias("area_m2"),
     )
 
