@@ -156,43 +156,42 @@ def shingle_hashes(words: np.ndarray, offsets: np.ndarray, size: int = 5) -> tup
 # ---- groups of linked rows -------------------------------------------------------------------------------------------
 
 
-def linked_groups(buckets: DataFrame, prepare, near: str | None = None, features: DataFrame | None = None, pivots: int = 3) -> DataFrame:
+def linked_groups(buckets: DataFrame, prepare, near: str, features: DataFrame, pivots: int = 2, near_narrow: str = "true") -> DataFrame:
     """(node, component) of the graph of verified pairs among ids that share a bucket.
 
-    ``buckets`` has (bucket, id), an id once per bucket. ``prepare`` takes the table of ids (id) in shared buckets and returns a function that keeps the good rows of a table of pairs (a, b).
-    ``near`` is a cheap SQL condition on a pair that every good pair meets, over a, b and the columns a_<c>, b_<c> of ``features`` (id, <c>...).
+    ``buckets`` has (bucket, id), an id once per bucket; it is read twice, so it should be cheap to make again. ``features`` has (id, <c>...). ``near`` is a cheap SQL condition on a pair that
+    every good pair meets, over a, b and the columns a_<c>, b_<c>. ``prepare`` takes the table of ids (id) in shared buckets and returns two functions: one keeps the good rows of a table of
+    pairs (a, b); the other, or None, takes a table of ids and returns (id, <x>...) of those that can have a partner among them, for the condition ``near_narrow`` over a_<x>, b_<x>, a_<c> and b_<c>.
 
     Members of a bucket are first compared with its hub, the member with most neighbours over all its buckets (the original of a family of copies meets more of them than they
     meet each other), then with random members of other components: a number of pairs linear in the bucket. Pairs whose ends are still apart after that are compared too, so the components are those of all pairs, while members that are joined already are never paired with each other.
     """
-    table = saved(buckets, "buckets")
-    shared = table.groupBy("bucket").agg(F.min("id").alias("_a"), F.max("id").alias("_z"), F.count(F.lit(1)).alias("n")).where("_a < _z")
-    table = saved(table.join(shared, "bucket").select("bucket", "id", "n"), "shared")
+    shared = buckets.groupBy("bucket").agg(F.min("id").alias("_a"), F.max("id").alias("_z"), F.count(F.lit(1)).alias("n")).where("_a < _z").select("bucket", "n")
+    table = saved(buckets.join(shared, "bucket").select("bucket", "id", "n"), "shared")
     hubs = table.groupBy("id").agg(F.sum("n").alias("degree"))
     centres = table.join(hubs, "id").groupBy("bucket").agg(F.max(F.struct("degree", "id")).alias("hub")).select("bucket", F.col("hub.id").alias("hub"))
     table = saved(table.join(centres, "bucket").select("bucket", "id", "hub"), "starred")
-    verify = prepare(table.select("id").distinct())
-    cols = [c for c in features.columns if c != "id"] if features is not None else []
+    verify, narrow = prepare(table.select("id").distinct())
+    cols = [c for c in features.columns if c != "id"]
 
     def checked(pairs: DataFrame, seen: DataFrame | None) -> tuple[DataFrame, DataFrame]:
         """(pairs compared so far, good ones of the new pairs)."""
         new = pairs.distinct()
         if seen is not None:
             new = new.join(seen, ["a", "b"], "left_anti")
-        if near is not None:
-            new = (with_both(saved(new, "pairs"), features, cols) if cols else new).where(near).select("a", "b")
-        new = saved(new, "near")
+        new = saved(with_both(saved(new, "pairs"), features, cols).where(near).select("a", "b"), "near")
         return new, saved(verify(new), "links")
 
+    def in_mixed(marked: DataFrame) -> DataFrame:
+        """The members (bucket, id, c, ...) of buckets that hold more than one component."""
+        mixed = marked.groupBy("bucket").agg(F.min("c").alias("_lo"), F.max("c").alias("_hi")).where("_lo < _hi").select("bucket")
+        return saved(marked.join(mixed, "bucket", "left_semi"), "mixed")
+
     star = table.where("id <> hub").select(F.least("id", "hub").alias("a"), F.greatest("id", "hub").alias("b"))
     seen, good = checked(star, None)
     for turn in range(pivots + 1):
         found = saved(connected_components(good, "a", "b"), "components")
-        marked = table.select("bucket", "id").join(found.withColumnRenamed("node", "id"), "id", "left").select(
-            "bucket", "id", F.coalesce("component", "id").alias("c")
-        )
-        mixed = marked.groupBy("bucket").agg(F.min("c").alias("_lo"), F.max("c").alias("_hi")).where("_lo < _hi").select("bucket")
-        marked = saved(marked.join(mixed, "bucket", "left_semi"), "mixed")
+        marked = in_mixed(table.select("bucket", "id").join(found.withColumnRenamed("node", "id"), "id", "left").select("bucket", "id", F.coalesce("component", "id").alias("c")))
         if marked.isEmpty():
             return found
         if turn < pivots:
@@ -200,11 +199,15 @@ def linked_groups(buckets: DataFrame, prepare, near: str | None = None, features
             apart = marked.join(one, "bucket").where(F.col("c") != F.col("p.c"))
             pairs = apart.select(F.least("id", "p.id").alias("a"), F.greatest("id", "p.id").alias("b"))
         else:
-            if cols:
-                marked = marked.join(features, "id")
-            left = marked.select("bucket", F.col("id").alias("a"), F.col("c").alias("_ca"), *[F.col(c).alias(f"a_{c}") for c in cols])
-            right = marked.select(F.col("bucket").alias("_bucket"), F.col("id").alias("b"), F.col("c").alias("_cb"), *[F.col(c).alias(f"b_{c}") for c in cols])
-            close = F.expr(near) if near is not None else F.lit(True)
+            both = features
+            if narrow is not None:
+                both = saved(features.join(narrow(marked.select("id").distinct()), "id"), "narrowed")
+                marked = in_mixed(marked.join(both.select("id"), "id", "left_semi"))
+            with_c = [c for c in both.columns if c != "id"]
+            marked = marked.join(both, "id")
+            left = marked.select("bucket", F.col("id").alias("a"), F.col("c").alias("_ca"), *[F.col(c).alias(f"a_{c}") for c in with_c])
+            right = marked.select(F.col("bucket").alias("_bucket"), F.col("id").alias("b"), F.col("c").alias("_cb"), *[F.col(c).alias(f"b_{c}") for c in with_c])
+            close = F.expr(f"({near}) AND ({near_narrow})")
             pairs = left.join(right, (F.col("bucket") == F.col("_bucket")) & (F.col("_ca") != F.col("_cb")) & (F.col("a") < F.col("b")) & close).select("a", "b")
         tested, links = checked(pairs, seen)
         if not links.isEmpty():

@@ -7,7 +7,8 @@ form buckets; a pair of similarity 0.8 misses all 32 bands with probability belo
 
 Two bits per slot make a sketch of 256 bits. Texts of similarity 0.8 differ in 26 of them on average, with a standard deviation below 6; pairs that differ in more
 than ``SKETCH_APART`` are not looked at further, which loses about three in a million of them. All others are verified on the shingle sets: Jaccard similarity of 0.8 or more links them. Equal shingle multisets are collapsed before banding. Classes are the connected components
-of all links; members of a bucket are first compared with one representative, and only pairs that are still apart after that are compared as well.
+of all links; members of a bucket are first compared with representatives, and pairs that are still apart after that are compared as well. Before that last step the shingles of all texts
+still apart are counted: a shingle no other of them has cannot be common to a pair, which bounds the similarity of every pair exactly. Texts and pairs whose bound is below 0.8 need no comparison.
 
 Words are runs of other than ASCII white space, A-Z folded. Texts without words have no shingles and are never linked; each is a class of its own. Null ids are ordinary rows.
 Equal rows share a class. Empty tables give empty results. Only the id and text columns are read.
@@ -32,6 +33,8 @@ SKETCH_APART = 52
 
 
 SKETCH = ["s0", "s1", "s2", "s3"]
+#: For thresholds in double arithmetic.
+EPS = 1e-9
 
 
 def _uniform(h: np.ndarray) -> np.ndarray:
@@ -81,7 +84,7 @@ def signatures(n_texts: int, owner: np.ndarray, shingle: np.ndarray, weight: np.
 
 
 def _sketched(docs: DataFrame) -> DataFrame:
-    """(doc_id, digest, mark, id, bands, sketch) of every row (doc_id, digest, mark, text): id is a hash of the weighted shingles, null without any."""
+    """(doc_id, digest, mark, id, bands, sketch, size) of every row (doc_id, digest, mark, text): id is a hash of the weighted shingles, null without any."""
 
     def sketch(batches):
         for b in batches:
@@ -101,11 +104,11 @@ def _sketched(docs: DataFrame) -> DataFrame:
                 some[owner] = True
                 flat = pa.ListArray.from_arrays(pa.array(np.arange(len(texts) + 1) * bands.shape[1], pa.int32()), pa.array(bands.ravel().view(np.int64)))
                 ids = pa.array(mix64(whole).view(np.int64), pa.int64(), mask=~some)
-                made = [ids, flat, *(pa.array(np.ascontiguousarray(bits[:, k])) for k in range(4))]
-                yield pa.RecordBatch.from_arrays([part.column(0), part.column(1), part.column(2), *made], ["doc_id", "digest", "mark", "id", "bands", *SKETCH])
+                made = [ids, flat, *(pa.array(np.ascontiguousarray(bits[:, k])) for k in range(4)), pa.array(np.bincount(owner, minlength=len(texts)).astype(np.int32))]
+                yield pa.RecordBatch.from_arrays([part.column(0), part.column(1), part.column(2), *made], ["doc_id", "digest", "mark", "id", "bands", *SKETCH, "size"])
 
     kind = dict(docs.dtypes)["doc_id"]
-    return docs.mapInArrow(sketch, f"doc_id {kind}, digest string, mark long, id long, bands array<long>, {', '.join(f'{c} long' for c in SKETCH)}")
+    return docs.mapInArrow(sketch, f"doc_id {kind}, digest string, mark long, id long, bands array<long>, {', '.join(f'{c} long' for c in SKETCH)}, size int")
 
 
 def _similar(pairs):
@@ -125,6 +128,16 @@ def _similar(pairs):
             yield part.select(["a", "b"]).filter(good)
 
 
+def _shingled(batches):
+    """mapInArrow function: (id, shingle) of every distinct shingle of rows (id, text)."""
+    for b in batches:
+        for part in slices(b):
+            owner, shingle, _ = weighted(texts_of(part))
+            for start in range(0, len(owner), 500_000):
+                cut = slice(start, start + 500_000)
+                yield pa.RecordBatch.from_arrays([part.column(0).take(pa.array(owner[cut])), pa.array(shingle[cut].view(np.int64))], ["id", "shingle"])
+
+
 def near_classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", digest=None) -> DataFrame:
     """(doc_id, digest, class) of every row: class is a 64-bit number, equal for rows of one class and only those.
 
@@ -133,9 +146,9 @@ def near_classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     rows = docs.select(F.col(id_col).alias("doc_id"), (digest if digest is not None else F.sha2(whole_text(text_col), 256)).alias("digest"), whole_text(text_col).alias("text"))
     rows = rows.withColumn("mark", F.xxhash64("text"))
     sketched = saved(_sketched(rows.select("doc_id", "digest", "mark", "text")), "sketches")
-    ids = sketched.where("id is not null").groupBy("id").agg(F.first("bands").alias("bands"))
-    buckets = ids.select("id", F.explode("bands").alias("bucket")).distinct()
-    sketches = saved(sketched.where("id is not null").groupBy("id").agg(*[F.min(c).alias(c) for c in SKETCH]), "sketch")
+    ids = saved(sketched.where("id is not null").groupBy("id").agg(*[F.first(c).alias(c) for c in ["bands", *SKETCH, "size"]]), "ids")
+    buckets = ids.select("id", F.explode(F.array_distinct("bands")).alias("bucket"))
+    sketches = ids.drop("bands")
 
     def prepare(wanted: DataFrame):
         """The texts of the wanted ids, found by one mark each; only texts in the marks' bitmap leave the scan."""
@@ -148,10 +161,23 @@ def near_classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
 
         texts = rows.select("mark", "text").mapInArrow(pick, "mark long, text string").join(marks, "mark")
         texts = saved(texts.groupBy("id").agg(F.min("text").alias("text")), "texts")
-        return lambda pairs: with_both(pairs, texts, ["text"]).mapInArrow(_similar, "a long, b long")
+
+        def verify(pairs: DataFrame) -> DataFrame:
+            return with_both(pairs, texts, ["text"]).mapInArrow(_similar, "a long, b long")
+
+        def narrow(wanted: DataFrame) -> DataFrame:
+            """(id, shared) of the texts of which SIMILARITY of the shingles occur in other wanted texts too; shared counts those."""
+            shingles = texts.join(wanted, "id", "left_semi").mapInArrow(_shingled, "id long, shingle long")
+            alone = shingles.groupBy("shingle").agg(F.min("id").alias("id"), F.count(F.lit(1)).alias("n")).where("n = 1").groupBy("id").agg(F.count(F.lit(1)).alias("alone"))
+            sizes = sketches.select("id", "size").join(wanted, "id", "left_semi").join(alone, "id", "left")
+            return sizes.select("id", (F.col("size") - F.coalesce("alone", F.lit(0))).alias("shared"), "size").where(F.col("shared") >= SIMILARITY * F.col("size") - EPS).drop("size")
+
+        return verify, narrow
 
     apart = " + ".join(f"bit_count(a_{c} ^ b_{c})" for c in SKETCH)
-    groups = linked_groups(buckets, prepare, f"{apart} <= {SKETCH_APART}", sketches)
+    near = f"{apart} <= {SKETCH_APART} AND least(a_size, b_size) >= {SIMILARITY}D * greatest(a_size, b_size) - {EPS}"
+    common = "least(a_shared, b_shared)"
+    groups = linked_groups(buckets, prepare, near, sketches, near_narrow=f"{common} >= {SIMILARITY}D * (a_size + b_size - {common}) - {EPS}")
     named = salted_join(sketched.select("doc_id", "digest", "id"), groups.withColumnRenamed("node", "id"), ["id"], "digest", how="left")
     # rows without shingles: each text digest and id on its own, so equal rows still share a class
     alone = F.xxhash64(F.lit("none"), "doc_id", "digest")
