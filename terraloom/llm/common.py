@@ -156,12 +156,12 @@ def shingle_hashes(words: np.ndarray, offsets: np.ndarray, size: int = 5) -> tup
 # ---- groups of linked rows -------------------------------------------------------------------------------------------
 
 
-def linked_groups(buckets: DataFrame, prepare, near: str, features: DataFrame, pivots: int = 2, near_narrow: str = "true") -> DataFrame:
+def linked_groups(buckets: DataFrame, prepare, near: str, features: DataFrame, pivots: int = 2) -> DataFrame:
     """(node, component) of the graph of verified pairs among ids that share a bucket.
 
     ``buckets`` has (bucket, id), an id once per bucket; it is read twice, so it should be cheap to make again. ``features`` has (id, <c>...). ``near`` is a cheap SQL condition on a pair that
     every good pair meets, over a, b and the columns a_<c>, b_<c>. ``prepare`` takes the table of ids (id) in shared buckets and returns two functions: one keeps the good rows of a table of
-    pairs (a, b); the other, or None, takes a table of ids and returns (id, <x>...) of those that can have a partner among them, for the condition ``near_narrow`` over a_<x>, b_<x>, a_<c> and b_<c>.
+    pairs (a, b); the other, or None, makes the pairs of the last step itself, from rows (id, c, <c>...) with the component c: all good pairs of different components must be among them.
 
     Members of a bucket are first compared with its hub, the member with most neighbours over all its buckets (the original of a family of copies meets more of them than they
     meet each other), then with random members of other components: a number of pairs linear in the bucket. Pairs whose ends are still apart after that are compared too, so the components are those of all pairs, while members that are joined already are never paired with each other.
@@ -171,7 +171,7 @@ def linked_groups(buckets: DataFrame, prepare, near: str, features: DataFrame, p
     hubs = table.groupBy("id").agg(F.sum("n").alias("degree"))
     centres = table.join(hubs, "id").groupBy("bucket").agg(F.max(F.struct("degree", "id")).alias("hub")).select("bucket", F.col("hub.id").alias("hub"))
     table = saved(table.join(centres, "bucket").select("bucket", "id", "hub"), "starred")
-    verify, narrow = prepare(table.select("id").distinct())
+    verify, rest = prepare(table.select("id").distinct())
     cols = [c for c in features.columns if c != "id"]
 
     def checked(pairs: DataFrame, seen: DataFrame | None) -> tuple[DataFrame, DataFrame]:
@@ -199,15 +199,14 @@ def linked_groups(buckets: DataFrame, prepare, near: str, features: DataFrame, p
             apart = marked.join(one, "bucket").where(F.col("c") != F.col("p.c"))
             pairs = apart.select(F.least("id", "p.id").alias("a"), F.greatest("id", "p.id").alias("b"))
         else:
-            both = features
-            if narrow is not None:
-                both = saved(features.join(narrow(marked.select("id").distinct()), "id"), "narrowed")
-                marked = in_mixed(marked.join(both.select("id"), "id", "left_semi"))
-            with_c = [c for c in both.columns if c != "id"]
-            marked = marked.join(both, "id")
-            left = marked.select("bucket", F.col("id").alias("a"), F.col("c").alias("_ca"), *[F.col(c).alias(f"a_{c}") for c in with_c])
-            right = marked.select(F.col("bucket").alias("_bucket"), F.col("id").alias("b"), F.col("c").alias("_cb"), *[F.col(c).alias(f"b_{c}") for c in with_c])
-            close = F.expr(f"({near}) AND ({near_narrow})")
+            if rest is not None:
+                pairs = rest(marked.select("id", "c").distinct().join(features, "id"))
+                tested, links = checked(pairs, seen)
+                return found if links.isEmpty() else connected_components(good.unionByName(links), "a", "b")
+            marked = marked.join(features, "id")
+            left = marked.select("bucket", F.col("id").alias("a"), F.col("c").alias("_ca"), *[F.col(c).alias(f"a_{c}") for c in cols])
+            right = marked.select(F.col("bucket").alias("_bucket"), F.col("id").alias("b"), F.col("c").alias("_cb"), *[F.col(c).alias(f"b_{c}") for c in cols])
+            close = F.expr(near)
             pairs = left.join(right, (F.col("bucket") == F.col("_bucket")) & (F.col("_ca") != F.col("_cb")) & (F.col("a") < F.col("b")) & close).select("a", "b")
         tested, links = checked(pairs, seen)
         if not links.isEmpty():

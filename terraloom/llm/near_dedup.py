@@ -7,8 +7,9 @@ form buckets; a pair of similarity 0.8 misses all 32 bands with probability belo
 
 Two bits per slot make a sketch of 256 bits. Texts of similarity 0.8 differ in 26 of them on average, with a standard deviation below 6; pairs that differ in more
 than ``SKETCH_APART`` are not looked at further, which loses about three in a million of them. All others are verified on the shingle sets: Jaccard similarity of 0.8 or more links them. Equal shingle multisets are collapsed before banding. Classes are the connected components
-of all links; members of a bucket are first compared with representatives, and pairs that are still apart after that are compared as well. Before that last step the shingles of all texts
-still apart are counted: a shingle no other of them has cannot be common to a pair, which bounds the similarity of every pair exactly. Texts and pairs whose bound is below 0.8 need no comparison.
+of all links; members of a bucket are first compared with representatives. The rest, pairs whose ends are still apart, is found exactly from the shingles of the texts still apart:
+a text keeps its place only if 0.8 of its shingles occur in others of them, and pairs must share one of the rarest shingles of both, early enough that what follows can still reach 0.8
+(prefix and position filters of set similarity joins, Xiao et al., 2008).
 
 Words are runs of other than ASCII white space, A-Z folded. Texts without words have no shingles and are never linked; each is a class of its own. Null ids are ordinary rows.
 Equal rows share a class. Empty tables give empty results. Only the id and text columns are read.
@@ -18,7 +19,7 @@ from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from terraloom.llm.common import bitmap, in_bitmap, linked_groups, mix64, row_digest, saved, shingle_hashes, slices, texts_of, whole_text, with_both, word_hashes
@@ -150,6 +151,9 @@ def near_classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     buckets = ids.select("id", F.explode(F.array_distinct("bands")).alias("bucket"))
     sketches = ids.drop("bands")
 
+    apart = " + ".join(f"bit_count(a_{c} ^ b_{c})" for c in SKETCH)
+    near = f"{apart} <= {SKETCH_APART} AND least(a_size, b_size) >= {SIMILARITY}D * greatest(a_size, b_size) - {EPS}"
+
     def prepare(wanted: DataFrame):
         """The texts of the wanted ids, found by one mark each; only texts in the marks' bitmap leave the scan."""
         marks = saved(sketched.join(wanted, "id", "left_semi").groupBy("id").agg(F.min("mark").alias("mark")), "marks")
@@ -165,19 +169,28 @@ def near_classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
         def verify(pairs: DataFrame) -> DataFrame:
             return with_both(pairs, texts, ["text"]).mapInArrow(_similar, "a long, b long")
 
-        def narrow(wanted: DataFrame) -> DataFrame:
-            """(id, shared) of the texts of which SIMILARITY of the shingles occur in other wanted texts too; shared counts those."""
-            shingles = texts.join(wanted, "id", "left_semi").mapInArrow(_shingled, "id long, shingle long")
+        def rest(apart: DataFrame) -> DataFrame:
+            """Pairs of different components that may be similar, from rows (id, c, size, sketch)."""
+            apart = saved(apart, "apart")
+            shingles = texts.join(apart.select("id"), "id", "left_semi").mapInArrow(_shingled, "id long, shingle long")
             alone = shingles.groupBy("shingle").agg(F.min("id").alias("id"), F.count(F.lit(1)).alias("n")).where("n = 1").groupBy("id").agg(F.count(F.lit(1)).alias("alone"))
-            sizes = sketches.select("id", "size").join(wanted, "id", "left_semi").join(alone, "id", "left")
-            return sizes.select("id", (F.col("size") - F.coalesce("alone", F.lit(0))).alias("shared"), "size").where(F.col("shared") >= SIMILARITY * F.col("size") - EPS).drop("size")
-
-        return verify, narrow
-
-    apart = " + ".join(f"bit_count(a_{c} ^ b_{c})" for c in SKETCH)
-    near = f"{apart} <= {SKETCH_APART} AND least(a_size, b_size) >= {SIMILARITY}D * greatest(a_size, b_size) - {EPS}"
-    common = "least(a_shared, b_shared)"
-    groups = linked_groups(buckets, prepare, near, sketches, near_narrow=f"{common} >= {SIMILARITY}D * (a_size + b_size - {common}) - {EPS}")
+            able = saved(apart.join(alone, "id", "left").where(F.col("size") - F.coalesce("alone", F.lit(0)) >= SIMILARITY * F.col("size") - EPS).drop("alone"), "able")
+            shingles = saved(texts.join(able.select("id"), "id", "left_semi").mapInArrow(_shingled, "id long, shingle long"), "shingles")
+            often = shingles.groupBy("shingle").agg(F.count(F.lit(1)).alias("n")).where("n > 1")
+            ranked = salted_join(shingles, often, ["shingle"], "id", how="left")
+            ranked = ranked.withColumn("at", F.row_number().over(Window.partitionBy("id").orderBy(F.coalesce("n", F.lit(1)), "shingle")))  # one document's shingles
+            first = ranked.where("n is not null").join(able, "id").where(F.col("at") <= F.col("size") - SIMILARITY * F.col("size") + 1 + EPS)
+            first = saved(first.select("shingle", "id", "c", "at", "size", *SKETCH), "prefixes")
+            cols = ["at", "size", *SKETCH]
+            left = first.select("shingle", F.col("id").alias("a"), F.col("c").alias("_ca"), *[F.col(c).alias(f"a_{c}") for c in cols])
+            right = first.select(F.col("shingle").alias("_shingle"), F.col("id").alias("b"), F.col("c").alias("_cb"), *[F.col(c).alias(f"b_{c}") for c in cols])
+            # the first shingle both have: they can share it and what follows it in the shorter remainder
+            reach = f"1 + least(a_size - a_at, b_size - b_at) >= {SIMILARITY / (1 + SIMILARITY)}D * (a_size + b_size) - {EPS}"
+            return left.join(right, (F.col("shingle") == F.col("_shingle")) & (F.col("_ca") != F.col("_cb")) & (F.col("a") < F.col("b")) & F.expr(f"{reach} AND {near}")).select("a", "b")
+
+        return verify, rest
+
+    groups = linked_groups(buckets, prepare, near, sketches, pivots=1)
     named = salted_join(sketched.select("doc_id", "digest", "id"), groups.withColumnRenamed("node", "id"), ["id"], "digest", how="left")
     # rows without shingles: each text digest and id on its own, so equal rows still share a class
     alone = F.xxhash64(F.lit("none"), "doc_id", "digest")
