@@ -109,13 +109,17 @@ def ring_area_m2(ring: Column) -> Column:
 
 
 def ring_centroid(ring: Column) -> Column:
-    """Area centroid of a closed ring."""
+    """Area centroid of a closed ring; the mean of the vertices if the ring has no area."""
     e = _edges(ring)
     cross = F.aggregate(e, F.lit(0.0), lambda acc, x: acc + x["cross"])
     cx = F.aggregate(e, F.lit(0.0), lambda acc, x: acc + x["sx"] * x["cross"])
     cy = F.aggregate(e, F.lit(0.0), lambda acc, x: acc + x["sy"] * x["cross"])
-    o = F.element_at(ring, 1)
-    return point(o["lon"] + cx / (3 * cross), o["lat"] + cy / (3 * cross))
+    mx = F.aggregate(e, F.lit(0.0), lambda acc, x: acc + x["sx"])
+    my = F.aggregate(e, F.lit(0.0), lambda acc, x: acc + x["sy"])
+    o = F.get(ring, F.lit(0))
+    lon = F.coalesce(F.try_divide(cx, 3 * cross), F.try_divide(mx, 2 * F.size(e)))
+    lat = F.coalesce(F.try_divide(cy, 3 * cross), F.try_divide(my, 2 * F.size(e)))
+    return point(o["lon"] + lon, o["lat"] + lat)
 
 
 def wkt_polygon(ring: Column, digits: int = 6) -> Column:

@@ -235,7 +235,7 @@ def leaders(points: DataFrame, key: str, radius: float, min_points: int = 1, by:
         "cy", F.floor(F.col("lat") / side)
     )
     if found is None:
-        return points.select(key, F.lit(None).cast("long").alias("leader"))
+        return points.select(key, F.lit(None).cast(points.schema[key].dataType).alias("leader"))
     taken = salted_join(base, _around(found), cell, "k").where(d < radius).groupBy("k").agg(F.min("ok").alias("leader"))
     return points.select(key).join(taken.withColumnRenamed("k", key), key, "left")
 

@@ -2,6 +2,7 @@
 
 from pyspark.sql import functions as F
 
+from terraloom.functions.geo import ring_centroid
 from terraloom.operators.depression import index_significance
 from terraloom.sources import readers
 
@@ -23,3 +24,10 @@ def test_malformed_properties(spark):
     got = {r["id"]: r for r in readers.feature_rows(rows).collect()}
     assert got["a"]["confidence"] == 0.6
     assert "b" not in got
+
+
+def test_flat_ring(spark):
+    corners = [[(0.0, 0.0), (2.0, 0.0), (4.0, 0.0), (0.0, 0.0)], [(0.0, 0.0), (3.0, 0.0), (0.0, 3.0), (0.0, 0.0)]]
+    rows = spark.createDataFrame([(k, r) for k, r in enumerate(corners)], "k int, ring array<struct<lon:double,lat:double>>")
+    got = [tuple(r["p"]) for r in rows.select("k", ring_centroid(F.col("ring")).alias("p")).orderBy("k").collect()]
+    assert got == [(2.0, 0.0), (1.0, 1.0)]
