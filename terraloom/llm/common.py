@@ -11,8 +11,7 @@ import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from terraloom.operators.graph import connected_components
-from terraloom.runtime import ensure_checkpoint_dir, salted_join
+from terraloom.runtime import ensure_checkpoint_dir, heavy_keys
 
 SPACE = r"[\x20\x09-\x0D]"
 WORD = r"[^\x20\x09-\x0D]"
@@ -156,6 +155,38 @@ def shingle_hashes(words: np.ndarray, offsets: np.ndarray, size: int = 5) -> tup
 # ---- groups of linked rows -------------------------------------------------------------------------------------------
 
 
+def components(edges: DataFrame, src: str = "a", dst: str = "b") -> DataFrame:
+    """(node, component) for every node that has an edge; the component is its smallest node.
+
+    Large-star and small-star rounds (Kiveris et al., 2014) until only stars are left. Every round is written as Parquet, so that a round starts from a few files and not from every
+    partition of the one before it. One pass counts how often a node is the larger and the smaller end, which tells whether a node has two roots or a root has one itself.
+    """
+    e = saved(edges.select(F.greatest(src, dst).alias("u"), F.least(src, dst).alias("v")).where("u <> v").distinct(), "edges")
+    while True:
+        ends = e.select(F.explode(F.array(F.struct(F.col("u").alias("node"), F.lit(1).alias("up"), F.lit(0).alias("down")), F.struct("v", F.lit(0), F.lit(1)))).alias("end"))
+        ends = ends.groupBy("end.node").agg(F.sum("end.up").alias("up"), F.max("end.down").alias("down"))
+        if ends.where("up > 1 OR (up = 1 AND down = 1)").isEmpty():
+            break
+        both = e.select(F.explode(F.array(F.struct("u", "v"), F.struct(F.col("v").alias("u"), F.col("u").alias("v")))).alias("e")).select("e.*")
+        low = both.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m"))
+        large = e.select(F.col("v").alias("u"), F.col("u").alias("v")).join(low, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v")
+        large = saved(large.distinct(), "edges")
+        floor = large.groupBy("u").agg(F.min("v").alias("m"))
+        small = large.join(floor, "u").select(F.explode(F.array(F.struct(F.col("v").alias("u"), F.col("m").alias("v")), F.struct("u", F.col("m").alias("v")))).alias("e"))
+        e = saved(small.select("e.*").where("u <> v").distinct(), "edges")
+    members = e.select(F.col("u").alias("node"), F.col("v").alias("component"))
+    return members.unionByName(e.select(F.col("v").alias("node"), F.col("v").alias("component")).distinct())
+
+
+def merged_components(found: DataFrame, links: DataFrame) -> DataFrame:
+    """``found`` (node, component) after adding the edges ``links`` (a, b): only edges between components are contracted."""
+    named = [found.select(F.col("node").alias(end), F.col("component").alias(f"_{end}")) for end in "ab"]
+    between = links.join(named[0], "a", "left").join(named[1], "b", "left").select(F.coalesce("_a", "a").alias("a"), F.coalesce("_b", "b").alias("b"))
+    top = components(between).select(F.col("node").alias("component"), F.col("component").alias("_top"))
+    new = links.select(F.explode(F.array("a", "b")).alias("node")).distinct().join(found, "node", "left_anti").select("node", F.col("node").alias("component"))
+    return found.unionByName(new).join(top, "component", "left").select("node", F.coalesce("_top", "component").alias("component"))
+
+
 def linked_groups(buckets: DataFrame, prepare, near: str, features: DataFrame, pivots: int = 2) -> DataFrame:
     """(node, component) of the graph of verified pairs among ids that share a bucket.
 
@@ -189,8 +220,8 @@ def linked_groups(buckets: DataFrame, prepare, near: str, features: DataFrame, p
 
     star = table.where("id <> hub").select(F.least("id", "hub").alias("a"), F.greatest("id", "hub").alias("b"))
     seen, good = checked(star, None)
+    found = saved(components(good), "components")
     for turn in range(pivots + 1):
-        found = saved(connected_components(good, "a", "b"), "components")
         marked = in_mixed(table.select("bucket", "id").join(found.withColumnRenamed("node", "id"), "id", "left").select("bucket", "id", F.coalesce("component", "id").alias("c")))
         if marked.isEmpty():
             return found
@@ -202,7 +233,7 @@ def linked_groups(buckets: DataFrame, prepare, near: str, features: DataFrame, p
             if rest is not None:
                 pairs = rest(marked.select("id", "c").distinct().join(features, "id"))
                 tested, links = checked(pairs, seen)
-                return found if links.isEmpty() else connected_components(good.unionByName(links), "a", "b")
+                return found if links.isEmpty() else merged_components(found, links)
             marked = marked.join(features, "id")
             left = marked.select("bucket", F.col("id").alias("a"), F.col("c").alias("_ca"), *[F.col(c).alias(f"a_{c}") for c in cols])
             right = marked.select(F.col("bucket").alias("_bucket"), F.col("id").alias("b"), F.col("c").alias("_cb"), *[F.col(c).alias(f"b_{c}") for c in cols])
@@ -210,18 +241,28 @@ def linked_groups(buckets: DataFrame, prepare, near: str, features: DataFrame, p
             pairs = left.join(right, (F.col("bucket") == F.col("_bucket")) & (F.col("_ca") != F.col("_cb")) & (F.col("a") < F.col("b")) & close).select("a", "b")
         tested, links = checked(pairs, seen)
         if not links.isEmpty():
-            good = saved(good.unionByName(links), "links")
-        elif turn == pivots:
-            return found
-        seen = saved(seen.unionByName(tested), "seen")
-    return connected_components(good, "a", "b")
+            found = saved(merged_components(found, links), "components")
+        if turn < pivots:
+            seen = seen.unionByName(tested)
+    return found
 
 
 def with_both(pairs: DataFrame, payload: DataFrame, cols: list[str]) -> DataFrame:
-    """``pairs`` (a, b) with the columns of ``payload`` (id, ...) of both ends, as a_... and b_...; hot ends are split."""
-    left = payload.select(F.col("id").alias("a"), *[F.col(c).alias(f"a_{c}") for c in cols])
-    right = payload.select(F.col("id").alias("b"), *[F.col(c).alias(f"b_{c}") for c in cols])
-    return salted_join(salted_join(pairs, left, ["a"], "b"), right, ["b"], "a")
+    """``pairs`` (a, b) with the columns of ``payload`` (id, ...) of both ends, as a_... and b_....
+
+    Ends that occur in many pairs are cut into slices by the other end. Both ends are cut before the first join, so that the pairs are counted as they are and never joined twice.
+    """
+    ends = [("a", "b"), ("b", "a")]
+    hot = {end: F.broadcast(heavy_keys(pairs, [end])) for end, _ in ends}  # fewer than 512 rows each
+    out = pairs
+    for end, other in ends:
+        out = out.join(hot[end].withColumnRenamed("_slices", f"_n{end}"), end, "left")
+    out = out.select(*pairs.columns, *[F.pmod(F.xxhash64(other), F.coalesce(F.col(f"_n{end}"), F.lit(1))).cast("int").alias(f"_s{end}") for end, other in ends])
+    for end, _ in ends:
+        side = payload.select(F.col("id").alias(end), *[F.col(c).alias(f"{end}_{c}") for c in cols]).join(hot[end], end, "left")
+        side = side.withColumn(f"_s{end}", F.explode(F.sequence(F.lit(0), F.coalesce(F.col("_slices"), F.lit(1)) - 1))).drop("_slices")
+        out = out.join(side, [end, f"_s{end}"])
+    return out.drop("_sa", "_sb")
 
 
 # ---- ordered sums ----------------------------------------------------------------------------------------------------
