@@ -163,7 +163,7 @@ def components(edges: DataFrame, src: str = "a", dst: str = "b") -> DataFrame:
     """
     e = saved(edges.select(F.greatest(src, dst).alias("u"), F.least(src, dst).alias("v")).where("u <> v").distinct(), "edges")
     while True:
-        ends = e.select(F.explode(F.array(F.struct(F.col("u").alias("node"), F.lit(1).alias("up"), F.lit(0).alias("down")), F.struct("v", F.lit(0), F.lit(1)))).alias("end"))
+        ends = e.select(F.explode(F.array(*[F.struct(F.col(c).alias("node"), F.lit(x).alias("up"), F.lit(1 - x).alias("down")) for c, x in (("u", 1), ("v", 0))])).alias("end"))
         ends = ends.groupBy("end.node").agg(F.sum("end.up").alias("up"), F.max("end.down").alias("down"))
         if ends.where("up > 1 OR (up = 1 AND down = 1)").isEmpty():
             break
@@ -172,7 +172,7 @@ def components(edges: DataFrame, src: str = "a", dst: str = "b") -> DataFrame:
         large = e.select(F.col("v").alias("u"), F.col("u").alias("v")).join(low, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v")
         large = saved(large.distinct(), "edges")
         floor = large.groupBy("u").agg(F.min("v").alias("m"))
-        small = large.join(floor, "u").select(F.explode(F.array(F.struct(F.col("v").alias("u"), F.col("m").alias("v")), F.struct("u", F.col("m").alias("v")))).alias("e"))
+        small = large.join(floor, "u").select(F.explode(F.array(*[F.struct(F.col(c).alias("u"), F.col("m").alias("v")) for c in "uv"])).alias("e"))
         e = saved(small.select("e.*").where("u <> v").distinct(), "edges")
     members = e.select(F.col("u").alias("node"), F.col("v").alias("component"))
     return members.unionByName(e.select(F.col("v").alias("node"), F.col("v").alias("component")).distinct())
