@@ -114,6 +114,19 @@ _IS_SPACE = np.zeros(256, dtype=bool)
 _IS_SPACE[[9, 10, 11, 12, 13, 32]] = True
 
 
+def folded_bytes(raw: bytes) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(bytes with A-Z folded, whether each is ASCII white space, whether it is not)."""
+    out = _LOWER[np.frombuffer(raw, dtype=np.uint8)]
+    space = _IS_SPACE[out]
+    return out, space, ~space
+
+
+def byte_prefixes(raw: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Sums p and inverse powers v so that (p[b] - p[a]) * v[a] is a hash of the bytes from a to b, wherever they are."""
+    power, inverse = _powers(len(raw) + 1)
+    return np.concatenate([np.zeros(1, np.uint64), np.cumsum((raw.astype(np.uint64) + np.uint64(1)) * power[: len(raw)])]), inverse
+
+
 def word_hashes(texts: list[str], fold: bool = True) -> tuple[np.ndarray, np.ndarray]:
     """64-bit hashes of all words (runs of other than ASCII white space) and the word offsets per text.
 

@@ -191,6 +191,40 @@ def test_lines(spark):
     assert got == [(1, 3, 0, rows[0][1]), (2, 2, 1, "short"), (2, 2, 1, "short"), (3, 0, 0, ""), (99, 1, 1, "")]
 
 
+def test_near_lines_are_found(spark):
+    """Recall of pairs with an edit similarity of 0.9, against brute force, by number of words and kind of edit."""
+    r, pairs, kinds = random.Random(7), [], []
+    for n in (4, 8, 12, 20, 50):
+        for kind in ("word", "letters"):
+            for k in range(40):
+                words = ["".join(r.choice("abcdefghijklmnopqrstuvwxyz") for _ in range(r.randint(2, 9))) for _ in range(n)]
+                line = " ".join(words)
+                if kind == "word":
+                    at = r.randrange(n)
+                    words[at] = words[at][:-1] + ("q" if words[at][-1] != "q" else "x") if n < 12 else "edit"
+                    other = " ".join(words)
+                else:
+                    other = list(line)
+                    for _ in range(r.randint(0, len(line) // 12)):
+                        at = r.randrange(len(other))
+                        other[at] = r.choice("abcdefghijklmnopqrstuvwxyz")
+                    other = "".join(other)
+                codes = [np.array([ord(c) for c in x], np.uint32) for x in (line, other)]
+                if line != other and line_dedup.edit_distance_within(*codes, int(0.1 * max(len(line), len(other)))):
+                    pairs.append((line, other))
+                    kinds.append((n, kind))
+    docs = spark.createDataFrame([(2 * i + j, x) for i, p in enumerate(pairs) for j, x in enumerate(p)], "doc_id long, text string")
+    dropped = {x["doc_id"] // 2 for x in line_dedup.clean_lines(docs).where("n_dropped = 1").collect()}
+    for kind in set(kinds):
+        own = [i for i, k in enumerate(kinds) if k == kind]
+        assert sum(i in dropped for i in own) >= 0.9 * len(own), kind
+
+
+def test_short_lines_join_by_identity(spark):
+    docs = spark.createDataFrame([(1, "All rights\nown text of one"), (2, "all  RIGHTS\nno copy here"), (3, "all\nall of")], "doc_id long, text string")
+    assert {x["doc_id"]: x["text"] for x in line_dedup.clean_lines(docs).collect()} == {1: "All rights\nown text of one", 2: "no copy here", 3: "all\nall of"}
+
+
 def test_edit_distance():
     def full(a, b):
         row = list(range(len(b) + 1))
