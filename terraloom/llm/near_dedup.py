@@ -1,12 +1,13 @@
-"""Near duplicates by ProbMinHash over weighted word shingles, with banding and exact verification.
+"""Near duplicates by ProbMinHash over sets of word shingles, with banding and exact verification.
 
-A document is the set of its runs of five words (a shorter text is one shingle), weighted by how often each occurs. ProbMinHash (Ertl, 2020) lets the
-arrivals of a Poisson process per shingle, with the weight as rate, compete for the slots of the signature; a shingle stops as soon as its next arrival is
-later than every slot's best. Two documents agree in a slot with the probability Jaccard similarity of their weights. Bands of four of the 128 slots
+A document is the set of its runs of five words (a shorter text is one shingle). ProbMinHash (Ertl, 2020) lets the
+arrivals of a Poisson process per shingle, with its weight as rate, compete for the slots of the signature; a shingle stops as soon as its next arrival is
+later than every slot's best. All weights are 1 here, however often a passage repeats in a text, so two documents agree in a slot with the probability
+of the Jaccard similarity of their sets, the measure that links them. Bands of four of the 128 slots
 form buckets; a pair of similarity 0.8 misses all 32 bands with probability below 1e-7.
 
 Two bits per slot make a sketch of 256 bits. Texts of similarity 0.8 differ in 26 of them on average, with a standard deviation below 6; pairs that differ in more
-than ``SKETCH_APART`` are not looked at further, which loses about three in a million of them. All others are verified on the shingle sets: Jaccard similarity of 0.8 or more links them. Equal shingle multisets are collapsed before banding. Classes are the connected components
+than ``SKETCH_APART`` are not looked at further, which loses about three in a million of them. All others are verified on the shingle sets: Jaccard similarity of 0.8 or more links them. Equal shingle sets are collapsed before banding. Classes are the connected components
 of all links; members of a bucket are first compared with representatives. The rest, pairs whose ends are still apart, is found exactly from the shingles of the texts still apart:
 a text keeps its place only if 0.8 of its shingles occur in others of them, and pairs must share one of the rarest shingles of both, early enough that what follows can still reach 0.8
 (prefix and position filters of set similarity joins, Xiao et al., 2008).
@@ -85,14 +86,14 @@ def signatures(n_texts: int, owner: np.ndarray, shingle: np.ndarray, weight: np.
 
 
 def _sketched(docs: DataFrame) -> DataFrame:
-    """(doc_id, digest, mark, id, bands, sketch, size) of every row (doc_id, digest, mark, text): id is a hash of the weighted shingles, null without any."""
+    """(doc_id, digest, mark, id, bands, sketch, size) of every row (doc_id, digest, mark, text): id is a hash of the shingle set, null without any."""
 
     def sketch(batches):
         for b in batches:
             for part in slices(b):
                 texts = texts_of(part)
-                owner, shingle, weight = weighted(texts)
-                sig = signatures(len(texts), owner, shingle, weight)
+                owner, shingle, _ = weighted(texts)
+                sig = signatures(len(texts), owner, shingle, np.ones(len(owner)))  # the sets, which _similar compares
                 bands = np.zeros((len(texts), SLOTS // BAND), np.uint64)
                 for k in range(BAND):
                     bands = mix64(bands * np.uint64(31) + sig[:, k::BAND] + np.uint64(k + 1))
@@ -100,7 +101,7 @@ def _sketched(docs: DataFrame) -> DataFrame:
                 two = mix64(sig)
                 bits = np.packbits(np.concatenate([two & np.uint64(1), (two >> np.uint64(1)) & np.uint64(1)], axis=1).astype(np.uint8), axis=1).view(np.int64)
                 whole = np.zeros(len(texts), np.uint64)
-                np.add.at(whole, owner, mix64(shingle ^ mix64(weight.astype(np.uint64))))
+                np.add.at(whole, owner, mix64(shingle))
                 some = np.zeros(len(texts), bool)
                 some[owner] = True
                 flat = pa.ListArray.from_arrays(pa.array(np.arange(len(texts) + 1) * bands.shape[1], pa.int32()), pa.array(bands.ravel().view(np.int64)))

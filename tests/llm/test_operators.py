@@ -165,6 +165,20 @@ def test_near_classes_equal_brute_force(spark):
     assert {x["doc_id"]: x["class_id"] for x in got} == dict(enumerate(label))
 
 
+def test_near_classes_with_a_repeated_passage(spark):
+    """Links are by shingle sets, so a passage that one text repeats many times does not part two texts."""
+    texts = []
+    for k in range(10):
+        words = ["%d%s" % (k, w) for w in map(str, range(204))]
+        texts += [" ".join(words), " ".join(words + words[40:56] * 50)]
+        assert len({tuple(words[i: i + 5]) for i in range(200)}) == 200
+    for a, b in zip(texts[::2], texts[1::2]):
+        x, y = ({tuple(t.split()[i: i + 5]) for i in range(len(t.split()) - 4)} for t in (a, b))
+        assert len(x & y) >= 0.8 * len(x | y)
+    got = near_dedup.with_keepers(near_dedup.near_classes(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string"))).collect()
+    assert {x["doc_id"]: x["class_id"] for x in got} == {i: i - i % 2 for i in range(len(texts))}
+
+
 def test_signature_estimates_probability_jaccard():
     a, b = prose(400, 5).split(), prose(400, 5).split()
     b[::40] = ["x"] * 10
