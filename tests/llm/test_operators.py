@@ -284,6 +284,15 @@ def test_context_mixing_base_and_held_out(spark):
     assert held["score"].sum() > 1.1 * held["base_score"].sum()  # close to the best there is for words drawn evenly
 
 
+def test_context_mixing_counts_rare_ends(spark, monkeypatch):
+    docs = spark.createDataFrame([(i, prose(60, i)) for i in range(20)], "doc_id long, text string")
+    columns = ["doc_id", "n_tokens", "n_known", "base_score", "score", "bits"]
+    want = context_mixing.score_documents(docs).toPandas().sort_values("doc_id")[columns].to_numpy(float)
+    monkeypatch.setattr(context_mixing, "HEAVY", 1)  # no word is broadcast, the end neither
+    got = context_mixing.score_documents(docs).toPandas().sort_values("doc_id")[columns].to_numpy(float)
+    assert np.allclose(got, want, rtol=1e-5)
+
+
 def test_pipeline_stages_chain(spark):
     out = corpus_pipeline.run(spark, "/root/testdata/sf0.001").toPandas()
     assert len(out) and (out.sort_values("start")["n_tokens"].cumsum().shift(fill_value=0) == out.sort_values("start")["start"]).all()
