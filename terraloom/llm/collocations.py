@@ -2,8 +2,8 @@
 
 A task reads its texts in slices and emits, for every prefix of k - 1 words, the words that follow it there with their counts: a stripe. Stripes of one prefix are merged element by element. A merged stripe
 gives the counts of all extensions, the prefix's own total (words that cannot belong to a candidate are one nameless entry) and the largest extension, which is all that dropping covered phrases needs: among the
-longer phrases around a phrase, one with a single word more has the largest count. Stripes are cut into ``PARTS`` parts by a hash of the following word, so that the stripe of a
-frequent word is spread over tasks; a part never depends on the data.
+longer phrases around a phrase, one with a single word more has the largest count. A stripe travels as one row, its words as one text. The stripes of prefixes with more than 1 / ``HOT`` of all words, fewer than HOT, and of the
+empty prefix are cut into parts by a hash of the following word, so that the stripe of a frequent prefix is spread over tasks.
 
 Lengths are counted one after the other. A phrase of k words with MIN_COUNT occurrences consists of two phrases of k - 1 words that have as many, so at length k a prefix takes part only if it is among the phrases
 counted before, and a following word only if the phrase that ends with it is. Tasks test this in a broadcast bitmap of phrase hashes, sized from the number of phrases and never above ``MAX_BITS`` bits (32 MB); a false
@@ -34,9 +34,8 @@ TOP = 2000
 #: A longer phrase covers a phrase if it has at least this share of its occurrences, in per cent.
 COVER = 80
 SCALE = 2_000_000
-PARTS = 32
-#: Parts of the stripe of the empty prefix, which every word follows.
-FIRST_PARTS = 4096
+#: Parts of the stripe of a hot prefix, and of the empty prefix, which every word follows.
+PARTS, FIRST_PARTS, HOT = 256, 4096, 512
 MAX_BITS = 28
 RUN = 2_000_000
 UNKNOWN = "und"
@@ -119,8 +118,8 @@ def phrase_step(h: np.ndarray, word: np.ndarray) -> np.ndarray:
     return mix64(h * np.uint64(31) + word)
 
 
-def slice_stripes(w: Words, size: int, alive: np.ndarray | None) -> pa.RecordBatch | None:
-    """The stripes of one slice: rows (lang, prefix, part, words, counts), the nameless entry as a null word."""
+def slice_stripes(w: Words, size: int, alive: np.ndarray | None, hot: np.ndarray | None = None) -> pa.RecordBatch | None:
+    """The stripes of one slice: rows (lang, prefix, part, words, counts); words are joined by spaces, the nameless entry is the empty word. ``hot`` holds hashes of prefixes to cut."""
     n, k = len(w.codes), size - 1
     if n == 0:
         return None
@@ -128,7 +127,7 @@ def slice_stripes(w: Words, size: int, alive: np.ndarray | None) -> pa.RecordBat
     at = np.arange(n)
     if k == 0:
         at = at[w.starts]
-        prefix, follow = w.lang[at], w.codes[at]
+        prefix, follow, parts = w.lang[at], w.codes[at], np.full(len(at), FIRST_PARTS)
     else:
         h, whole = w.hashes(k)
         ok = whole & in_bitmap(alive, h)
@@ -141,42 +140,65 @@ def slice_stripes(w: Words, size: int, alive: np.ndarray | None) -> pa.RecordBat
         for j in range(k):
             _, prefix = np.unique(prefix * width + w.codes[at + j], return_inverse=True)
         follow = np.where(inside, w.codes[then], -1)
+        parts = np.where(np.isin(h[at], hot), PARTS, 1) if hot is not None and len(hot) else np.ones(len(at), np.int64)
     if len(at) == 0:
         return None
     _, one, count = np.unique(prefix * width + follow + 1, return_index=True, return_counts=True)
-    prefix, follow, at = prefix[one], follow[one], at[one]
-    part = np.where(follow < 0, 0, (string_hashes(w.words)[np.maximum(follow, 0)] % np.uint64(PARTS if k else FIRST_PARTS)).astype(np.int64))
+    prefix, follow, at, parts = prefix[one], follow[one], at[one], parts[one]
+    spread = (string_hashes(w.words) >> np.uint64(8)).astype(np.int64)
+    part = np.where(follow < 0, 0, spread[np.maximum(follow, 0)] % parts)
     order = np.lexsort((part, prefix))
     prefix, follow, at, part, count = prefix[order], follow[order], at[order], part[order], count[order]
     new = np.flatnonzero(np.concatenate([[True], (prefix[1:] != prefix[:-1]) | (part[1:] != part[:-1])]))
     names = [w.words.take(pa.array(w.codes[at[new] + j])) for j in range(k)]
     joined = pc.binary_join_element_wise(*names, " ") if k > 1 else names[0] if k else pa.array([""] * len(new), pa.string())
     offsets = pa.array(np.append(new, len(follow)), pa.int32())
-    words = w.words.take(pa.array(np.maximum(follow, 0), mask=follow < 0))
+    words = pc.fill_null(w.words.take(pa.array(np.maximum(follow, 0), mask=follow < 0)), "")
     return pa.RecordBatch.from_arrays(
-        [pa.array(w.langs, pa.string()).take(pa.array(w.lang[at[new]])), joined, pa.array(part[new], pa.int32()), pa.ListArray.from_arrays(offsets, words), pa.ListArray.from_arrays(offsets, pa.array(count, pa.int64()))],
+        [
+            pa.array(w.langs, pa.string()).take(pa.array(w.lang[at[new]])), joined, pa.array(part[new], pa.int32()), pc.binary_join(pa.ListArray.from_arrays(offsets, words), " "),
+            pa.ListArray.from_arrays(offsets, pa.array(count, pa.int32())),
+        ],
         ["lang", "prefix", "part", "words", "counts"],
     )
 
 
-def merged_stripes(docs: DataFrame, size: int, alive=None, least: int = MIN_COUNT) -> DataFrame:
+def merged_stripes(docs: DataFrame, size: int, alive=None, hot: np.ndarray | None = None, least: int = MIN_COUNT) -> DataFrame:
     """(lang, prefix, part, total, extensions): total over all entries of the part, extensions (word, c) with at least ``least`` occurrences."""
 
     def emit(batches):
         bits = None if alive is None else alive.value
         for b in batches:
             for s in slices(b, "text"):
-                made = slice_stripes(Words(texts_of(s), s.column(1).to_pylist()), size, bits)
+                made = slice_stripes(Words(texts_of(s), s.column(1).to_pylist()), size, bits, hot)
                 if made is not None:
                     yield made
 
-    stripes = docs.mapInArrow(emit, "lang string, prefix string, part int, words array<string>, counts array<long>").repartition("lang", "prefix", "part")
-    entries = stripes.select("lang", "prefix", "part", F.explode(F.arrays_zip("words", "counts")).alias("e"))
-    entries = entries.groupBy("lang", "prefix", "part", F.col("e.words").alias("word")).agg(F.sum("e.counts").alias("c"))
-    frequent = F.when((F.col("c") >= least) & F.col("word").isNotNull(), F.struct("word", "c"))
+    stripes = docs.mapInArrow(emit, "lang string, prefix string, part int, words string, counts array<int>").repartition("lang", "prefix", "part")
+    entries = stripes.select("lang", "prefix", "part", F.explode(F.arrays_zip(F.split("words", " ", -1).alias("word"), F.col("counts").alias("n"))).alias("e"))
+    entries = entries.groupBy("lang", "prefix", "part", F.col("e.word").alias("word")).agg(F.sum(F.col("e.n").cast("long")).alias("c"))
+    frequent = F.when((F.col("c") >= least) & (F.col("word") != ""), F.struct("word", "c"))
     return entries.groupBy("lang", "prefix", "part").agg(F.sum("c").alias("total"), F.collect_list(frequent).alias("extensions"))
 
 
+def hot_prefixes(phrases: DataFrame, size: int, words: int) -> np.ndarray:
+    """Hashes of the phrases (lang, phrase, c) with more than 1 / HOT of all ``words``: fewer than HOT, as a word starts one phrase of a length at most."""
+    rows = phrases.where(F.col("c") * HOT > words).select("lang", "phrase").collect()
+    if not rows:
+        return np.zeros(0, np.uint64)
+    return phrase_hashes(pa.array([r["lang"] for r in rows], pa.string()), pa.array([r["phrase"] for r in rows], pa.string()), size)
+
+
+def phrase_hashes(langs: pa.StringArray, phrases: pa.StringArray, size: int) -> np.ndarray:
+    """The hashes that ``Words.hashes`` gives, of phrases of ``size`` words joined by spaces."""
+    h = phrase_start(string_hashes(langs))
+    if len(h):
+        word = string_hashes(pc.split_pattern(phrases, " ").flatten()).reshape(-1, size)
+        for k in range(size):
+            h = phrase_step(h, word[:, k])
+    return h
+
+
 def phrases_of(stripes: DataFrame, size: int) -> DataFrame:
     """(lang, phrase, c, tail): the extensions of merged stripes as phrases; the tail is the phrase without its first word."""
     phrase = F.concat_ws(" ", "prefix", "e.word") if size > 1 else F.col("e.word")
@@ -191,11 +213,8 @@ def phrase_bitmap(phrases: DataFrame, size: int):
 
     def hashed(batches):
         for b in batches:
-            h = phrase_start(string_hashes(b.column(0)))
+            h = phrase_hashes(b.column(0), b.column(1), size)
             if len(h):
-                word = string_hashes(pc.split_pattern(b.column(1), " ").flatten()).reshape(-1, size)
-                for k in range(size):
-                    h = phrase_step(h, word[:, k])
                 yield pa.RecordBatch.from_arrays([pa.array((h & np.uint64((1 << bits) - 1)).astype(np.int64))], ["slot"])
 
     slots = phrases.select("lang", "phrase").mapInArrow(hashed, "slot long")
@@ -208,12 +227,14 @@ def phrase_bitmap(phrases: DataFrame, size: int):
 def collocations(docs: DataFrame, text_col: str = "text", lang_col: str = "lang", least: int = MIN_COUNT, top: int = TOP) -> DataFrame:
     """(lang, rank, phrase, a, l, r, n, score) of the best ``top`` phrases of every language."""
     rows = docs.select(F.col(text_col).cast("string").alias("text"), F.coalesce(F.col(lang_col).cast("string"), F.lit(UNKNOWN)).alias("lang"))
-    stripes, phrases, alive = {}, {}, None
+    stripes, phrases, alive, hot, words = {}, {}, None, None, 0
     for size in range(1, LONGEST + 1):
-        stripes[size] = saved(merged_stripes(rows, size, alive, least), f"stripes{size}")
+        stripes[size] = saved(merged_stripes(rows, size, alive, hot, least), f"stripes{size}")
         phrases[size] = phrases_of(stripes[size], size)
+        words = words or stripes[size].agg(F.sum("total")).first()[0] or 0
         if size < LONGEST:
             alive = phrase_bitmap(phrases[size], size)
+            hot = hot_prefixes(phrases[size], size, words)
 
     # all phrases with their counts; those of two words and more are candidates
     def union(frames):
@@ -240,12 +261,25 @@ def collocations(docs: DataFrame, text_col: str = "text", lang_col: str = "lang"
     longer = right.where("more IS NOT NULL").unionByName(left).groupBy("lang", "phrase").agg(F.max("more").alias("more"))
     covered = F.expr(f"coalesce(cast(more AS decimal(20, 0)) * 100 >= cast(a AS decimal(20, 0)) * {COVER}, false)")
     kept = scored.join(longer, ["lang", "phrase"], "left").where(~covered)
-    best = Window.partitionBy("lang").orderBy(F.desc("score"), F.desc("a"), "phrase")
     totals = stripes[1].groupBy("lang").agg(F.sum("total").alias("n"))
-    ranked = kept.select("lang", "phrase", "a", "best.l", "best.r", "best.score").withColumn("rank", F.row_number().over(best)).where(F.col("rank") <= top)
+    ranked = best_rows(kept.select("lang", "phrase", "a", "best.l", "best.r", "best.score"), "lang", [F.desc("score"), F.desc("a"), F.asc("phrase")], top)
     return ranked.join(totals, "lang").select("lang", F.col("rank").cast("long").alias("rank"), "phrase", "a", "l", "r", "n", "score")
 
 
+def best_rows(rows: DataFrame, group: str, order: list, top: int) -> DataFrame:
+    """The first ``top`` rows of each group with their rank.
+
+    Rows are dealt out by ranges of (group, order), so a large group is spread over tasks; each range counts its rows of a group and starts from the counts of the ranges before it.
+    """
+    ranged = saved(rows.repartitionByRange(group, *order).withColumn("_part", F.spark_partition_id()), "ranged")
+    counts = ranged.groupBy("_part", group).agg(F.count(F.lit(1)).alias("_n"))
+    before = Window.partitionBy(group).orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)  # a row per range
+    starts = counts.select("_part", group, F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_first")).where(F.col("_first") < top)
+    inside = Window.partitionBy("_part", group).orderBy(*order)
+    ranked = ranged.withColumn("rank", F.row_number().over(inside)).where(F.col("rank") <= top).join(starts, ["_part", group])
+    return ranked.withColumn("rank", F.col("rank") + F.col("_first")).where(F.col("rank") <= top).drop("_part", "_first")
+
+
 SQL = r"""
 WITH pieces AS (
   SELECT lang, regexp_extract_all(piece, '[^\x20\x09]+') AS ws FROM (

@@ -72,8 +72,8 @@ def test_runs_overlap_by_the_last_phrases(spark, monkeypatch):
         made = Counter()
         batch = co.slice_stripes(co.Words([t for _, t, _ in rows], ["en", "en"]), size, np.full(1 << 13, 255, np.uint8) if size > 1 else None)
         for r in batch.to_pylist():
-            for w, c in zip(r["words"], r["counts"]):
-                if w is not None:
+            for w, c in zip(r["words"].split(" "), r["counts"], strict=True):
+                if w:
                     made[(r["prefix"] + " " + w).strip()] += c
         count = Counter()
         for _, t, _ in rows:
@@ -83,6 +83,26 @@ def test_runs_overlap_by_the_last_phrases(spark, monkeypatch):
     assert whole
 
 
+def test_hot_prefixes_are_cut(spark, monkeypatch):
+    rows = corpus(4)
+    monkeypatch.setattr(co, "HOT", 30)
+    seen = []
+    real = co.hot_prefixes
+    monkeypatch.setattr(co, "hot_prefixes", lambda *a: (lambda h: (seen.append(len(h)), h)[1])(real(*a)))
+    assert got(spark.createDataFrame(rows, SCHEMA), least=5) == direct(rows, 5, 2000)
+    assert seen[0] > 0
+
+
+def test_best_rows(spark):
+    r = random.Random(3)
+    rows = [("a", r.randint(0, 50), f"x{i}") for i in range(900)] + [("b", 1, f"y{i}") for i in range(5)] + [(None, 2, "z")]
+    df = spark.createDataFrame(rows, "g string, s long, k string").repartition(6)
+    out = co.best_rows(df, "g", [co.F.desc("s"), co.F.asc("k")], 70).where("g IS NOT NULL").collect()
+    for g in "ab":
+        want = sorted(((-s, k) for h, s, k in rows if h == g))[:70]
+        assert [k for _, k in sorted((x["rank"], x["k"]) for x in out if x["g"] == g)] == [k for _, k in want]
+
+
 def test_bitmap_holds_every_phrase(spark):
     rows = [("en", f"w{i} w{j} é{i}") for i in range(40) for j in range(40)]
     bits = co.phrase_bitmap(spark.createDataFrame(rows, "lang string, phrase string"), 3).value
