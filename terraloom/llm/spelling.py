@@ -38,6 +38,8 @@ NOISE = 31
 RUN = 1_000_000
 #: Distinct words that a task holds before it hands their sums on.
 HELD = 300_000
+#: Words whose rotations one task makes.
+WORDS_PER_TASK = 50_000
 
 _WORD = re.compile("[A-Za-zÀ-ÿ]{%d,}" % MIN_LETTERS)
 _OTHER = re.compile("[^A-Za-zÀ-ÿ]")
@@ -163,7 +165,8 @@ def _neighbours(t: pa.Table):
 
 def neighbours(words: DataFrame) -> DataFrame:
     """(word, n_near, best, best_n) of the words that have a neighbour."""
-    dealt = rotations(words).repartition("key").sortWithinPartitions("key", F.desc("n"), "word")
+    even = words.repartition(max(1, words.count() // WORDS_PER_TASK), "word")  # a word becomes some twenty rows
+    dealt = rotations(even).repartition("key").sortWithinPartitions("key", F.desc("n"), "word")
     found = dealt.mapInArrow(_scan, "word string, near long, best_n long, best string")
     sums = found.groupBy("word").agg(F.sum("near").alias("n_near"), F.min(F.struct((-F.col("best_n")).alias("m"), F.col("best").alias("w"))).alias("b"))
     return sums.select("word", "n_near", F.col("b.w").alias("best"), (-F.col("b.m")).alias("best_n"))
