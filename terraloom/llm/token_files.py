@@ -5,8 +5,9 @@ one ``.idx`` of 64-bit offsets (one more than documents) and one ``.doc`` of 64-
 position of every file in the whole sequence by prefix sums. File names carry a random part, and only names in the manifest are read, so a task that ran twice
 leaves a stray file but no double rows.
 
-The tokenizer's file is a parameter; its contents are sent to the tasks. White space ends a token of the vocabulary, so a text's ids are the ids of its space-separated pieces in order:
-each distinct piece of a slice is encoded once by the library and kept in a cache of bounded size.
+The tokenizer's file is a parameter; its contents are sent to the tasks. Where its definition lets white space end every token (``splits_at_spaces``), a text's ids are the ids of its space-separated
+pieces in order: each distinct piece of a slice is encoded once by the library and kept in a cache of bounded size, which belongs to the worker process and outlives its tasks. With any other tokenizer
+the library encodes whole texts.
 
 Null and empty texts give the end id alone. Rows with equal ids stand in any order among themselves. An empty table gives no rows.
 Only the id and text columns are read.
@@ -14,6 +15,8 @@ Only the id and text columns are read.
 
 from __future__ import annotations
 
+import hashlib
+import json
 import os
 import uuid
 import zlib
@@ -41,17 +44,34 @@ def _storage(path: str):
     return fs.FileSystem.from_uri(path) if "://" in path else (fs.LocalFileSystem(), path)
 
 
-def stem_of(piece: str) -> str:
-    """The piece without full stops and commas after a letter, and A-Z folded in ASCII pieces.
+#: The word pattern of the vocabulary this was made for (a fixed value): none of its tokens holds white space, and a letter is never in one token with a stop.
+WORDS = r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"
 
-    The vocabulary folds case and encodes punctuation after a letter on its own, so the ids of a piece are those of its stem and of the rest. Pieces that could
-    hold the name of a special token stay as they are, as case folding after composition may differ for others than ASCII.
+
+def splits_at_spaces(definition: str) -> tuple[bool, bool]:
+    """(whether pieces between white space can be encoded by themselves, whether letters are folded) by a tokenizer's definition."""
+    d = json.loads(definition)
+    flat = lambda x, many: [] if not x else x[many] if x["type"] == "Sequence" else [x]
+    normal, pre = flat(d.get("normalizer"), "normalizers"), flat(d.get("pre_tokenizer"), "pretokenizers")
+    spaces = [x for x in normal if x["type"] == "Replace" and x["pattern"] == {"Regex": "\\s+"} and x["content"] == " "]
+    known = all(x["type"] in ("NFC", "Lowercase") or x in spaces for x in normal)
+    cut = bool(pre) and pre[0]["type"] == "Split" and pre[0]["pattern"] == {"Regex": WORDS} and pre[0]["behavior"] == "Removed" and pre[0]["invert"]
+    cut = cut and all(x["type"] == "ByteLevel" and not x["add_prefix_space"] and not x["use_regex"] for x in pre[1:])
+    names = all(not (t["single_word"] or t["lstrip"] or t["rstrip"] or t["normalized"] or any(c.isspace() for c in t["content"])) for t in d.get("added_tokens", []))
+    whole = d["model"].get("dropout") is None
+    return known and cut and names and whole, any(x["type"] == "Lowercase" for x in normal)
+
+
+def stem_of(piece: str, fold: bool) -> str:
+    """The piece without full stops and commas after an ASCII letter, which the vocabulary encodes on their own, and in ASCII pieces with A-Z folded if it folds.
+
+    Pieces that could hold the name of an added token stay as they are.
     """
     if "<" in piece:
         return piece
-    folded = piece.lower() if piece.isascii() else piece
+    folded = piece.lower() if fold and piece.isascii() else piece
     stem = folded.rstrip(".,")
-    return stem if stem and stem[-1].isalpha() else folded
+    return stem if stem and stem[-1].isascii() and stem[-1].isalpha() else folded
 
 
 class Encoder:
@@ -62,10 +82,16 @@ class Encoder:
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_str(definition)
+        self.tokenizer.no_truncation()
+        self.tokenizer.no_padding()
+        self.by_pieces, self.fold = splits_at_spaces(definition)
         self.cache: dict[str, bytes] = {}
 
     def ids(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
         """(ids of all texts, end id after each; number per text)."""
+        if not self.by_pieces:
+            made = [np.array([*e.ids, END], "<u4") for e in self.tokenizer.encode_batch_fast([t or "" for t in texts.to_pylist()], add_special_tokens=False)]
+            return np.concatenate([*made, np.zeros(0, "<u4")]), np.array([len(m) for m in made], np.int64)
         split = pc.ascii_split_whitespace(pc.fill_null(texts, ""))
         pieces = split.flatten().dictionary_encode()
         words = pieces.dictionary.to_pylist()
@@ -73,7 +99,7 @@ class Encoder:
         cache = self.cache
         known = [cache.get(w) for w in words]
         missing = [i for i, k in enumerate(known) if k is None]
-        stems = {i: stem_of(words[i]) for i in missing}
+        stems = {i: stem_of(words[i], self.fold) for i in missing}
         tails = {i: words[i][len(s):] for i, s in stems.items()}
         new = list({x for x in (*stems.values(), *tails.values()) if x and x not in cache})
         made = {}
@@ -100,6 +126,18 @@ class Encoder:
         return out, np.diff(np.concatenate([[0], stop]))
 
 
+_WORKERS: dict[str, Encoder] = {}
+
+
+def encoder_of(definition: str) -> Encoder:
+    """The one encoder of this worker process for a tokenizer."""
+    key = hashlib.sha256(definition.encode()).hexdigest()
+    if key not in _WORKERS:
+        _WORKERS.clear()
+        _WORKERS[key] = Encoder(definition)
+    return _WORKERS[key]
+
+
 def vocabulary_size(definition: str) -> int:
     from tokenizers import Tokenizer
 
@@ -124,7 +162,7 @@ def write_tokens(docs: DataFrame, definition: str, folder: str, id_col: str = "d
         out = None
         for b in batches:
             for s in slices(b, "text"):
-                encoder = encoder or Encoder(shared.value)
+                encoder = encoder or encoder_of(shared.value)
                 out = out or store.open_output_stream(f"{root}/{name}.bin")
                 flat, n = encoder.ids(s.column(1))
                 out.write(flat.astype(f"<u{width}").tobytes())
