@@ -1,13 +1,12 @@
 """Mixing sources to target token weights by entropy balancing, in DataFrame operations only.
 
-Of all document rates whose token sums meet the targets, entropy balancing takes the one nearest to 1 in relative entropy:
-rate = exp(lambda of the document's source). Newton's method solves the convex dual; since a token constraint covers one source, its gradient and Hessian need
-per source only the token sum of the documents, which one distributed aggregation gives, and every source iterates on its own row.
-Targets never exceed twice a source's tokens, so rates stay within 0 and 2.
+Of all document rates between 0 and 2 whose token sums meet the targets, entropy balancing takes those nearest to 1 in relative entropy. The dual has one multiplier per source, and a document's rate is tilted by its
+own size: rate = min(2, exp(lambda of the source * size)). Newton's method solves the dual: in each iteration one distributed aggregation per source gives the token sum at the present multipliers, the gradient, and its derivative,
+the Hessian; a step that leaves the bracket of the solution is replaced by a bisection. Documents of one size and source share their rate, so the iterations read a table of sizes.
 
 Rates become copies by systematic rounding over the documents of a source ordered by falling size, so the error of a source is at most half its largest document. Repair rounds then
-change one copy of one document per source and round, the one that brings the source nearest to its target.
-Ranks are sums over (source, size class, hash slice), so one large source is spread over many tasks.
+change one copy of one document per source and round, the one that brings the source nearest to its target, until none would.
+Ranks are sums over (source, size, hash slice), so one large source, or one size that most documents have, is spread over many tasks.
 
 Null texts have size 0 and take nothing; null sources form one source, ordered last; rows that are equal are separate documents; an empty table gives no
 rows. Only the id, text and source columns are read by the query. The order of documents comes from sizes and hashes of ids, so reruns agree.
@@ -25,7 +24,9 @@ from terraloom.runtime import salted_join
 WEIGHTS = (5, 2, 1)
 SHARE = 1.5
 CAP = 2.0
-REPAIRS = 8
+SLICES = 64
+#: Newton steps at most, and the relative error of a source's tokens that ends them.
+STEPS, CLOSE = 60, 1e-9
 
 
 def word_count(text: Column) -> Column:
@@ -52,26 +53,54 @@ def source_targets(units: DataFrame) -> DataFrame:
     )
 
 
-def balanced_rates(targets: DataFrame, steps: int = 40) -> DataFrame:
-    """``targets`` (g, tokens, target) with the rate exp(lambda): Newton steps on tokens * exp(lambda) = target from 0."""
-    move = lambda lam, _: lam - F.lit(1.0) + F.col("target") / (F.col("tokens") * F.exp(lam))
-    solved = F.aggregate(F.sequence(F.lit(1), F.lit(steps)), F.lit(0.0), move)
-    return targets.withColumn("rate", F.when((F.col("tokens") > 0) & (F.col("target") > 0), F.least(F.exp(solved), F.lit(CAP))).otherwise(0.0))
+def balanced_rates(sizes: DataFrame, targets: DataFrame) -> DataFrame:
+    """(g, size, n, target, source_size, rate) from ``sizes`` (g, size, n) and ``targets`` (g, tokens, target)."""
+    means = sizes.where("size > 0").groupBy("g").agg((F.sum(F.col("n") * F.col("size")) / F.sum("n")).alias("mean"))
+    none = F.lit(None).cast("double")
+    state = targets.join(means, "g", "left").select("g", "tokens", "target", F.coalesce("mean", F.lit(1.0)).alias("mean"), F.lit(0.0).alias("lam"), none.alias("lo"), none.alias("hi"))
+    sizes = saved(sizes, "sizes")
+    full = F.col("target") >= CAP * F.col("tokens") * (1 - 1e-12)  # every rate is 2, at any multiplier beyond
+    x = F.col("size") / F.col("mean")  # in units of the source's mean, so that multipliers are near 1
+    tilt = lambda lam: F.exp(F.least(lam * x, F.lit(700.0)))
+    for _ in range(STEPS):
+        state = saved(state, "dual")
+        rate = tilt(F.col("lam"))
+        met = sizes.where("size > 0").join(state.where(~full & (F.col("target") > 0)), "g").groupBy("g").agg(
+            F.sum(F.col("n") * F.col("size") * F.least(rate, F.lit(CAP))).alias("f"),
+            F.sum(F.when(rate < CAP, F.col("n") * F.col("size") * x * rate).otherwise(0.0)).alias("slope"),
+        )
+        state = saved(state.join(met, "g", "left"), "step")
+        worst = state.agg(F.max(F.abs(F.col("f") / F.col("target") - 1))).first()[0]
+        if worst is None or worst <= CLOSE:
+            break
+        over = F.col("f") > F.col("target")
+        lo, hi = F.when(over, F.col("lo")).otherwise(F.col("lam")), F.when(over, F.col("lam")).otherwise(F.col("hi"))
+        step = F.col("lam") - F.try_divide(F.col("f") - F.col("target"), F.col("slope"))
+        ok = step.isNotNull() & (lo.isNull() | (step > lo)) & (hi.isNull() | (step < hi)) & (F.abs(step) < 1e6)
+        safe = F.when(lo.isNull(), hi - 1 - F.abs(hi)).when(hi.isNull(), lo + 1 + F.abs(lo)).otherwise((lo + hi) / 2)
+        moved = F.when(F.col("f").isNull(), F.col("lam")).when(ok, step).otherwise(safe)
+        state = state.select("g", "tokens", "target", "mean", moved.alias("lam"), lo.alias("lo"), hi.alias("hi"))
+    solved = state.select("g", "tokens", "target", "mean", "lam")
+    rate = F.when((F.col("target") <= 0) | (F.col("size") <= 0), 0.0).when(full, CAP).otherwise(F.least(tilt(F.col("lam")), F.lit(CAP)))
+    return saved(sizes.join(solved, "g").select("g", "size", "n", "target", F.col("tokens").alias("source_size"), rate.alias("rate")), "rates")
 
 
 def rounded_copies(units: DataFrame, rates: DataFrame) -> DataFrame:
     """``units`` (row, h, g, size, ...) with target, source_size and the whole number of copies."""
-    spread = units.withColumn("class", F.floor(F.log2(F.col("size") + 1.0) * 8).cast("int")).withColumn("slice", F.pmod("h", F.lit(64)).cast("int"))
-    cells = spread.groupBy("g", "class", "slice").agg(F.count(F.lit(1)).alias("n"))
-    order = Window.partitionBy("g").orderBy(F.col("class").desc(), "slice").rowsBetween(Window.unboundedPreceding, -1)
-    cells = cells.select("g", "class", "slice", F.coalesce(F.sum("n").over(order), F.lit(0)).alias("first"))  # a bounded number per source
-    inside = Window.partitionBy("g", "class", "slice").orderBy(F.col("size").desc(), "h", "row")
-    ranked = spread.withColumn("k", F.row_number().over(inside)).join(cells, ["g", "class", "slice"])
-    ranked = salted_join(saved(ranked.drop("class", "slice"), "ranked"), rates.withColumnRenamed("tokens", "source_size"), ["g"], "row")
-    whole, part, at = F.floor("rate"), F.col("rate") - F.floor("rate"), F.col("first") + F.col("k")
-    extra = F.floor(at * part + 0.5) - F.floor((at - 1) * part + 0.5)
-    now = saved(ranked.withColumn("copies", F.when(F.col("size") > 0, whole + extra).otherwise(0).cast("long")).drop("first", "k", "rate"), "copies")
-    for _ in range(REPAIRS):
+    part = F.col("rate") - F.floor("rate")
+    falling = Window.partitionBy("g").orderBy(F.col("size").desc()).rowsBetween(Window.unboundedPreceding, -1)  # a row per size
+    starts = rates.select("g", "size", "target", "source_size", "rate", F.coalesce(F.sum(F.col("n") * part).over(falling), F.lit(0.0)).alias("start"))
+    spread = units.withColumn("slice", F.pmod("h", F.lit(SLICES)).cast("int"))
+    cells = spread.groupBy("g", "size", "slice").agg(F.count(F.lit(1)).alias("c"))
+    order = Window.partitionBy("g", "size").orderBy("slice").rowsBetween(Window.unboundedPreceding, -1)
+    cells = cells.select("g", "size", "slice", F.coalesce(F.sum("c").over(order), F.lit(0)).alias("first")).join(starts, ["g", "size"])
+    ranked = spread.withColumn("k", F.row_number().over(Window.partitionBy("g", "size", "slice").orderBy("h", "row")))
+    ranked = salted_join(saved(ranked, "ranked"), cells, ["g", "size", "slice"], "row")
+    at = F.col("first") + F.col("k")
+    extra = F.floor(F.col("start") + at * part + 0.5) - F.floor(F.col("start") + (at - 1) * part + 0.5)
+    copies = F.when(F.col("rate") > 0, F.floor("rate") + extra).otherwise(0).cast("long")
+    now = saved(ranked.withColumn("copies", copies).drop("first", "k", "rate", "slice", "start"), "copies")
+    while True:
         gap = now.groupBy("g").agg((F.first("target") - F.sum(F.col("copies") * F.col("size"))).alias("gap"))
         able = salted_join(now, gap, ["g"], "row").where(
             (F.col("size") > 0) & (F.col("size") < 2 * F.abs("gap"))
@@ -80,9 +109,8 @@ def rounded_copies(units: DataFrame, rates: DataFrame) -> DataFrame:
         best = F.min(F.struct(F.abs(F.col("size") - F.abs("gap")).alias("off"), "h", "row", F.signum("gap").alias("step")))
         change = saved(able.groupBy("g").agg(best.alias("x")).select("x.row", F.col("x.step").cast("long").alias("step")), "change")
         if change.isEmpty():
-            break
+            return now
         now = saved(now.join(change, "row", "left").withColumn("copies", F.col("copies") + F.coalesce("step", F.lit(0))).drop("step"), "copies")
-    return now
 
 
 def mix_units(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", extra: dict | None = None) -> DataFrame:
@@ -93,7 +121,8 @@ def mix_units(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", s
         F.xxhash64(F.col(id_col)).alias("h"), *[c.alias(k) for k, c in (extra or {}).items()],
     )
     units = saved(units.withColumn("row", F.monotonically_increasing_id()), "units")
-    return rounded_copies(units, balanced_rates(source_targets(units)))
+    sizes = units.groupBy("g", "size").agg(F.count(F.lit(1)).alias("n"))
+    return rounded_copies(units, balanced_rates(sizes, source_targets(units)))
 
 
 @query("op7_mixing")
