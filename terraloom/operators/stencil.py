@@ -1,14 +1,17 @@
 """Neighbourhood operators on pixel tables keyed by scene_id, pix_row, pix_col.
 
-Every operator runs as windows along one axis at a time, partitioned by (scene, column) or (scene,
-row). A partition is one image line, so even a scene holding most of the data spreads over the
-cluster, and no pixel is copied to its neighbours. Frames are ranges over the coordinate, so missing
-pixels never shift a neighbourhood.
+Scenes are cut into square tiles with a margin as wide as everything a chain of passes can reach (``tiled``), and the pixels are exchanged once, by tile. All passes then run as
+windows along one axis at a time, partitioned by (scene, tile, line): the exchange by tile already holds each line together, so a pass only sorts. A pixel is copied to four tiles at
+most, a tile has a fixed number of pixels, and a scene that holds most of the data spreads over the cluster. Pixels of the margin are dropped at the end (``untiled``).
+
+Each operator cuts its input itself; a chain of operators shares one exchange if its input is cut before, with the margins of all operators added up. ``tile=None`` runs an operator
+on whole image lines, one exchange per change of axis. Frames are ranges over the coordinate, so missing pixels never shift a neighbourhood.
 """
 
 from __future__ import annotations
 
 import math
+from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -16,72 +19,105 @@ from pyspark.sql import functions as F
 PIX = ["scene_id", "pix_row", "pix_col"]
 _AXES = {"row": ("pix_col", "pix_row"), "col": ("pix_row", "pix_col")}
 
-
-def _line(axis: str):
-    fixed, moving = _AXES[axis]
-    return Window.partitionBy("scene_id", fixed).orderBy(moving)
+#: Pixels along the side of a tile, without its margin.
+TILE = 256
+_TILE, _OWN = ["_tile_row", "_tile_col"], "_own"
 
 
-def _at(value: str, axis: str, offset: int) -> Column:
-    """Value of the pixel at exactly this offset along the axis, NULL when there is none."""
-    return F.first(value).over(_line(axis).rangeBetween(offset, offset))
+# --- tiles
+def is_tiled(df: DataFrame) -> bool:
+    return _OWN in df.columns
 
 
-def line_values(df: DataFrame, value: str, axis: str, half: int, border: str, out: str) -> DataFrame:
-    """Array of the values at offsets -half..half along one axis.
+def tiled(pixels: DataFrame, margin: int, tile: int = TILE) -> DataFrame:
+    """Every pixel in its tile and, within ``margin`` of a border, in the tiles across it; exchanged by tile.
 
-    ``border`` fills missing offsets: ``mirror`` reflects about the edge pixel, ``edge`` repeats it,
-    ``zero`` uses 0 and ``null`` leaves NULL.
+    A tile is at least twice as wide as the margin, so along an axis a pixel is in two tiles at most.
     """
-    names = {d: f"_{out}_{d + half}" for d in range(-half, half + 1)}
-    wide = df.select("*", *[(_at(value, axis, d) if d else F.col(value)).alias(n) for d, n in names.items()])
-    c = {d: F.col(n) for d, n in names.items()}
-    filled = []
+    side = max(tile, 2 * margin)
+    wide, home = pixels, []
+    for axis, name in zip(("pix_row", "pix_col"), _TILE):
+        at, inside = F.floor(F.col(axis) / side), F.pmod(F.col(axis), F.lit(side))
+        tiles = F.array(at, F.when(inside < margin, at - 1), F.when(inside >= side - margin, at + 1))
+        wide = wide.withColumn(name, F.explode(F.array_compact(tiles)))
+        home.append(F.col(name) == at)
+    return wide.withColumn(_OWN, home[0] & home[1]).repartition("scene_id", *_TILE)
+
+
+def untiled(df: DataFrame) -> DataFrame:
+    """The pixels of the tiles themselves, each once."""
+    return df.where(_OWN).drop(*_TILE, _OWN)
+
+
+def in_tiles(df: DataFrame, margin: int, tile: int | None, work: Callable[[DataFrame], DataFrame]) -> DataFrame:
+    """``work`` on tiles with this margin; on the frame as it is when it is cut already or ``tile`` is None."""
+    return work(df) if tile is None or is_tiled(df) else untiled(work(tiled(df, margin, tile)))
+
+
+def _line(df: DataFrame, axis: str):
+    fixed, moving = _AXES[axis]
+    return Window.partitionBy("scene_id", *(_TILE if is_tiled(df) else []), fixed).orderBy(moving)
+
+
+def _filled(c: dict[int, Column], half: int, border: str, blank: Column) -> list[Column]:
+    """The entries at -half..half, missing ones by the border rule."""
+    out = []
     for d in range(-half, half + 1):
         if d == 0 or border == "null":
-            filled.append(c[d])
+            out.append(c[d] if d == 0 else F.coalesce(c[d], blank))
         elif border == "zero":
-            filled.append(F.coalesce(c[d], F.lit(0.0)))
+            out.append(F.coalesce(c[d], blank))
         elif border == "edge":
             sign = 1 if d > 0 else -1
-            filled.append(F.coalesce(*[c[sign * k] for k in range(abs(d), -1, -1)]))
+            out.append(F.coalesce(*[c[sign * k] for k in range(abs(d), -1, -1)]))
         else:
             sign, reach = (1 if d > 0 else -1), abs(d)
             mirror = c[0]
             # with k pixels left before the edge, offset d reflects to 2k - d
             for k in range(reach - 1, -1, -1):
                 mirror = F.when(c[sign * (k + 1)].isNull(), c[sign * (2 * k - reach)]).otherwise(mirror)
-            filled.append(F.coalesce(c[d], mirror, c[0]))
-    return wide.withColumn(out, F.array(*filled)).drop(*names.values())
+            out.append(F.coalesce(c[d], mirror, c[0]))
+    return out
 
 
-def neighbourhood(df: DataFrame, value: str, half: int = 1, border: str = "mirror", out: str = "near") -> DataFrame:
-    """Row-major array of the (2*half+1)^2 values around each pixel."""
-    rows = line_values(df, value, "row", half, border, "_rows")
+def _along(df: DataFrame, values: dict[str, str], axis: str, half: int, border: str, blank: Column) -> DataFrame:
+    """Adds, for every output name, the array of its value at offsets -half..half along one axis; all in one pass."""
+    line = _line(df, axis)
+    names = {out: {d: f"_{out}_{d + half}" for d in range(-half, half + 1)} for out in values}
+    at = lambda value, d: F.first(value).over(line.rangeBetween(d, d)) if d else F.col(value)
+    wide = df.select("*", *[at(value, d).alias(names[out][d]) for out, value in values.items() for d in names[out]])
+    packed = {out: F.array(*_filled({d: F.col(n) for d, n in names[out].items()}, half, border, blank)) for out in values}
+    return wide.withColumns(packed).drop(*[n for out in values for n in names[out].values()])
+
+
+def line_values(df: DataFrame, value: str, axis: str, half: int, border: str, out: str, tile: int | None = TILE) -> DataFrame:
+    """Array of the values at offsets -half..half along one axis.
+
+    ``border`` fills missing offsets: ``mirror`` reflects about the edge pixel, ``edge`` repeats it,
+    ``zero`` uses 0 and ``null`` leaves NULL.
+    """
+    blank = F.lit(0.0 if border == "zero" else None).cast("double")
+    return in_tiles(df, half, tile, lambda t: _along(t, {out: value}, axis, half, border, blank))
+
+
+def neighbourhoods(df: DataFrame, values: dict[str, str], half: int = 1, border: str = "mirror", tile: int | None = TILE) -> DataFrame:
+    """Row-major arrays of the (2*half+1)^2 values around each pixel, for several columns in the same passes."""
     size = 2 * half + 1
-    # second pass over arrays: same fills, applied to whole columns
-    names = {d: f"_c_{d + half}" for d in range(-half, half + 1)}
-    wide = rows.select("*", *[(_at("_rows", "col", d) if d else F.col("_rows")).alias(n) for d, n in names.items()])
-    c = {d: F.col(n) for d, n in names.items()}
-    blank = F.array(*[F.lit(0.0 if border == "zero" else None).cast("double")] * size)
-    cols = []
-    for d in range(-half, half + 1):
-        if d == 0:
-            cols.append(c[0])
-        elif border in ("null", "zero"):
-            cols.append(F.coalesce(c[d], blank))
-        elif border == "edge":
-            sign = 1 if d > 0 else -1
-            cols.append(F.coalesce(*[c[sign * k] for k in range(abs(d), -1, -1)]))
-        else:
-            sign, reach = (1 if d > 0 else -1), abs(d)
-            mirror = c[0]
-            for k in range(reach - 1, -1, -1):
-                mirror = F.when(c[sign * (k + 1)].isNull(), c[sign * (2 * k - reach)]).otherwise(mirror)
-            cols.append(F.coalesce(c[d], mirror, c[0]))
-    packed = wide.withColumn("_cols", F.array(*cols))
-    flat = [F.col("_cols")[j][i] for i in range(size) for j in range(size)]
-    return packed.withColumn(out, F.array(*flat)).drop("_cols", "_rows", *names.values())
+    blank = F.lit(0.0 if border == "zero" else None).cast("double")
+
+    def work(t: DataFrame) -> DataFrame:
+        rows = _along(t, {f"_rows_{out}": value for out, value in values.items()}, "row", half, border, blank)
+        # second pass over arrays: same fills, applied to whole columns
+        cols = _along(rows, {f"_cols_{out}": f"_rows_{out}" for out in values}, "col", half, border, F.array(*[blank] * size))
+        flat = {out: F.array(*[F.col(f"_cols_{out}")[j][i] for i in range(size) for j in range(size)]) for out in values}
+        return cols.withColumns(flat).drop(*[f"_{axis}_{out}" for out in values for axis in ("rows", "cols")])
+
+    return in_tiles(df, half, tile, work)
+
+
+def neighbourhood(df: DataFrame, value: str, half: int = 1, border: str = "mirror", out: str = "near", tile: int | None = TILE) -> DataFrame:
+    """Row-major array of the (2*half+1)^2 values around each pixel."""
+    return neighbourhoods(df, {out: value}, half, border, tile)
 
 
 # --- kernels (fixed values)
@@ -104,26 +140,30 @@ def _dot(values: Column, weights: list[float]) -> Column:
     return total
 
 
-def separable(df: DataFrame, value: str, row_weights, col_weights, out: str, border: str = "mirror") -> DataFrame:
+def separable(df: DataFrame, value: str, row_weights, col_weights, out: str, border: str = "mirror", tile: int | None = TILE) -> DataFrame:
     """Convolve with an outer-product kernel: one window pass per axis."""
     half = len(row_weights) // 2
-    first = line_values(df, value, "row", half, border, "_r").withColumn("_rv", _dot(F.col("_r"), row_weights)).drop("_r")
-    second = line_values(first, "_rv", "col", half, border, "_c")
-    return second.withColumn(out, _dot(F.col("_c"), col_weights)).drop("_c", "_rv")
+
+    def work(t: DataFrame) -> DataFrame:
+        first = line_values(t, value, "row", half, border, "_r", None).withColumn("_rv", _dot(F.col("_r"), row_weights)).drop("_r")
+        second = line_values(first, "_rv", "col", half, border, "_c", None)
+        return second.withColumn(out, _dot(F.col("_c"), col_weights)).drop("_c", "_rv")
+
+    return in_tiles(df, half, tile, work)
 
 
-def convolve(df: DataFrame, value: str, kernel: list[float], out: str, border: str = "mirror") -> DataFrame:
+def convolve(df: DataFrame, value: str, kernel: list[float], out: str, border: str = "mirror", tile: int | None = TILE) -> DataFrame:
     """Convolve with a square row-major kernel."""
     half = int(math.isqrt(len(kernel))) // 2
-    return neighbourhood(df, value, half, border, "_n").withColumn(out, _dot(F.col("_n"), kernel)).drop("_n")
+    return neighbourhood(df, value, half, border, "_n", tile).withColumn(out, _dot(F.col("_n"), kernel)).drop("_n")
 
 
-def gradient(df: DataFrame, value: str, method: str = "sobel", border: str = "mirror") -> DataFrame:
+def gradient(df: DataFrame, value: str, method: str = "sobel", border: str = "mirror", tile: int | None = TILE) -> DataFrame:
     """Adds gx, gy and gradient magnitude; one shared neighbourhood for both directions."""
     smooth = SOBEL_SMOOTH if method == "sobel" else SCHARR_SMOOTH
     gx = [s * d for s in smooth for d in SOBEL_DIFF]
     gy = [d * s for d in SOBEL_DIFF for s in smooth]
-    n = neighbourhood(df, value, 1, border, "_n")
+    n = neighbourhood(df, value, 1, border, "_n", tile)
     n = n.withColumn("gx", _dot(F.col("_n"), gx)).withColumn("gy", _dot(F.col("_n"), gy)).drop("_n")
     return n.withColumn("magnitude", F.sqrt(F.col("gx") * F.col("gx") + F.col("gy") * F.col("gy")))
 
@@ -190,11 +230,6 @@ def denoise(df: DataFrame, value: str, method: str = "bilateral", out: str = "cl
 
 
 # --- morphology
-def _extreme(df: DataFrame, value: str, axis: str, lo: int, hi: int, grow: bool, out: str) -> DataFrame:
-    frame = _line(axis).rangeBetween(lo, hi)
-    return df.withColumn(out, (F.max(value) if grow else F.min(value)).over(frame))
-
-
 def _steps(size: int, grow: bool) -> tuple[int, int]:
     """Offsets of a size-wide element: erosion looks at [-a, b], dilation at the reflection [-b, a]."""
     a = size // 2
@@ -202,29 +237,47 @@ def _steps(size: int, grow: bool) -> tuple[int, int]:
     return (-b, a) if grow else (-a, b)
 
 
-def morphology(df: DataFrame, value: str, ops: list[tuple[str, int]], out: str = "morph") -> DataFrame:
-    """A chain of erode, dilate, open and close steps with square elements.
-
-    The two axes of a step commute, so the axis order alternates: neighbouring passes then run along
-    the same axis and share one shuffle. Pixels outside the image are ignored.
-    """
+def _passes(ops: list[tuple[str, int]]) -> list[tuple[bool, int]]:
     flat: list[tuple[bool, int]] = []
     for op, size in ops:
         flat += {"erode": [(False, size)], "dilate": [(True, size)], "open": [(False, size), (True, size)], "close": [(True, size), (False, size)]}[op]
-    cur, axes = df.withColumn(out, F.col(value)), ("row", "col")
-    for grow, size in flat:
-        lo, hi = _steps(size, grow)
-        for axis in axes:
-            cur = _extreme(cur, out, axis, lo, hi, grow, out)
-        axes = axes[::-1]
-    return cur
+    return flat
+
+
+def reach(ops: list[tuple[str, int]]) -> int:
+    """How far a chain looks: the margin a tile needs for it."""
+    return sum(size // 2 for _, size in _passes(ops))
+
+
+def morphologies(df: DataFrame, values: dict[str, str], ops: list[tuple[str, int]], tile: int | None = TILE) -> DataFrame:
+    """A chain of erode, dilate, open and close steps with square elements, for several columns (output: input) in the same passes.
+
+    The two axes of a step commute, so the axis order alternates: neighbouring passes then run along
+    the same axis and share one sort. Pixels outside the image are ignored.
+    """
+
+    def work(t: DataFrame) -> DataFrame:
+        cur, axes = t.withColumns({out: F.col(value) for out, value in values.items()}), ("row", "col")
+        for grow, size in _passes(ops):
+            for axis in axes:
+                frame = _line(cur, axis).rangeBetween(*_steps(size, grow))
+                cur = cur.withColumns({out: (F.max(out) if grow else F.min(out)).over(frame) for out in values})
+            axes = axes[::-1]
+        return cur
+
+    return in_tiles(df, reach(ops), tile, work)
+
+
+def morphology(df: DataFrame, value: str, ops: list[tuple[str, int]], out: str = "morph", tile: int | None = TILE) -> DataFrame:
+    """``morphologies`` of one column."""
+    return morphologies(df, {out: value}, ops, tile)
 
 
 # --- irregular 3x3 elements (fixed values), row-major
 IRREGULAR = ([1, 1, 0, 1, 1, 1, 0, 1, 1], [0, 1, 1, 1, 1, 0, 1, 1, 1], [1, 0, 1, 1, 1, 1, 0, 1, 0])
 
 
-def irregular_open(df: DataFrame, mask: str, choice: Column, out: str = "opened") -> DataFrame:
+def irregular_open(df: DataFrame, mask: str, choice: Column, out: str = "opened", tile: int | None = TILE) -> DataFrame:
     """Opening with one of three irregular elements, chosen per row by ``choice`` (0, 1 or 2).
 
     Rows are the true pixels of one region per ``scene_id`` value, with the image's last row and column
@@ -238,7 +291,7 @@ def irregular_open(df: DataFrame, mask: str, choice: Column, out: str = "opened"
         return (r < 0) | (c < 0) | (r > F.col("row_end")) | (c > F.col("col_end"))
 
     def step(frame, value, grow):
-        n = neighbourhood(frame, value, 1, "null", "_n")
+        n = neighbourhood(frame, value, 1, "null", "_n", None)
         picked = None
         for k, element in enumerate(IRREGULAR):
             cells = element[::-1] if grow else element
@@ -251,18 +304,33 @@ def irregular_open(df: DataFrame, mask: str, choice: Column, out: str = "opened"
             picked = F.when(choice == k, agg) if picked is None else picked.when(choice == k, agg)
         return n.withColumn(value, picked).drop("_n")
 
-    cur = df.withColumn("_m", F.col(mask).cast("double"))
-    cur = step(cur, "_m", False)
-    cur = step(cur, "_m", True)
-    return cur.withColumn(out, F.col("_m") > 0).drop("_m")
-
-
-def fill_small_gaps(df: DataFrame, value: str, gap: int = 5, out: str = "filled") -> DataFrame:
-    """Missing pixels in gaps smaller than gap x gap get the 3x3 mean of valid neighbours."""
-    holes = df.withColumn("_hole", F.col(value).isNull().cast("int"))
-    large = morphology(holes, "_hole", [("open", gap)], "_large")
-    n = neighbourhood(large, value, 1, "null", "_n")
-    valid = F.filter("_n", lambda x: x.isNotNull())
-    mean = F.aggregate(valid, F.lit(0.0), lambda a, x: a + x) / F.size(valid)
-    small = (F.col("_hole") == 1) & (F.col("_large") == 0) & (F.size(valid) > 0)
-    return n.withColumn(out, F.when(small, mean).otherwise(F.col(value))).drop("_hole", "_large", "_n")
+    def work(t: DataFrame) -> DataFrame:
+        cur = t.withColumn("_m", F.col(mask).cast("double"))
+        cur = step(cur, "_m", False)
+        cur = step(cur, "_m", True)
+        return cur.withColumn(out, F.col("_m") > 0).drop("_m")
+
+    return in_tiles(df, 2, tile, work)
+
+
+def fill_gaps(df: DataFrame, values: dict[str, str], gap: int = 5, tile: int | None = TILE) -> DataFrame:
+    """Missing pixels in gaps smaller than gap x gap get the 3x3 mean of valid neighbours; all columns (output: input) share one exchange."""
+
+    def work(t: DataFrame) -> DataFrame:
+        holes = t.withColumns({f"_hole_{out}": F.col(value).isNull().cast("int") for out, value in values.items()})
+        large = morphologies(holes, {f"_large_{out}": f"_hole_{out}" for out in values}, [("open", gap)], None)
+        n = neighbourhoods(large, {f"_n_{out}": value for out, value in values.items()}, 1, "null", None)
+        new = {}
+        for out, value in values.items():
+            valid = F.filter(f"_n_{out}", lambda x: x.isNotNull())
+            mean = F.aggregate(valid, F.lit(0.0), lambda a, x: a + x) / F.size(valid)
+            small = (F.col(f"_hole_{out}") == 1) & (F.col(f"_large_{out}") == 0) & (F.size(valid) > 0)
+            new[out] = F.when(small, mean).otherwise(F.col(value))
+        return n.withColumns(new).drop(*[f"{x}_{out}" for out in values for x in ("_hole", "_large", "_n")])
+
+    return in_tiles(df, reach([("open", gap)]) + 1, tile, work)
+
+
+def fill_small_gaps(df: DataFrame, value: str, gap: int = 5, out: str = "filled", tile: int | None = TILE) -> DataFrame:
+    """``fill_gaps`` of one column."""
+    return fill_gaps(df, {out: value}, gap, tile)
