@@ -11,18 +11,38 @@ from terraloom.operators.density import leaders
 from terraloom.operators.radiometry import to_8bit
 from terraloom.operators.regions import COMP, label_regions
 from terraloom.operators.spatial import near_pairs
-from terraloom.operators.stencil import PIX, gaussian_weights, gradient, neighbourhood, separable
+from terraloom.operators.stencil import PIX, TILE, gaussian_weights, gradient, neighbourhood, separable, tiled, untiled
 from terraloom.runtime import cut_lineage
 
 
-def canny(pixels: DataFrame, level: str, low: float, high: float) -> DataFrame:
+def canny(
+    pixels: DataFrame, level: str, low: float | str, high: float | str, blur: float | None = None, keep: list[str] = (), direction: float | None = None, tile: int | None = TILE
+) -> DataFrame:
     """Edge pixels: gradient, thinning along the gradient, and hysteresis.
 
-    Hysteresis keeps every 8-connected region of weak-or-better pixels that holds a strong one.
+    Hysteresis keeps every 8-connected region of weak-or-better pixels that holds a strong one. The thresholds are numbers or names of columns. With ``blur`` the
+    level is first smoothed by a 3x3 Gaussian and rounded. ``keep`` names columns to return with the pixels, gx and gy among them. With ``direction``, the sigma of a wider Gaussian, the pixels
+    also get ux and uy, the unit gradient of the level smoothed by it, whose direction is far more exact than that of a 3x3 kernel. The pixels are exchanged once for all passes.
     """
-    g = gradient(pixels.select(*PIX, F.col(level).cast("double").alias("_v")), "_v", "sobel", border="edge")
-    g = g.select(*PIX, "gx", "gy", (F.abs("gx") + F.abs("gy")).alias("mag"))
-    n = neighbourhood(g, "mag", 1, "zero", "_n")
+    value = lambda x: F.col(x) if isinstance(x, str) else F.lit(x)
+    wide = 0 if direction is None else round(2 * direction)
+    margin = (blur is not None) + max(2, wide + 1 if wide else 0)  # gradient, thinning and the blur look one pixel far each
+    made = ["gx", "gy"] + (["ux", "uy"] if wide else [])
+    keep = [*keep, *made[2:]]
+    carried = [c for c in keep if c not in made] + [c for c in dict.fromkeys((low, high)) if isinstance(c, str) and c not in keep]
+    t = pixels.select(*PIX, *carried, F.col(level).cast("double").alias("_v"))
+    t = t if tile is None else tiled(t, margin, tile)
+    if blur is not None:
+        w = gaussian_weights(blur, 1)
+        t = separable(t, "_v", w, w, "_v2", tile=None).withColumn("_v", F.floor(F.col("_v2") + 0.5).cast("double")).drop("_v2")
+    if wide:
+        w = gaussian_weights(direction, wide)
+        d = gradient(separable(t, "_v", w, w, "_w", tile=None), "_w", "sobel", border="edge", tile=None)
+        unit = lambda c: F.round(F.try_divide(F.col(c), F.col("magnitude")), 9)
+        t = d.withColumns({"ux": unit("gx"), "uy": unit("gy")}).drop("_w", "gx", "gy", "magnitude")
+    g = gradient(t, "_v", "sobel", border="edge", tile=None).withColumn("mag", F.abs("gx") + F.abs("gy")).drop("_v", "magnitude")
+    n = neighbourhood(g, "mag", 1, "zero", "_n", tile=None)
+    n = n if tile is None else untiled(n)
     at = lambda r, c: F.col("_n")[(r + 1) * 3 + (c + 1)]
     ax, ay, m = F.abs("gx"), F.abs("gy"), F.col("mag")
     t = math.tan(math.pi / 8)
@@ -34,10 +54,10 @@ def canny(pixels: DataFrame, level: str, low: float, high: float) -> DataFrame:
         .when(down, (m > at(-1, -1)) & (m > at(1, 1)))
         .otherwise((m > at(-1, 1)) & (m > at(1, -1)))
     )
-    weak = n.where(peak & (m > low)).select(*PIX, (m > high).alias("strong"))
+    weak = n.where(peak & (m > value(low))).select(*PIX, *keep, (m > value(high)).alias("strong"))
     labelled = label_regions(weak, 8)
     firm = labelled.groupBy(*COMP).agg(F.bool_or("strong").alias("_s")).where("_s").select(*COMP)
-    return labelled.join(firm, COMP, "left_semi").select(*PIX)
+    return labelled.join(firm, COMP, "left_semi").select(*PIX, *keep)
 
 
 def _snap(x):
