@@ -7,6 +7,8 @@ from pyspark.sql import functions as F
 
 from terraloom.constants import FALLBACK_LAT, FALLBACK_LON
 from terraloom.functions import geo
+from terraloom.operators.spatial import box_cover, cover_index
+from terraloom.runtime import salted_join
 
 ZONE_BOX = ["zone_id", "west", "south", "east", "north"]
 
@@ -74,25 +76,18 @@ def standardised(points: DataFrame, zones: DataFrame, names: list[str]) -> DataF
 def in_zones(points: DataFrame, zones: DataFrame, cell_deg: float = 0.1) -> DataFrame:
     """Points joined to every zone whose box contains them.
 
-    Boxes are spread over grid cells, so this is an equi-join whatever the number of zones, and
-    neither side has to fit in memory.
+    Each box covers four cells at most, at the level of its own size; a point looks into its one cell at each level that a zone uses. This is an equi-join whatever the number and size of zones, neither
+    side has to fit in memory, and cells that hold many points are cut into slices.
     """
-    cells = _box_cells(zones, cell_deg)
-    keyed = points.withColumn("_cx", F.floor(F.col("lon") / cell_deg)).withColumn("_cy", F.floor(F.col("lat") / cell_deg))
-    inside = geo.in_box(F.col("lon"), F.col("lat"), F.col("z_west"), F.col("z_south"), F.col("z_east"), F.col("z_north"))
-    return keyed.join(cells, ["_cx", "_cy"]).where(inside).drop("_cx", "_cy")
-
-
-def _box_cells(boxes: DataFrame, cell_deg: float) -> DataFrame:
-    """One row per grid cell a box touches."""
-    span = lambda lo, hi: F.sequence(F.floor(F.col(lo) / cell_deg), F.floor(F.col(hi) / cell_deg))
-    return (
-        boxes.select(
-            F.col("zone_id").alias("z_zone_id"), *[F.col(c).alias(f"z_{c}") for c in ZONE_BOX[1:]],
-        )
-        .withColumn("_cx", F.explode(span("z_west", "z_east")))
-        .withColumn("_cy", F.explode(span("z_south", "z_north")))
-    )
+    renamed = zones.select(*[F.col(c).alias(f"z_{c}") for c in zones.columns])
+    box = [F.col(f"z_{c}") for c in ZONE_BOX[1:]]
+    cells = box_cover(renamed.where((box[0] <= box[2]) & (box[1] <= box[3])), *box, cell_deg).drop("_own")
+    used = cells.agg(F.sort_array(F.collect_set("_lv"))).scalar()  # sixteen levels at most
+    keyed = points.withColumn("_lv", F.explode(used))
+    keyed = keyed.withColumn("_cx", cover_index(F.col("lon"), F.col("_lv"), cell_deg)).withColumn("_cy", cover_index(F.col("lat"), F.col("_lv"), cell_deg))
+    keyed = keyed.withColumn("_spot", F.struct("lon", "lat"))
+    inside = geo.in_box(F.col("lon"), F.col("lat"), *box)
+    return salted_join(keyed, cells, ["_lv", "_cx", "_cy"], "_spot").where(inside).drop("_lv", "_cx", "_cy", "_spot")
 
 
 EXPANSION_STEPS = [0.025, 0.05, 0.075, 0.1, 0.15, 0.2]  # fixed values, degrees
@@ -110,27 +105,21 @@ def adaptive_zones(points: DataFrame, zones: DataFrame, min_points: int = 50) ->
     )
     widest = EXPANSION_STEPS[-1]
     wide = base.select(
-        "zone_id",
+        "zone_id", "_half", "_clat", "_clon", *[F.col(c).alias(f"own_{c}") for c in ZONE_BOX[1:]],
         F.least("west", F.col("_clon") - (F.col("_half") + widest)).alias("west"),
         F.least("south", F.col("_clat") - (F.col("_half") + widest)).alias("south"),
         F.greatest("east", F.col("_clon") + (F.col("_half") + widest)).alias("east"),
         F.greatest("north", F.col("_clat") + (F.col("_half") + widest)).alias("north"),
     )
-    hits = in_zones(points.select("lon", "lat"), wide).select(F.col("z_zone_id").alias("zone_id"), "lon", "lat")
+    hits = in_zones(points.select("lon", "lat"), wide)  # the zone's own measures come along, so hits are joined once
     lon, lat = F.col("lon"), F.col("lat")
-    per_step = [
-        F.count_if(
-            geo.in_box(
-                lon, lat, F.col("_clon") - (F.col("_half") + e), F.col("_clat") - (F.col("_half") + e),
-                F.col("_clon") + (F.col("_half") + e), F.col("_clat") + (F.col("_half") + e),
-            )
-        ).alias(f"_n{i}")
-        for i, e in enumerate(EXPANSION_STEPS)
-    ]
-    inside = geo.in_box(lon, lat, F.col("west"), F.col("south"), F.col("east"), F.col("north"))
-    counts = (
-        hits.join(base, "zone_id").groupBy("zone_id").agg(F.count_if(inside).alias("_n"), *per_step)
+    around = lambda e: geo.in_box(
+        lon, lat, F.col("z__clon") - (F.col("z__half") + e), F.col("z__clat") - (F.col("z__half") + e),
+        F.col("z__clon") + (F.col("z__half") + e), F.col("z__clat") + (F.col("z__half") + e),
     )
+    inside = geo.in_box(lon, lat, *[F.col(f"z_own_{c}") for c in ZONE_BOX[1:]])
+    per_step = [F.count_if(around(e)).alias(f"_n{i}") for i, e in enumerate(EXPANSION_STEPS)]
+    counts = hits.groupBy(F.col("z_zone_id").alias("zone_id")).agg(F.count_if(inside).alias("_n"), *per_step)
     filled = base.join(counts, "zone_id", "left").fillna(0, subset=["_n"] + [f"_n{i}" for i in range(len(per_step))])
     step, n = F.lit(None).cast("double"), F.col("_n")
     for i, e in reversed(list(enumerate(EXPANSION_STEPS))):

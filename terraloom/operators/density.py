@@ -9,7 +9,8 @@ from __future__ import annotations
 
 import math
 
-from pyspark.sql import Column, DataFrame
+import pyarrow as pa
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from terraloom.functions import geo
@@ -74,9 +75,11 @@ def _core_locations(points: DataFrame, key: str, radius: float, min_points: int,
 
 
 def _back_to_points(points: DataFrame, labelled: DataFrame, key: str, by: list[str]) -> DataFrame:
-    """Attach location columns to every point; locations with very many copies are sliced."""
+    """Attach location columns to every point; locations with very many copies are sliced. Points without coordinates are noise."""
     p = points.withColumn("_spread", F.col(key))
-    return salted_join(p, labelled, [*by, "lon", "lat"], "_spread").drop("_spread")
+    out = salted_join(p, labelled, [*by, "lon", "lat"], "_spread", how="left").drop("_spread")
+    defaults = {"is_core": F.coalesce("is_core", F.lit(False)), "cluster_id": F.coalesce("cluster_id", F.lit(-1)) if "cluster_id" in out.columns else None}
+    return out.withColumns({c: d for c, d in defaults.items() if c in out.columns})
 
 
 def with_core_flag(
@@ -197,19 +200,108 @@ def threshold_graph(points: DataFrame, key: str, radius: float, min_size: int, b
     )
 
 
-def leaders(points: DataFrame, key: str, radius: float, min_points: int = 1, by: list[str] = ()) -> DataFrame:
+#: Points of a block that one task scans at a time.
+BLOCK_POINTS = 20_000
+#: Block sides that are tried, in cells; beyond the last, a block is as good as everything.
+_BLOCK_SIDES = [8 * 2**k for k in range(24)]
+
+
+def _block_side(live: DataFrame, by: list[str], limit: int) -> tuple[int, bool]:
+    """(the widest block side whose fullest block holds at most ``limit`` points, whether one does); one job."""
+    small = _BLOCK_SIDES[0]
+    fine = live.groupBy(*by, F.floor(F.col("cx") / small).alias("_bx"), F.floor(F.col("cy") / small).alias("_by")).agg(F.count(F.lit(1)).alias("n"))
+    level = fine.withColumn("_l", F.explode(F.sequence(F.lit(0), F.lit(len(_BLOCK_SIDES) - 1))))
+    up = F.pow(F.lit(2.0), F.col("_l"))
+    sums = level.groupBy(*by, "_l", F.floor(F.col("_bx") / up).alias("_bx"), F.floor(F.col("_by") / up).alias("_by")).agg(F.sum("n").alias("n"))
+    fits = [r[0] for r in sums.groupBy("_l").agg(F.max("n").alias("n")).where(F.col("n") <= limit).select("_l").collect()]
+    return (_BLOCK_SIDES[max(fits)], True) if fits else (small, False)
+
+
+def _scan_blocks(radius: float, side: int, columns: list[str]):
+    """Task function: decides the points of each block in key order; yields the rows of the new leaders.
+
+    Rows come sorted by block and key. A point is decided once every smaller near point is: near a leader it retires, near an undecided point it waits, else it leads. Points of
+    neighbouring blocks, and the points a block holds back, are undecided here.
+    """
+    reach = [(dx, dy) for dx in range(-2, 3) for dy in range(-2, 3)]
+
+    def scan(batches):
+        block, lead, waiting, barred = None, {}, {}, []
+        for batch in batches:
+            col = lambda name: batch.column(batch.schema.get_field_index(name)).to_pylist()
+            found = []
+            rows = zip(col("_block"), col("lon"), col("lat"), col("cx"), col("cy"), col("_ox"), col("_oy"), col("_dx"), col("_dy"), col("_held"))
+            for i, (name, x, y, cx, cy, ox, oy, dx, dy, held) in enumerate(rows):
+                if name != block:
+                    block, lead, waiting, barred = name, {}, {}, []
+                if held:  # from this key on the neighbour in this direction has points that nobody sees
+                    barred.append((dx, dy))
+                    continue
+                own = dx == 0 and dy == 0
+                if own and (cx, cy) in lead:
+                    continue
+                around = [(cx + a, cy + b) for a, b in reach]
+                if any(math.sqrt((p[0] - x) * (p[0] - x) + (p[1] - y) * (p[1] - y)) < radius for p in map(lead.get, around) if p is not None):
+                    continue
+                wait = not own or (cx, cy) in waiting
+                wait = wait or any((a == 0 or (ox < 2 if a < 0 else ox >= side - 2)) and (b == 0 or (oy < 2 if b < 0 else oy >= side - 2)) for a, b in barred)
+                wait = wait or any(math.sqrt((p[0] - x) * (p[0] - x) + (p[1] - y) * (p[1] - y)) < radius for c in around for p in waiting.get(c, ()))
+                if wait:
+                    waiting.setdefault((cx, cy), []).append((x, y))
+                else:
+                    lead[(cx, cy)] = (x, y)
+                    found.append(i)
+            if found:
+                yield batch.select(columns).take(pa.array(found))
+
+    return scan
+
+
+def _block_leaders(live: DataFrame, by: list[str], radius: float, limit: int) -> DataFrame:
+    """The points that are known to lead after every block has been scanned once."""
+    side, whole = _block_side(live, by, limit)
+    at, inside = lambda c: F.floor(F.col(c) / side), lambda c: F.pmod(F.col(c), F.lit(side))
+    placed = live.select(*live.columns, at("cx").alias("_bx"), at("cy").alias("_by"), inside("cx").alias("_ox"), inside("cy").alias("_oy"))
+    held = F.lit(False)
+    if not whole:
+        # the smallest keys go first; the next one bars its neighbours from deciding anything beyond it
+        rank = F.row_number().over(Window.partitionBy(*by, "_bx", "_by").orderBy("k"))
+        placed = placed.withColumn("_rank", rank).where(F.col("_rank") <= limit + 1)
+        held = F.col("_rank") == limit + 1
+    placed = placed.withColumn("_held", held)
+
+    def sides(off):
+        return F.array_compact(F.array(F.lit(0), F.when((F.col(off) < 2) | F.col("_held"), -1), F.when((F.col(off) >= side - 2) | F.col("_held"), 1)))
+
+    # a copy for the block in direction (ex, ey) comes, seen from there, from the direction (-ex, -ey)
+    copies = placed.withColumn("_ex", F.explode(sides("_ox"))).withColumn("_ey", F.explode(sides("_oy")))
+    copies = copies.select(
+        *live.columns, "_ox", "_oy", "_held", (-F.col("_ex")).alias("_dx"), (-F.col("_ey")).alias("_dy"),
+        F.to_json(F.struct(*by, (F.col("_bx") + F.col("_ex")).alias("_bx"), (F.col("_by") + F.col("_ey")).alias("_by"))).alias("_block"),
+    )
+    dealt = copies.repartition("_block").sortWithinPartitions("_block", "k")
+    return dealt.mapInArrow(_scan_blocks(radius, side, live.columns), live.schema)
+
+
+def leaders(
+    points: DataFrame, key: str, radius: float, min_points: int = 1, by: list[str] = (), block_points: int = BLOCK_POINTS
+) -> DataFrame:
     """Greedy leaders in key order, as (key, leader); leader is NULL for points no leader takes.
 
     Scanning in key order, an unused point with at least ``min_points`` points closer than the radius
-    (itself included, used ones counted) leads and takes all its unused neighbours. Equivalent rounds:
-    a live candidate leads when no live candidate with a smaller key is near it, then its neighbours
-    retire. All points of a cell are neighbours, so a cell offers only its smallest live candidate per
-    round, and a point meets at most 25 offers. Afterwards each point goes to its smallest near leader.
+    (itself included, used ones counted) leads and takes all its unused neighbours. The scan runs in
+    blocks of cells with at most ``block_points`` points: a task decides every point of its block whose
+    smaller neighbours it knows, so chains inside a block end in one round, and only what hangs on a
+    block border waits for the next round. Blocks grow as points are decided, until one holds the rest.
+    Where even the smallest block is too full, its smallest keys go first. Points near a new leader
+    retire by a join; all points of a cell are neighbours, so a cell has one leader at most. Afterwards
+    each point goes to its smallest near leader. Points without coordinates take no part.
     """
     by = list(by)
     cell = [*by, "cx", "cy"]
     side = _side(radius)
-    flagged = points.select(*by, key, "lon", "lat")
+    located = points.where(F.col("lon").isNotNull() & F.col("lat").isNotNull())
+    flagged = located.select(*by, key, "lon", "lat")
     if min_points > 1:
         flagged = with_core_flag(flagged, key, radius, min_points, closed=False, by=by).where("is_core")
     cand = (
@@ -222,20 +314,16 @@ def leaders(points: DataFrame, key: str, radius: float, min_points: int = 1, by:
     d = geo.planar_deg(F.col("lon"), F.col("lat"), F.col("olon"), F.col("olat"))
     found = None
     while not live.isEmpty():
-        offer = live.groupBy(*cell).agg(F.min(F.struct("k", "lon", "lat")).alias("o")).select(
-            *cell, F.col("o.k").alias("ok"), F.col("o.lon").alias("olon"), F.col("o.lat").alias("olat")
-        )
-        wide = _around(offer)
-        blocked = salted_join(live, wide, cell, "k").where((F.col("k") < F.col("ok")) & (d < radius)).select("ok").distinct()
-        lead = cut_lineage(offer.join(blocked, "ok", "left_anti"))
+        lead = cut_lineage(_block_leaders(live, by, radius, block_points))
+        lead = lead.select(*cell, F.col("k").alias("ok"), F.col("lon").alias("olon"), F.col("lat").alias("olat"))
         found = lead if found is None else found.unionByName(lead)
         retired = salted_join(live, _around(lead), cell, "k").where(d < radius).select("k").distinct()
         live = cut_lineage(live.join(retired, "k", "left_anti"))
-    base = points.select(*by, F.col(key).alias("k"), "lon", "lat").withColumn("cx", F.floor(F.col("lon") / side)).withColumn(
-        "cy", F.floor(F.col("lat") / side)
-    )
     if found is None:
         return points.select(key, F.lit(None).cast(points.schema[key].dataType).alias("leader"))
+    base = located.select(*by, F.col(key).alias("k"), "lon", "lat").withColumn("cx", F.floor(F.col("lon") / side)).withColumn(
+        "cy", F.floor(F.col("lat") / side)
+    )
     taken = salted_join(base, _around(found), cell, "k").where(d < radius).groupBy("k").agg(F.min("ok").alias("leader"))
     return points.select(key).join(taken.withColumnRenamed("k", key), key, "left")
 

@@ -11,12 +11,12 @@ from terraloom.operators.stencil import morphology
 LOW, PEAK, HIGH = 0.03, 0.07, 0.15  # fixed values
 
 
-def with_depression(pixels: DataFrame, ndvi: str = "ndvi", baseline: str = "close", out: str = "depression") -> DataFrame:
+def with_depression(pixels: DataFrame, ndvi: str = "ndvi", baseline: str = "close", out: str = "depression", untested: int = 0) -> DataFrame:
     """Depression strength 0..1 per pixel.
 
     The drop below a 5x5 morphological baseline is tested per scene against the validated drop of
-    0.07. Scenes that pass get a ramp rising from 0.03 to 0.07 and falling to 0.15; scenes of up to 100
-    pixels are thresholded without a test; all others get zero.
+    0.07. Scenes that pass get a ramp rising from 0.03 to 0.07 and falling to 0.15, all others get zero. A caller
+    who does not trust the test on small scenes names with ``untested`` the number of pixels up to which scenes are thresholded instead.
     """
     base = morphology(pixels, ndvi, [(baseline, 5)], "_base").withColumn("_drop", F.col("_base") - F.col(ndvi))
     s = base.groupBy("scene_id").agg(
@@ -33,7 +33,7 @@ def with_depression(pixels: DataFrame, ndvi: str = "ndvi", baseline: str = "clos
         .otherwise(F.greatest(F.lit(0.0), 1 - (drop - PEAK) / (HIGH - PEAK)))
     )
     few = F.when((drop >= PEAK) & (drop <= HIGH), F.least(F.lit(1.0), drop / PEAK)).otherwise(0.0)
-    strength = F.when(F.col("_n") <= 100, few).when(F.col("_ok"), ramp).otherwise(0.0)
+    strength = F.when(F.col("_n") <= untested, few).when(F.col("_ok"), ramp).otherwise(0.0)
     return base.join(verdict, "scene_id").withColumn(out, strength).drop("_base", "_drop", "_n", "_ok")
 
 

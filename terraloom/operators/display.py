@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from terraloom.functions import geo
 from terraloom.functions import scores as S
 from terraloom.operators import density as de
+from terraloom.operators.topn import sliced_rank
 
 MIN_CONFIDENCE, CLUSTER_ABOVE, CLUSTER_M, CLUSTER_MIN, DEDUPE_M = 0.4, 500, 100.0, 3, 50.0  # fixed values
 
@@ -37,16 +38,22 @@ def deduplicated(detections: DataFrame, key: str, metres: float = DEDUPE_M) -> D
     return best_per_group(detections.join(lead, key), ["leader"], key).drop("leader")
 
 
-def viewport_view(detections: DataFrame, key: str, box: dict) -> DataFrame:
-    """Cull to the buffered viewport, filter by confidence, cluster when more than 500 remain."""
+def viewport_view(detections: DataFrame, key: str, box: dict, clustered: bool = True) -> DataFrame:
+    """Cull to the buffered viewport and filter by confidence; clusters of what remains, or with ``clustered`` false every detection for itself.
+
+    n_in_view counts the detections in view, and crowded tells whether a map had better show clusters; the caller decides, no row depends on it.
+    """
     inside = geo.in_viewport(F.col("lon"), F.col("lat"), box["west"], box["south"], box["east"], box["north"])
     seen = detections.where(inside & (_conf() >= MIN_CONFIDENCE))
-    if seen.limit(CLUSTER_ABOVE + 1).count() > CLUSTER_ABOVE:
-        return de.representatives(seen, key, CLUSTER_M / 111320.0, CLUSTER_MIN)
-    return seen.select(
-        key, _conf().alias("confidence"), "lon", "lat", F.lit(1).cast("long").alias("clustered_count"),
-        _conf().alias("cluster_confidence"), F.lit(-1).cast("long").alias("cluster_id"),
-    )
+    if clustered:
+        shown = de.representatives(seen, key, CLUSTER_M / 111320.0, CLUSTER_MIN)
+    else:
+        shown = seen.select(
+            key, _conf().alias("confidence"), "lon", "lat", F.lit(1).cast("long").alias("clustered_count"),
+            _conf().alias("cluster_confidence"), F.lit(-1).cast("long").alias("cluster_id"),
+        )
+    n = seen.agg(F.count(F.lit(1)).alias("n")).scalar()
+    return shown.withColumn("n_in_view", n).withColumn("crowded", n > CLUSTER_ABOVE)
 
 
 def display_view(detections: DataFrame, key: str) -> DataFrame:
@@ -63,22 +70,33 @@ def zone_quota(zones: DataFrame, micro: Column, scale: float = 1.0) -> DataFrame
     return zones.select("zone_id", F.greatest(F.lit(5), F.floor(expected)).cast("long").alias("quota"))
 
 
-def density_limited(detections: DataFrame, quotas: DataFrame, key: str, radius: float = 0.005) -> DataFrame:
-    """Zones above their quota keep the best detection per cluster, and the most confident of those.
+def density_marked(detections: DataFrame, quotas: DataFrame, key: str, radius: float = 0.005) -> DataFrame:
+    """Adds quota, quota_rank and over_quota; no detection is removed.
 
-    The rank within a zone is needed only up to its quota, so it is computed per slice of the zone first
-    and only the slice winners are ranked together; a zone holding most rows is never sorted in one task.
+    In a zone above its quota the best detection of each cluster counts, and of those the most confident ones have a quota_rank up to the quota. Everything else there is over quota. Zones
+    within their quota, and zones without one, have no rank.
     """
     counts = detections.groupBy("zone_id").agg(F.count(F.lit(1)).alias("_n"))
     limits = counts.join(quotas, "zone_id")
-    calm = limits.where(F.col("_n") <= F.col("quota")).select("zone_id")
     busy = limits.where(F.col("_n") > F.col("quota")).select("zone_id", "quota")
     over = detections.join(busy.select("zone_id"), "zone_id", "left_semi")
-    best = best_per_group(de.dbscan(over, key, radius, 1, by=["zone_id"]), ["zone_id", "cluster_id"], key)
-    best = best.join(busy, "zone_id")
-    order = [_conf().desc(), F.col(key)]
-    slices = Window.partitionBy("zone_id", F.pmod(F.xxhash64(key), F.lit(64))).orderBy(*order)
-    local = best.withColumn("_r", F.row_number().over(slices)).where(F.col("_r") <= F.col("quota"))
-    top = local.withColumn("_r", F.row_number().over(Window.partitionBy("zone_id").orderBy(*order)))
-    kept = top.where(F.col("_r") <= F.col("quota")).select(*detections.columns)
-    return detections.join(calm, "zone_id", "left_semi").select(*detections.columns).unionByName(kept)
+    best = best_per_group(de.dbscan(over, key, radius, 1, by=["zone_id"]), ["zone_id", "cluster_id"], key).join(busy, "zone_id")
+    ranked = sliced_rank(best, ["zone_id"], [_conf().desc(), F.col(key)], [key], "quota", "quota_rank").select(key, "quota_rank")
+    marked = detections.join(limits.select("zone_id", "quota", (F.col("_n") > F.col("quota")).alias("_busy")), "zone_id", "left").join(ranked, key, "left")
+    return marked.withColumn("over_quota", F.coalesce(F.col("_busy"), F.lit(False)) & F.col("quota_rank").isNull()).drop("_busy")
+
+
+def density_limited(detections: DataFrame, quotas: DataFrame, key: str, radius: float = 0.005) -> DataFrame:
+    """The detections within their zone's quota: a selection for callers that ask for one (see ``density_marked``)."""
+    return density_marked(detections, quotas, key, radius).where(~F.col("over_quota")).select(*detections.columns)
+
+
+def family_ranked(found: DataFrame, quotas: DataFrame | None) -> DataFrame:
+    """Adds family_rank, by confidence within scene and family up to the scene's quota, and over_quota for what lies beyond it. ``quotas`` has (scene_id, quota)."""
+    if quotas is None:
+        return found.withColumn("family_rank", F.lit(None).cast("int")).withColumn("over_quota", F.lit(False))
+    family = F.substring_index("det_type", "_", 2)
+    family = F.when(F.col("det_type").isin("line", "circle", "rectangle"), "geometric").otherwise(family)
+    limited = found.withColumn("_family", family).join(quotas, "scene_id", "left")
+    ranked = sliced_rank(limited.where("quota IS NOT NULL"), ["scene_id", "_family"], [_conf().desc(), F.col("key")], ["key"], "quota", "family_rank")
+    return limited.join(ranked.select("key", "family_rank"), "key", "left").withColumn("over_quota", F.col("quota").isNotNull() & F.col("family_rank").isNull()).drop("_family", "quota")

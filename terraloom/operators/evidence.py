@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from terraloom.operators.quantiles import quantiles
 from terraloom.constants import (
     MAX_GEOMETRIC, MAX_TOTAL, WEIGHT_ENVIRONMENT, WEIGHT_GEOMETRIC, WEIGHT_PRIORITY, WEIGHT_TERRA_PRETA,
 )
@@ -182,10 +183,11 @@ def feature_details(detections: DataFrame) -> DataFrame:
 
 
 def scoring_summary(scores: DataFrame) -> DataFrame:
-    """One row of statistics over the zone scores (one row per zone, so the median is taken directly)."""
+    """One row of statistics over the zone scores."""
     t, c = F.col("total_score"), F.col("classification")
+    median = quantiles(scores, [], t, {"median": 0.5}).scalar()
     return scores.agg(
-        F.count(F.lit(1)).alias("zones"), F.avg(t).alias("mean_score"), F.percentile(t, 0.5).alias("median_score"),
+        F.count(F.lit(1)).alias("zones"), F.avg(t).alias("mean_score"), F.first(median).alias("median_score"),
         F.max(t).alias("max_score"), F.min(t).alias("min_score"), F.stddev_pop(t).alias("std_score"),
         F.count_if(c.contains("HIGH CONFIDENCE")).alias("high_confidence"), F.count_if(c.contains("PROBABLE")).alias("probable"),
         F.count_if(c.contains("POSSIBLE")).alias("possible"), F.count_if(c.contains("NATURAL")).alias("natural"),
@@ -226,9 +228,10 @@ def site_confidence(sensors: DataFrame) -> DataFrame:
 
 def publication_statistics(sites: DataFrame) -> DataFrame:
     lv = F.col("confidence_level")
+    median = quantiles(sites, [], "p_value", {"median": 0.5}).scalar()
     return sites.agg(
         F.count(F.lit(1)).alias("sites"), F.count_if("meets_standards").alias("meeting_standards"),
-        F.avg("cohens_d").alias("mean_effect"), F.percentile("p_value", 0.5).alias("median_p"),
+        F.avg("cohens_d").alias("mean_effect"), F.first(median).alias("median_p"),
         *[F.count_if(lv == k).alias(k.lower()) for k in ("EXCEPTIONAL", "HIGH", "MEDIUM", "LOW")],
         F.avg(((F.col("cohens_d") >= 0.8) & (F.col("p_value") < 0.01)).cast("int")).alias("statistical_power"),
     )

@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from terraloom.constants import PRESETS
 from terraloom.functions import geo
 from terraloom.functions import stats as ST
+from terraloom.runtime import null_safe_join
 
 TRACK = ["zone_id", "beam"]
 
@@ -31,7 +32,7 @@ def with_neighbours(df: DataFrame, keys: list[str], order: str, cols: list[str],
     )
     wk = Window.partitionBy(*keys).orderBy("_bk")
     ends = ends.select(*part, F.lag("_hi").over(wk).alias("_before"), F.lead("_lo").over(wk).alias("_after"))
-    joined = near.join(ends, part)
+    joined = null_safe_join(near, ends, part)  # a track without zone or beam is a track too
     rest = [c for c in df.columns]
     return joined.select(
         *rest,
@@ -69,7 +70,7 @@ def elevation_anomalies(shots: DataFrame, keys: list[str], preset: str = "archae
     s = elevation_stats(shots, keys).where(F.col("n_valid") >= min_valid)
     z, m, sd = F.col("elevation_ground"), F.col("mean_elevation"), F.col("std_elevation")
     kind = F.when(z > m + k * sd, "mound").when(z < m - k * sd, "ditch")
-    return shots.join(s, keys).withColumn("kind", kind).where(F.col("kind").isNotNull())
+    return null_safe_join(shots, s, keys).withColumn("kind", kind).where(F.col("kind").isNotNull())
 
 
 def anomaly_significance(anomalous: DataFrame, keys: list[str]) -> DataFrame:

@@ -205,5 +205,11 @@ def convergence_summary(fused: DataFrame) -> DataFrame:
     )
 
 
+def dataset_ids(records: DataFrame) -> DataFrame:
+    """Distinct data set ids of each provider, a row each, with how many the provider has. Rows without an id or of an unknown provider are not listed."""
+    ids = records.where(F.col("dataset_id").isNotNull() & F.col("provider").isin("sentinel2", "gedi")).select("provider", "dataset_id").distinct()
+    return ids.join(ids.groupBy("provider").agg(F.count(F.lit(1)).alias("n_datasets")), "provider")
+
+
 def layer_counts(layers: DataFrame) -> DataFrame:
     return layers.groupBy("layer").agg(F.count(F.lit(1)).alias("n"))

@@ -30,7 +30,9 @@ def near_pairs(
     Columns of the result are the structs ``a`` (a base row) and ``b`` (a probe row) and
     ``distance``. Probe rows are copied to the few cells their radius touches; base rows stay in one
     cell each, and cells holding a large share of the base are cut into slices. ``radius`` may be a
-    column of the probe, in which case ``cell`` must be given.
+    column of the probe, in which case ``cell`` must be given. The haversine cells close at the antimeridian
+    and at the poles: a probe whose reach passes 180 degrees looks into the cells on the other side as well,
+    and one that reaches a pole into all cells around it. Planar distances are those of the plane.
     """
     fixed = isinstance(radius, (int, float))
     r = F.lit(float(radius)) if fixed else radius
@@ -39,7 +41,8 @@ def near_pairs(
     blon, blat = F.col("b.lon"), F.col("b.lat")
     if metric == "haversine":
         reach_y = F.col("b._r") / _DEG_LOW
-        reach_x = reach_y / F.cos(F.radians(F.least(F.abs(blat) + reach_y, F.lit(89.9))))
+        top = F.abs(blat) + reach_y
+        reach_x = F.when(top >= 89.9, 180.0).otherwise(F.least(reach_y / F.cos(F.radians(F.least(top, F.lit(89.9)))), F.lit(180.0)))
         size = cell or radius / _DEG_LOW
         dist = geo.haversine_m(F.col("a.lon"), F.col("a.lat"), blon, blat)
     else:
@@ -47,9 +50,21 @@ def near_pairs(
         size = cell or radius
         dist = geo.planar_deg(F.col("a.lon"), F.col("a.lat"), blon, blat)
     a = a.withColumn("_cx", F.floor(F.col("a.lon") / size)).withColumn("_cy", F.floor(F.col("a.lat") / size))
-    b = b.withColumn("_cx", _span(blon - reach_x, blon + reach_x, size)).withColumn(
-        "_cy", _span(blat - reach_y, blat + reach_y, size)
-    )
+    west, east = blon - reach_x, blon + reach_x
+    if metric == "haversine":
+        # the part of the reach beyond 180 degrees, seen from the other side
+        none = F.array().cast("array<bigint>")
+        cells = lambda lo, hi: F.sequence(F.floor(lo / size), F.floor(hi / size))
+        edge = F.lit(180.0)
+        wrapped = F.array_distinct(F.concat(
+            cells(F.greatest(west, -edge), F.least(east, edge)),
+            F.when(west < -180, cells(F.least(west + 360, edge), edge)).otherwise(none),
+            F.when(east > 180, cells(-edge, F.greatest(east - 360, -edge))).otherwise(none),
+        ))
+        b = b.withColumn("_cx", F.explode(wrapped))
+    else:
+        b = b.withColumn("_cx", _span(west, east, size))
+    b = b.withColumn("_cy", _span(blat - reach_y, blat + reach_y, size))
     a = a.withColumn("_spread", F.col(f"a.{base_id}"))
     joined = salted_join(a, b, ["_cx", "_cy"], "_spread").withColumn("distance", dist)
     limit = F.col("distance") <= F.col("b._r") if closed else F.col("distance") < F.col("b._r")
@@ -72,16 +87,16 @@ def provider_pairs(detections: DataFrame, radius_m: float = 1500.0, providers=("
 def convergence_per_detection(detections: DataFrame, radius_m: float = 1500.0, providers=("sentinel2", "gedi")) -> DataFrame:
     """Strength of the closest detection of the other provider, and the sensor support flags.
 
-    Only the closest counts, so both sides are first reduced to distinct locations: copies of a place
-    are paired once however many there are, and the minimum combines map-side.
+    Only the closest counts, so no pair is listed: both sides are reduced to distinct locations, and a pyramid of cells finds the nearest of the other side.
     """
-    locs = detections.where(F.col("provider").isin(*providers)).groupBy("provider", "lon", "lat").agg(F.min("det_id").alias("det_id"))
+    from terraloom.operators.pyramid import nearest_within
+
+    locs = cut_lineage(detections.where(F.col("provider").isin(*providers)).select("provider", "lon", "lat").distinct())
     side = lambda p: locs.where(F.col("provider") == p)
-    pairs = near_pairs(side(providers[0]), side(providers[1]), radius_m, "det_id").select(
-        F.array(F.col("a.det_id"), F.col("b.det_id")).alias("ends"), (1 - F.col("distance") / radius_m).alias("s")
-    )
-    best = pairs.select(F.explode("ends").alias("det_id"), "s").groupBy("det_id").agg(F.max("s").alias("_s"))
-    known = locs.join(best, "det_id").select("provider", "lon", "lat", "_s")
+    known = None
+    for own, other in (providers, providers[::-1]):
+        near = nearest_within(side(other), side(own), radius_m).select(F.lit(own).alias("provider"), "lon", "lat", (1 - F.col("metres") / radius_m).alias("_s"))
+        known = near if known is None else known.unionByName(near)
     hit = F.col("_s").isNotNull()
     return (
         salted_join(detections, known, ["provider", "lon", "lat"], "det_id", how="left")
@@ -144,43 +159,71 @@ def midpoint_rows(pairs: DataFrame, min_score: float = 8.0) -> DataFrame:
 PHASES = ((0.60, 0.15, 5), (0.70, 0.20, 15), (0.80, 0.30, None))  # spectral min, lidar min, quota (fixed values)
 
 
+_M_PER_DEG = 111000.0
+
+
+def _lidar_confidence(points: Column) -> Column:
+    return F.least(F.lit(0.9), points / 20.0)
+
+
+def tier_matches(detections: DataFrame, radius_m: float = 1500.0) -> DataFrame:
+    """Per spectral detection the first LiDAR detection (least id) within the radius at each pair of thresholds of PHASES: columns m0, m1, m2, NULL where none.
+
+    A pyramid of cells holds the least id per threshold, so no pair is listed.
+    """
+    from terraloom.operators.pyramid import circle_aggregates
+
+    spectral = detections.where("provider = 'sentinel2'").select("det_id", "lon", "lat", "confidence")
+    lidar = detections.where("provider = 'gedi'").select("det_id", "lon", "lat", "n_points")
+    l_conf, s_conf = _lidar_confidence(F.col("n_points")), F.coalesce("confidence", F.lit(0.5))
+    least = {f"m{i}": ("min", F.when(l_conf >= l_min, F.col("det_id"))) for i, (_, l_min, _) in enumerate(PHASES)}
+    found = circle_aggregates(lidar, spectral, "det_id", F.lit(radius_m / _M_PER_DEG), least)
+    return found.join(spectral.select("det_id", s_conf.alias("_s")), "det_id").select(
+        "det_id", *[F.when(F.col("_s") >= s_min, F.col(f"m{i}")).alias(f"m{i}") for i, (s_min, _, _) in enumerate(PHASES)]
+    )
+
+
+def match_tiers(detections: DataFrame, radius_m: float = 1500.0) -> DataFrame:
+    """Every spectral detection with its strictest match: tier 3, 2 or 1 (the thresholds of PHASES from strict to loose) and its LiDAR partner, or tier 0 and none.
+
+    One rule for every row, whatever the number of matches.
+    """
+    m = tier_matches(detections, radius_m)
+    tier = F.when(F.col("m2").isNotNull(), 3).when(F.col("m1").isNotNull(), 2).when(F.col("m0").isNotNull(), 1).otherwise(0)
+    spectral = detections.where("provider = 'sentinel2'").select("det_id")
+    return spectral.join(m, "det_id", "left").select("det_id", tier.alias("tier"), F.coalesce("m2", "m1", "m0").alias("lidar_id"))
+
+
 def first_match(detections: DataFrame, radius_m: float = 1500.0) -> DataFrame:
     """First LiDAR match per spectral detection with thresholds that tighten as matches accumulate.
 
     The sequential rule (5 matches at the loosest thresholds, 15 at the middle ones, the rest at the
     strictest) becomes three ordered takes: each phase starts after the last id the previous phase
-    accepted, and a phase that does not fill its quota ends the matching.
+    accepted, and a phase that does not fill its quota ends the matching. ``match_tiers`` is the rule
+    without quotas.
     """
     d = detections.select("det_id", "provider", "lon", "lat", "confidence", "n_points")
     spectral, lidar = d.where("provider = 'sentinel2'"), d.where("provider = 'gedi'")
-    pairs = near_pairs(spectral, lidar, radius_m / 111000.0 * (1 + 1e-9), "det_id", metric="planar")
-    pairs = pairs.withColumn("metres", F.col("distance") * 111000).where(F.col("metres") <= radius_m)
-    s_conf = F.coalesce("a.confidence", F.lit(0.5))
-    l_conf = F.least(F.lit(0.9), F.col("b.n_points") / 20.0)
-    firsts = []
-    for i, (s_min, l_min, _) in enumerate(PHASES):
-        ok = (s_conf >= s_min) & (l_conf >= l_min)
-        match = F.struct(F.col("b.det_id").alias("lidar_id"), F.col("metres"), ((s_conf + l_conf) / 2).alias("combined"))
-        firsts.append(F.min(F.when(ok, match)).alias(f"_m{i}"))
-    # one row per spectral detection, read by all three phases
-    matched = cut_lineage(pairs.groupBy(F.col("a.det_id").alias("det_id")).agg(*firsts))
+    matched = cut_lineage(tier_matches(d, radius_m))  # one row per spectral detection, read by all three phases
     taken, after = [], None
     for i, (_, _, quota) in enumerate(PHASES):
-        phase = matched.where(F.col(f"_m{i}").isNotNull())
+        phase = matched.where(F.col(f"m{i}").isNotNull())
         if after is not None:
             phase = phase.where(F.col("det_id") > after)
-        phase = phase.select("det_id", F.col(f"_m{i}").alias("m"))
+        phase = phase.select("det_id", F.col(f"m{i}").alias("lidar_id"))
         if quota is not None:
             phase = phase.orderBy("det_id").limit(quota)
             last = phase.agg(F.when(F.count(F.lit(1)) == quota, F.max("det_id")))
             after = last.scalar()
         taken.append(phase)
-    hits = taken[0].unionByName(taken[1]).unionByName(taken[2]).select("det_id", "m.*")
+    hits = cut_lineage(taken[0].unionByName(taken[1]).unionByName(taken[2]))
     conf = F.coalesce("confidence", F.lit(0.0))
     none = F.lit(None)
-    converged = spectral.join(hits, "det_id").select(
-        "det_id", "lidar_id", F.col("metres").alias("convergence_distance_m"), F.col("combined").alias("combined_confidence"),
-        F.lit("multi_sensor").alias("convergence_type"),
+    partner = lidar.select(F.col("det_id").alias("lidar_id"), F.col("lon").alias("_x"), F.col("lat").alias("_y"), F.col("n_points").alias("_n"))
+    metres = geo.planar_deg(F.col("lon"), F.col("lat"), F.col("_x"), F.col("_y")) * _M_PER_DEG
+    converged = salted_join(spectral.join(hits, "det_id"), partner, ["lidar_id"], "det_id").select(
+        "det_id", "lidar_id", metres.alias("convergence_distance_m"),
+        ((F.coalesce("confidence", F.lit(0.5)) + _lidar_confidence(F.col("_n"))) / 2).alias("combined_confidence"), F.lit("multi_sensor").alias("convergence_type"),
     )
 
     def alone(side: DataFrame, ids: DataFrame, tag: str) -> DataFrame:
@@ -210,15 +253,21 @@ def nearest_zone(points: DataFrame, centres: DataFrame, key: str, max_km: float
     )
 
 
-def radius_statistics(centres: DataFrame, shots: DataFrame, key: str, radius: Column, cell: float = 0.002) -> DataFrame:
-    """Mean, population deviation and variance of shot elevation within each centre's radius (degrees)."""
-    valid = shots.where(F.col("elevation_ground").isNotNull()).select("shot_number", "lon", "lat", "elevation_ground")
-    pairs = near_pairs(valid, centres.withColumn("_radius", radius), F.col("_radius"), "shot_number", "planar", cell=cell)
-    e = F.col("a.elevation_ground")
-    return pairs.groupBy(F.col(f"b.{key}").alias(key)).agg(
-        F.count(F.lit(1)).alias("n_shots"), F.avg(e).alias("mean_elevation"),
-        F.stddev_pop(e).alias("std_elevation"), F.var_pop(e).alias("local_variance"),
-    )
+def radius_statistics(centres: DataFrame, shots: DataFrame, key: str, radius: Column) -> DataFrame:
+    """Mean, population deviation and variance of shot elevation within each centre's radius (degrees).
+
+    Sums come from a pyramid of pre-summed cells; only cells on a circle's border are opened. Elevations are taken from their overall mean, so that the squares lose no digits.
+    """
+    from terraloom.operators.pyramid import circle_aggregates
+
+    valid = shots.where(F.col("elevation_ground").isNotNull()).select("lon", "lat", "elevation_ground")
+    middle = valid.agg(F.avg("elevation_ground")).scalar()
+    valid = valid.withColumn("_e", F.col("elevation_ground") - middle)
+    e = F.col("_e")
+    sums = circle_aggregates(valid, centres, key, radius, {"n_shots": ("sum", F.lit(1)), "_s1": ("sum", e), "_s2": ("sum", e * e)})
+    mean = F.col("_s1") / F.col("n_shots")
+    var = F.greatest(F.col("_s2") / F.col("n_shots") - mean * mean, F.lit(0.0))
+    return sums.select(key, "n_shots", (mean + middle).alias("mean_elevation"), F.sqrt(var).alias("std_elevation"), var.alias("local_variance"))
 
 
 def sample_pixels(features: DataFrame, pixels: DataFrame, key: str, bands: list[str], half: int = 0) -> DataFrame:
@@ -241,23 +290,47 @@ def sample_pixels(features: DataFrame, pixels: DataFrame, key: str, bands: list[
 BOX = ["west", "south", "east", "north"]
 
 
+#: Levels of the cell cover: the side of a cell doubles from one to the next.
+COVER_LEVELS = 16
+
+
+def cover_level(width: Column, height: Column, cell: float) -> Column:
+    """The first level at which a box is no wider or higher than a cell, so that it touches four cells at most; larger boxes take the last level."""
+    wide = F.greatest(width, height, F.lit(0.0)) / cell
+    return F.greatest(F.lit(0), F.least(F.ceil(F.log2(F.greatest(wide, F.lit(1.0)))), F.lit(COVER_LEVELS - 1))).cast("int")
+
+
+def cover_index(value: Column, level: Column, cell: float) -> Column:
+    return F.floor(value / (F.lit(cell) * F.pow(F.lit(2.0), level)))
+
+
+def box_cover(boxes: DataFrame, west: Column, south: Column, east: Column, north: Column, cell: float, upwards: int = 0) -> DataFrame:
+    """Boxes at the cells (_lv, _cx, _cy) they touch at their own level, and at ``upwards`` coarser levels as well."""
+    own = cover_level(east - west, north - south, cell)
+    levels = F.sequence(own, F.least(own + upwards, F.lit(COVER_LEVELS - 1))) if upwards else F.array(own)
+    lv = F.col("_lv")
+    span = lambda lo, hi: F.explode(F.sequence(cover_index(lo, lv, cell), cover_index(hi, lv, cell)))
+    return boxes.withColumn("_own", own).withColumn("_lv", F.explode(levels)).withColumn("_cx", span(west, east)).withColumn("_cy", span(south, north))
+
+
 def box_pairs(left: DataFrame, right: DataFrame, cell: float = 0.25) -> DataFrame:
     """Pairs of overlapping boxes (structs ``a``, ``b``) with intersection and share of ``b`` covered.
 
-    Both sides are spread over grid cells; a pair is kept only in the cell of the lower-left corner of
-    its intersection, so no pair appears twice and nothing needs deduplication.
+    A box covers a few cells at the level of its size and at the coarser ones, some 60 rows however large it is. Two boxes meet at the larger one's level, in the cell of the lower-left corner of
+    their intersection, so no pair appears twice and nothing needs deduplication. Cells with a large share of the boxes are cut into slices.
     """
 
     def spread(df, name):
         s = df.select(F.struct(*df.columns).alias(name))
-        return s.withColumn("_cx", _span(F.col(f"{name}.west"), F.col(f"{name}.east"), cell)).withColumn(
-            "_cy", _span(F.col(f"{name}.south"), F.col(f"{name}.north"), cell)
-        )
+        box = [F.col(f"{name}.{c}") for c in BOX]
+        return box_cover(s.where((box[0] <= box[2]) & (box[1] <= box[3])), *box, cell, COVER_LEVELS).withColumnRenamed("_own", f"_own_{name}")
 
     w, s = F.greatest("a.west", "b.west"), F.greatest("a.south", "b.south")
     e, n = F.least("a.east", "b.east"), F.least("a.north", "b.north")
-    joined = spread(left, "a").join(spread(right, "b"), ["_cx", "_cy"])
-    kept = joined.where((w < e) & (s < n) & (F.col("_cx") == F.floor(w / cell)) & (F.col("_cy") == F.floor(s / cell)))
+    joined = salted_join(spread(left, "a"), spread(right, "b"), ["_lv", "_cx", "_cy"], "a")
+    lv = F.col("_lv")
+    once = (lv == F.greatest("_own_a", "_own_b")) & (F.col("_cx") == cover_index(w, lv, cell)) & (F.col("_cy") == cover_index(s, lv, cell))
+    kept = joined.where((w < e) & (s < n) & once)
     area = (F.col("b.east") - F.col("b.west")) * (F.col("b.north") - F.col("b.south"))
     return kept.select("a", "b", ((e - w) * (n - s) / area).alias("overlap"))
 
@@ -350,7 +423,7 @@ def nearest_distance(points: DataFrame, key: str) -> DataFrame:
         "lon", "lat", F.when(F.col("_w") > 1, F.lit(0.0)).otherwise(F.col("_d")).alias("nn_deg")
     )
     located = points.withColumn("_at", F.col(key))
-    return salted_join(located, answer, ["lon", "lat"], "_at").drop("_at")
+    return salted_join(located, answer, ["lon", "lat"], "_at", how="left").drop("_at")  # points without coordinates have no distance
 
 
 def best_discovery(detections: DataFrame) -> DataFrame:

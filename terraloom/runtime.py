@@ -56,3 +56,12 @@ def salted_join(
         "_salt", F.explode(F.sequence(F.lit(0), F.coalesce(F.col("_slices"), F.lit(1)) - 1))
     ).drop("_slices")
     return l.join(r, keys + ["_salt"], how).drop("_salt")
+
+
+def null_safe_join(left: DataFrame, right: DataFrame, keys: list[str], how: str = "inner") -> DataFrame:
+    """Equi-join in which NULL keys meet NULL keys, as they do in groups and windows; the left side's keys stay."""
+    named = right.withColumnsRenamed({k: f"_right_{k}" for k in keys})
+    condition = F.lit(True)
+    for k in keys:
+        condition = condition & left[k].eqNullSafe(named[f"_right_{k}"])
+    return left.join(named, condition, how).drop(*[f"_right_{k}" for k in keys])

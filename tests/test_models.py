@@ -136,7 +136,7 @@ def test_quantiles(spark, limit):
     }
     df = spark.createDataFrame([(g, float(x)) for g, xs in groups.items() for x in xs] + [("a", None), ("a", float("nan"))], "g string, x double")
     probs = {"p1": 0.01, "p50": 0.5, "p98": 0.98}
-    got = {r.g: r for r in qn.quantiles(df, ["g"], "x", probs, direct_limit=limit).collect()}
+    got = {r.g: r for r in qn.quantiles(df, ["g"], "x", probs, cell_limit=limit).collect()}
     for g, xs in groups.items():
         for name, p in probs.items():
             assert got[g][name] == pytest.approx(np.percentile(xs, p * 100), rel=1e-12, abs=1e-12)
