@@ -208,12 +208,41 @@ def _(v):
     return connected_components(e)
 
 
-@query("m04_greedy_leader_clusters")
+def ordered_leaders_sql(source: str, name: str, radius: float, by: str) -> tuple[str, str]:
+    """(CTEs, SELECT of the leaders) of a scan in order of ``k`` over ``source`` (by, k, x, y): a point leads unless an earlier leader is closer than the radius."""
+    ctes = f"""{name}_o AS (SELECT {by}, k, x, y, row_number() OVER (PARTITION BY {by} ORDER BY k) AS i FROM {source}),
+    {name}_s AS (SELECT DISTINCT {by}, CAST(0 AS BIGINT) AS i, CAST([] AS STRUCT(k BIGINT, x DOUBLE, y DOUBLE)[]) AS lead FROM {source}
+      UNION ALL SELECT s.{by}, o.i, CASE WHEN len(list_filter(s.lead, lambda l: sqrt((l.x - o.x) * (l.x - o.x) + (l.y - o.y) * (l.y - o.y)) < {radius!r}::DOUBLE)) > 0 THEN s.lead ELSE list_append(s.lead, struct_pack(k := o.k, x := o.x, y := o.y)) END
+      FROM {name}_s s JOIN {name}_o o ON o.{by} = s.{by} AND o.i = s.i + 1)"""
+    return ctes, f"SELECT {by}, l.k AS k, l.x AS x, l.y AS y FROM (SELECT {by}, unnest(arg_max(lead, i)) AS l FROM {name}_s GROUP BY {by}) z"
+
+
+def leader_of_sql(points: str, core: str, name: str, radius: float) -> str:
+    """CTEs ending in ``name`` (k, leader): each point of ``points`` (k, x, y) with the first leader near it; leaders come from ``core``."""
+    ctes, lead = ordered_leaders_sql(f"{name}_c", name, radius, "z")
+    return f"""{name}_c AS (SELECT 1 AS z, k, x, y FROM {core}), {ctes}, {name}_l AS ({lead}),
+    {name}_n AS (SELECT p.k, min(l.k) AS leader FROM {points} p JOIN {name}_l l ON abs(l.x - p.x) <= {radius!r}::DOUBLE AND abs(l.y - p.y) <= {radius!r}::DOUBLE AND sqrt((l.x - p.x) * (l.x - p.x) + (l.y - p.y) * (l.y - p.y)) < {radius!r}::DOUBLE GROUP BY p.k),
+    {name} AS (SELECT p.k, leader FROM {points} p LEFT JOIN {name}_n n ON n.k = p.k)"""
+
+
+POINTS = "lp AS (SELECT det_id AS k, lon AS x, lat AS y, confidence, area_m2 FROM detections)"
+DEDUPE = 50.0 / 111320.0
+MERGED = """SELECT arg_min(p.k, struct_pack(c := -coalesce(confidence, 0), i := p.k)) AS det_id, count(*) AS n_merged FROM {points} p JOIN ld ON ld.k = p.k GROUP BY leader"""
+
+
+@query(
+    "m04_greedy_leader_clusters",
+    f"""{POINTS}, co AS (SELECT a.k, a.x, a.y FROM lp a JOIN lp b ON abs(a.x - b.x) <= 0.003E0 AND abs(a.y - b.y) <= 0.003E0 AND sqrt((a.x - b.x) * (a.x - b.x) + (a.y - b.y) * (a.y - b.y)) < 0.003E0 GROUP BY 1, 2, 3 HAVING count(*) >= 3),
+    {leader_of_sql('lp', 'co', 'ld', 0.003)} SELECT k AS det_id, leader FROM ld""",
+)
 def _(v):
     return de.leaders(det_points(v), "det_id", 0.003, 3)
 
 
-@query("m05_greedy_dedupe")
+@query(
+    "m05_greedy_dedupe",
+    f"{POINTS}, {leader_of_sql('lp', 'lp', 'ld', DEDUPE)}, mg AS ({MERGED.format(points='lp')}) SELECT mg.det_id, confidence, n_merged FROM mg JOIN lp ON lp.k = mg.det_id",
+)
 def _(v):
     return di.deduplicated(v.detections, "det_id", 50.0).select("det_id", "confidence", "n_merged")
 
@@ -246,7 +275,11 @@ def _(v):
     return rep_out(di.viewport_view(det_points(v), "det_id", VIEW))
 
 
-@query("m08_display_view")
+@query(
+    "m08_display_view",
+    f"""{POINTS}, dv AS (SELECT * FROM lp WHERE coalesce(confidence, 0) >= 0.4E0), {leader_of_sql('dv', 'dv', 'ld', DEDUPE)}, mg AS ({MERGED.format(points='dv')})
+    SELECT mg.det_id, confidence, round(coalesce(confidence, 0.5E0) * log10(greatest(coalesce(area_m2, 1000), 1)), 9) AS priority FROM mg JOIN dv ON dv.k = mg.det_id""",
+)
 def _(v):
     return di.display_view(v.detections, "det_id").select("det_id", "confidence", F.round("priority", 9).alias("priority"))
 

@@ -6,6 +6,7 @@ import math
 
 from pyspark.sql import functions as F
 
+from terraloom.catalog.lidar import ordered_leaders_sql
 from terraloom.catalog.pixels import INDEX_SQL, PX
 from terraloom.catalog.rasters import LEVEL, morph_sql
 from terraloom.catalog.registry import query
@@ -197,17 +198,30 @@ def _(v):
     return s.select("scene_id", "rho", "theta", "votes", "segment", "n_px", "x1", "y1", "x2", "y2", _r9("length_px"))
 
 
+CIRCLE_VOTES = f"{_canny_fix(canny_sql(40, 120))}, vt AS (SELECT scene_id, r, c, q.radius, a.i AS ang FROM ed, range(3, 6) q(radius), range(0, 360, 10) a(i))"
+_CX = "CAST(floor(c - radius * cos(radians(ang::DOUBLE)) + 0.5E0 + 1E-9) AS INT)"
+_CY = "CAST(floor(r - radius * sin(radians(ang::DOUBLE)) + 0.5E0 + 1E-9) AS INT)"
+
+
 @query(
     "n18_circle_votes",
-    f"""{_canny_fix(canny_sql(40, 120))}, vt AS (SELECT scene_id, r, c, q.radius, a.i AS ang FROM ed, range(3, 6) q(radius), range(0, 360, 10) a(i))
-    SELECT scene_id, CAST(floor(c - radius * cos(radians(ang::DOUBLE)) + 0.5E0 + 1E-9) AS INT) AS cx, CAST(floor(r - radius * sin(radians(ang::DOUBLE)) + 0.5E0 + 1E-9) AS INT) AS cy, CAST(radius AS INT) AS radius, count(*) AS votes
+    f"""{CIRCLE_VOTES}
+    SELECT scene_id, {_CX} AS cx, {_CY} AS cy, CAST(radius AS INT) AS radius, count(*) AS votes
     FROM vt GROUP BY 1, 2, 3, 4 HAVING count(*) >= 20""",
 )
 def _(v):
     return sh.circle_votes(edge_pixels(v, 40, 120), range(3, 6), 20)
 
 
-@query("n18_circle_detection")
+_ctes, _lead = ordered_leaders_sql("cp", "cl", 6.0, "scene_id")
+
+
+@query(
+    "n18_circle_detection",
+    f"""{CIRCLE_VOTES}, cv AS (SELECT scene_id, {_CX} AS cx, {_CY} AS cy, CAST(radius AS INT) AS radius, count(*) AS votes FROM vt GROUP BY 1, 2, 3, 4 HAVING count(*) >= 20),
+    cp AS (SELECT *, CAST(cx AS DOUBLE) AS x, CAST(cy AS DOUBLE) AS y, row_number() OVER (PARTITION BY scene_id ORDER BY votes DESC, radius, cx, cy) AS k FROM cv), {_ctes}
+    SELECT cp.scene_id, cx, cy, radius, votes FROM cp JOIN ({_lead}) g ON g.scene_id = cp.scene_id AND g.k = cp.k""",
+)
 def _(v):
     return sh.circles(edge_pixels(v, 40, 120), range(3, 6), 20, 6.0)
 

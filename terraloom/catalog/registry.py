@@ -38,3 +38,14 @@ def query(name: str, sql: str | None = None):
         return fn
 
     return register
+
+
+def composed(name: str, *parts: str, sql: str = "SELECT * FROM ({0}) a"):
+    """Register ``fn(views)``, checked by the SQL of other queries: ``{0}``, ``{1}`` ... in ``sql`` stand for theirs."""
+
+    def register(fn: Callable[[Views], DataFrame]):
+        query(name)(fn)
+        ORACLES[name] = sql.format(*[ORACLES[p] for p in parts])
+        return fn
+
+    return register

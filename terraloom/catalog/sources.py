@@ -14,7 +14,7 @@ from terraloom.catalog.registry import query
 from terraloom.catalog.reports import FLAGS
 from terraloom.catalog.scalars import REASON, DAYS, POINTS, ladder_sql, lookup_sql, q
 from terraloom.catalog.spatial import AREAS, PAIRS, SCENE_SCORE, SCORED, SUPPORT
-from terraloom.constants import PRESETS
+from terraloom.constants import PRESETS, SURVEY_ZONES
 from terraloom.functions import labels as L
 from terraloom.operators import export as ex
 from terraloom.operators import masks
@@ -228,6 +228,48 @@ def _(v):
     return s.select("det_id", "geometry_type", F.round("lon", 8).alias("lon"), F.round("lat", 8).alias("lat"), F.round("area_m2", 4).alias("area_m2"))
 
 
+# Detections as geometries of several parts and with holes, all made of squares (x, y, side), whose areas and centres are known.
+PARTS = "SELECT det_id, lon AS x, lat AS y, CAST(det_id % 4 AS INT) AS form FROM "
+
+
+def square_area(y: str, a: str) -> str:
+    """Square metres of a square's ring as measured at the mean latitude of its five vertices."""
+    return f"({a} * {a} * 111000.0E0 * 111000.0E0 * cos(radians({y} + 0.4E0 * {a})))"
+
+
+@query(
+    "a11_multipart_summary",
+    f"""pt AS ({PARTS} detections) SELECT det_id, CASE form WHEN 0 THEN 'MultiPolygon' WHEN 1 THEN 'Polygon' WHEN 2 THEN 'MultiPoint' ELSE 'MultiLineString' END AS geometry_type,
+    round(CASE form WHEN 0 THEN (0.0001E0 * (x + 0.005E0) + 0.0004E0 * (x + 0.03E0)) / 0.0005E0 WHEN 1 THEN (0.0016E0 * (x + 0.02E0) - 0.0001E0 * (x + 0.015E0)) / 0.0015E0 WHEN 2 THEN x + 0.02E0 ELSE x + 0.025E0 END, 7) AS lon,
+    round(CASE form WHEN 0 THEN (0.0001E0 * (y + 0.005E0) + 0.0004E0 * (y + 0.01E0)) / 0.0005E0 WHEN 1 THEN (0.0016E0 * (y + 0.02E0) - 0.0001E0 * (y + 0.015E0)) / 0.0015E0 WHEN 2 THEN y ELSE y + 0.005E0 END, 7) AS lat,
+    round(CASE form WHEN 0 THEN {square_area('y', '0.01E0')} + {square_area('y', '0.02E0')} WHEN 1 THEN {square_area('y', '0.04E0')} - {square_area('(y + 0.01E0)', '0.01E0')} ELSE 0 END, 1) AS area_m2 FROM pt""",
+)
+def _(v):
+    return rd.vector_summary(multipart(v), "det_id").select("det_id", "geometry_type", F.round("lon", 7).alias("lon"), F.round("lat", 7).alias("lat"), F.round("area_m2", 1).alias("area_m2"))
+
+
+def multipart(v):
+    """GeoJSON rows of the detections: two squares, a square with a hole, points, lines."""
+    d = v.sql(PARTS + "{detections}")
+    at = lambda dx, dy: F.array(F.col("x") + dx, F.col("y") + dy)
+    ring = lambda dx, dy, a: F.array(at(dx, dy), at(dx + a, dy), at(dx + a, dy + a), at(dx, dy + a), at(dx, dy))
+    two = F.to_json(F.array(F.array(ring(0.0, 0.0, 0.01)), F.array(ring(0.02, 0.0, 0.02))))
+    holed = F.to_json(F.array(ring(0.0, 0.0, 0.04), ring(0.01, 0.01, 0.01)))
+    points = F.to_json(F.array(at(0.0, 0.0), at(0.04, 0.0)))
+    lines = F.to_json(F.array(F.array(at(0.0, 0.0), at(0.01, 0.0)), F.array(at(0.04, 0.01), at(0.05, 0.01))))
+    pick = lambda *xs: F.when(F.col("form") == 0, xs[0]).when(F.col("form") == 1, xs[1]).when(F.col("form") == 2, xs[2]).otherwise(xs[3])
+    kind = pick(F.lit("MultiPolygon"), F.lit("Polygon"), F.lit("MultiPoint"), F.lit("MultiLineString"))
+    return d.select("det_id", F.struct(kind.alias("type"), pick(two, holed, points, lines).alias("coordinates")).alias("geometry"), F.create_map(F.lit("id"), F.col("det_id").cast("string")).alias("properties"))
+
+
+@query(
+    "a10_multipart_features",
+    f"""pt AS ({PARTS} detections) SELECT CAST(det_id AS VARCHAR) AS id, round(CASE form WHEN 0 THEN (0.0001E0 * (x + 0.005E0) + 0.0004E0 * (x + 0.03E0)) / 0.0005E0 WHEN 1 THEN x + 0.016E0 WHEN 2 THEN x + 0.02E0 ELSE x + 0.025E0 END, 7) AS lon, CAST(0.6 AS DOUBLE) AS confidence FROM pt""",
+)
+def _(v):
+    return rd.feature_rows(multipart(v)).select("id", F.round("lon", 7).alias("lon"), "confidence")
+
+
 def preset_mask(name):
     p = PRESETS[name]
     if name == "fast":
@@ -265,6 +307,23 @@ def _(v):
     return v.sql(SPELLED + "{detections}").select("det_id", tb.normalised_zone(F.col("zone")).alias("zone"))
 
 
+SOME_ZONES = [z for i, z in enumerate(SURVEY_ZONES) if i in (0, 1, 3, 8)]
+ZONE_NAMES = "SELECT det_id, CASE det_id % 6 WHEN 0 THEN 'Xingu-Deep Forest' WHEN 1 THEN 'acre_capixaba_gap' WHEN 2 THEN 'ACRE CORRIDOR-GAP' WHEN 3 THEN 'labrea_terra_preta_belt' WHEN 4 THEN 'upper_naporegion' ELSE 'new_place' END AS zone FROM "
+
+
+@query(
+    "a13_zone_dimension",
+    f"""zn AS ({ZONE_NAMES} detections), k AS (SELECT det_id, zone, CASE det_id % 6 WHEN 0 THEN 'xingu_deep_forest' WHEN 1 THEN 'acre_capixaba_gap' WHEN 2 THEN 'acre_corridor_gap' WHEN 3 THEN 'labrea_terra_preta_belt' WHEN 4 THEN 'upper_napo' ELSE 'new_place' END AS zone_key FROM zn),
+    d AS (SELECT * FROM (VALUES {', '.join(f"('{z[0]}', {z[2]}::DOUBLE, {z[5]}::DOUBLE, {z[8]}, {z[9]}::DOUBLE, {z[10]}, {z[11]}, '{z[12]}')" for z in SOME_ZONES)}) t(id, lat, west, priority, radius, lo, hi, kind))
+    SELECT det_id, zone_key, id IS NOT NULL AS known, coalesce(lat, 0) AS centre_lat, coalesce(west, -73) AS west, CAST(coalesce(priority, 3) AS INT) AS priority, coalesce(radius, 7) AS search_radius_km, CAST(coalesce(lo, 50) AS INT) AS min_feature_m, CAST(coalesce(hi, 500) AS INT) AS max_feature_m,
+    coalesce(kind, 'forested_buried_sites') AS zone_type, CASE det_id % 6 WHEN 5 THEN 'New Place' WHEN 4 THEN 'Upper Naporegion' END AS default_title FROM k LEFT JOIN d ON d.id = k.zone_key""",
+)
+def _(v):
+    z = tb.with_zone(v.sql(ZONE_NAMES + "{detections}"), tb.survey_zones(v.spark))
+    title = F.when(~F.col("known"), F.col("zone_title")).alias("default_title")
+    return z.select("det_id", "zone_key", "known", "centre_lat", "west", "priority", "search_radius_km", "min_feature_m", "max_feature_m", "zone_type", title)
+
+
 CASCADE = f"""{SCENE_SCORE}, lm AS (SELECT *, CASE WHEN cloud_cover < 10 THEN 10 WHEN cloud_cover < 20 THEN 20 WHEN cloud_cover < 30 THEN 30 WHEN cloud_cover < 40 THEN 40 WHEN cloud_cover < 50 THEN 50 WHEN cloud_cover < 60 THEN 60 WHEN cloud_cover < 70 THEN 70 WHEN cloud_cover < 80 THEN 80 END AS lim
     FROM sq WHERE ov >= 50 AND km <= 75), bk AS (SELECT zone_id, min(lim) AS t FROM lm WHERE lim IS NOT NULL GROUP BY zone_id),
   rk AS (SELECT lm.zone_id, scene_id, quality, t, row_number() OVER (PARTITION BY lm.zone_id ORDER BY quality DESC, scene_id) AS rn FROM lm JOIN bk ON bk.zone_id = lm.zone_id AND lim <= t)"""
@@ -567,8 +626,41 @@ def _(v):
     def sums(pdf):
         return pd.DataFrame({"zone_id": [int(pdf["zone_id"].iloc[0])], "n": [len(pdf)], "total": [float(pdf["rh100"].sum())]})
 
-    parts = reg.zone_batches(v.shots.select("zone_id", "shot_number", "rh100"), sums, "zone_id long, n long, total double", "shot_number", 150)
-    return parts.groupBy("zone_id").agg(F.sum("n").alias("n"), F.round(F.sum("total") / F.sum("n"), 6).alias("mean_rh100"))
+    rows = v.shots.select("zone_id", "shot_number", "rh100")
+    merge = lambda states: states.groupby("zone_id", as_index=False).sum()
+    finish = lambda state: state.assign(mean_rh100=state["total"] / state["n"])
+    out = reg.zone_reduce(rows, sums, merge, finish, "zone_id long, n long, total double", "zone_id long, n long, mean_rh100 double", "shot_number", 150, 4)
+    return out.withColumn("mean_rh100", F.round("mean_rh100", 6))
+
+
+@query("l02_zone_groups", "SELECT zone_id, round(quantile_cont(rh100, 0.5), 6) AS median_rh100 FROM shots GROUP BY zone_id")
+def _(v):
+    def median(pdf):
+        return pdf.groupby("zone_id", as_index=False).agg(median_rh100=("rh100", "median"))
+
+    return reg.zone_groups(v.shots.select("zone_id", "rh100"), median, "zone_id long, median_rh100 double").withColumn("median_rh100", F.round("median_rh100", 6))
+
+
+@query("l02_zone_median_by_parts", "SELECT zone_id, round(quantile_cont(rh100, 0.5), 6) AS median_rh100 FROM shots GROUP BY zone_id")
+def _(v):
+    """A median from counts of values: the state of a batch is a row per value, which adds up."""
+    import numpy as np
+    import pandas as pd
+
+    def counts(pdf):
+        return pdf.groupby(["zone_id", "rh100"], as_index=False).agg(n=("rh100", "size"))
+
+    def merge(states):
+        return states.groupby(["zone_id", "rh100"], as_index=False).sum()
+
+    def middle(state):
+        s = state.sort_values("rh100")
+        upto, total = s["n"].cumsum().to_numpy(), int(s["n"].sum())
+        at = [s["rh100"].to_numpy()[np.searchsorted(upto, k, "right")] for k in ((total - 1) // 2, total // 2)]
+        return pd.DataFrame({"zone_id": [s["zone_id"].iloc[0]], "median_rh100": [sum(at) / 2]})
+
+    out = reg.zone_reduce(v.shots.select("zone_id", "shot_number", "rh100"), counts, merge, middle, "zone_id long, rh100 double, n long", "zone_id long, median_rh100 double", "shot_number", 60, 3)
+    return out.withColumn("median_rh100", F.round("median_rh100", 6))
 
 
 @query(

@@ -127,6 +127,17 @@ def _(v):
     )
 
 
+@query(
+    "e03_match_tiers",
+    f"""{FIRST}, t3 AS (SELECT det_id, min(lidar_id) AS l FROM k WHERE sc >= 0.8E0 AND lc >= 0.3E0 GROUP BY det_id), t2 AS (SELECT det_id, min(lidar_id) AS l FROM k WHERE sc >= 0.7E0 AND lc >= 0.2E0 GROUP BY det_id),
+    t1 AS (SELECT det_id, min(lidar_id) AS l FROM k WHERE sc >= 0.6E0 AND lc >= 0.15E0 GROUP BY det_id)
+    SELECT d.det_id, CASE WHEN t3.l IS NOT NULL THEN 3 WHEN t2.l IS NOT NULL THEN 2 WHEN t1.l IS NOT NULL THEN 1 ELSE 0 END AS tier, coalesce(t3.l, t2.l, t1.l) AS lidar_id
+    FROM detections d LEFT JOIN t1 ON t1.det_id = d.det_id LEFT JOIN t2 ON t2.det_id = d.det_id LEFT JOIN t3 ON t3.det_id = d.det_id WHERE provider = 'sentinel2'""",
+)
+def _(v):
+    return sp.match_tiers(v.detections)
+
+
 AREA_VALUES = ", ".join(
     f"('{n}', {lat}E0, {lon}E0, {r}E0, '{t}', {c}E0, {str(k).lower()})" for n, lat, lon, r, t, c, k in ra.REFERENCE_AREAS
 )

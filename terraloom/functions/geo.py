@@ -122,6 +122,51 @@ def ring_centroid(ring: Column) -> Column:
     return point(o["lon"] + lon, o["lat"] + lat)
 
 
+def _let(value: Column, use) -> Column:
+    """``use`` of a value that is computed once however often it is mentioned."""
+    return F.get(F.transform(F.array(value), use), F.lit(0))
+
+
+def _sums(items: Column, terms: dict) -> Column:
+    """struct of the sums of several terms over an array, in one pass."""
+    zero = F.struct(*[F.lit(0.0).alias(n) for n in terms])
+    return F.aggregate(items, zero, lambda acc, x: F.struct(*[(acc[n] + f(x)).alias(n) for n, f in terms.items()]))
+
+
+def polygons_measure(polygons: Column) -> Column:
+    """struct(lon, lat, area_m2) of an array of polygons, each an array of rings with the outer one first and holes after it.
+
+    Holes count negatively in the area and in the centroid, which is the mean of the ring centroids by area. Without any area it is the mean of the outer rings' centroids.
+    """
+    edge_terms = {
+        "cross": lambda x: x["cross"], "cx": lambda x: x["sx"] * x["cross"], "cy": lambda x: x["sy"] * x["cross"],
+        "mx": lambda x: x["sx"], "my": lambda x: x["sy"], "n": lambda x: F.lit(1.0),
+    }
+
+    def measured(closed, outer):
+        def from_sums(t):
+            at = lambda c, m: F.coalesce(F.try_divide(t[c], 3 * t["cross"]), F.try_divide(t[m], 2 * t["n"]))
+            o = F.get(closed, F.lit(0))
+            area = F.when(outer, 1.0).otherwise(-1.0) * F.abs(t["cross"]) / 2
+            scale = DEG_M * DEG_M * F.cos(F.radians(vertex_mean(closed)["lat"]))
+            return F.struct(outer.cast("double").alias("outer"), area.alias("area"), (area * scale).alias("m2"), (o["lon"] + at("cx", "mx")).alias("lon"), (o["lat"] + at("cy", "my")).alias("lat"))
+
+        return _let(_sums(_edges(closed), edge_terms), from_sums)
+
+    ring = lambda r, i: _let(closed_ring(r), lambda closed: measured(closed, i == 0))
+    rings = F.flatten(F.transform(polygons, lambda p: F.transform(F.filter(p, lambda r: F.size(r) >= 1), ring)))
+    terms = {
+        "area": lambda x: x["area"], "m2": lambda x: x["m2"], "outer": lambda x: x["outer"],
+        **{f"a_{c}": (lambda x, c=c: x["area"] * x[c]) for c in ("lon", "lat")}, **{f"o_{c}": (lambda x, c=c: x["outer"] * x[c]) for c in ("lon", "lat")},
+    }
+
+    def finished(t):
+        mean = lambda c: F.coalesce(F.try_divide(t[f"a_{c}"], t["area"]), F.try_divide(t[f"o_{c}"], t["outer"])).alias(c)
+        return F.struct(mean("lon"), mean("lat"), t["m2"].alias("area_m2"))
+
+    return _let(_sums(rings, terms), finished)
+
+
 def wkt_polygon(ring: Column, digits: int = 6) -> Column:
     text = F.transform(ring, lambda p: F.format_string(f"%.{digits}f %.{digits}f", p["lon"], p["lat"]))
     return F.concat(F.lit("POLYGON(("), F.array_join(text, ", "), F.lit("))"))

@@ -28,19 +28,23 @@ def scored_scenes(scenes: DataFrame, zones: DataFrame) -> DataFrame:
     return base.withColumn("quality", quality)
 
 
-def cascade_search(scored: DataFrame, max_results: int = 5, min_overlap: float = 50.0, max_km: float = 75.0) -> DataFrame:
-    """Best scenes per zone at the strictest cloud limit that yields any.
-
-    The retry loop over limits becomes one pass: each scene gets the first limit it satisfies, and a
-    zone keeps the scenes within its own smallest limit.
-    """
+def scene_tiers(scored: DataFrame, min_overlap: float = 50.0, max_km: float = 75.0) -> DataFrame:
+    """Usable scenes of every zone with cloud_tier, the first limit a scene's cloud cover is below; every scene by itself, whatever others there are."""
     limit = F.lit(None).cast("int")
     for c in reversed(CLOUD_LIMITS):
         limit = F.when(F.col("cloud_cover") < c, F.lit(c)).otherwise(limit)
-    ok = scored.where((F.col("overlap_pct") >= min_overlap) & (F.col("centre_km") <= max_km)).withColumn("_limit", limit)
-    ok = ok.where(F.col("_limit").isNotNull())
-    strict = ok.groupBy("zone_id").agg(F.min("_limit").alias("threshold_used"))
-    kept = ok.join(strict, "zone_id").where(F.col("_limit") <= F.col("threshold_used")).drop("_limit")
+    ok = scored.where((F.col("overlap_pct") >= min_overlap) & (F.col("centre_km") <= max_km)).withColumn("cloud_tier", limit)
+    return ok.where(F.col("cloud_tier").isNotNull())
+
+
+def cascade_search(scored: DataFrame, max_results: int = 5, min_overlap: float = 50.0, max_km: float = 75.0) -> DataFrame:
+    """Best scenes per zone at the strictest cloud limit that yields any: a top-k report over ``scene_tiers``.
+
+    The retry loop over limits becomes one pass: a zone keeps the scenes of its own smallest tier.
+    """
+    ok = scene_tiers(scored, min_overlap, max_km)
+    strict = ok.groupBy("zone_id").agg(F.min("cloud_tier").alias("threshold_used"))
+    kept = ok.join(strict, "zone_id").where(F.col("cloud_tier") <= F.col("threshold_used")).drop("cloud_tier")
     order = Window.partitionBy("zone_id").orderBy(F.desc("quality"), "scene_id")
     return kept.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= max_results)
 

@@ -61,39 +61,61 @@ def read_granules(spark: SparkSession, path: str) -> DataFrame:
     return with_canopy_heights(explode_granules(raw, ["source_file"]))
 
 
-def _points(text: Column) -> Column:
-    pairs = F.from_json(text, "array<array<double>>")
-    return F.transform(pairs, lambda p: geo.point(p[0], p[1]))
+_RING = "array<array<double>>"
+
+
+def _ring(pairs: Column) -> Column:
+    return F.transform(pairs, lambda p: geo.point(F.get(p, F.lit(0)), F.get(p, F.lit(1))))
+
+
+def parse_polygons(kind: Column, coordinates: Column) -> Column:
+    """Array of polygons, each an array of rings of points, of a Polygon or MultiPolygon; NULL for other types."""
+    one = F.transform(F.from_json(coordinates, f"array<{_RING}>"), _ring)
+    many = F.transform(F.from_json(coordinates, f"array<array<{_RING}>>"), lambda p: F.transform(p, _ring))
+    return F.when(kind == "Polygon", F.array(one)).when(kind == "MultiPolygon", many)
 
 
 def parse_geometry(kind: Column, coordinates: Column) -> Column:
-    """struct(points, area_deg2): vertices of a Point, LineString or the first ring of a Polygon."""
+    """Vertices of any geometry type; of a polygon those of its first ring, of several polygons those of their first rings."""
     single = F.from_json(coordinates, "array<double>")
-    ring = F.transform(F.from_json(coordinates, "array<array<array<double>>>")[0], lambda p: geo.point(p[0], p[1]))
+    outer = F.transform(parse_polygons(kind, coordinates), lambda p: F.coalesce(F.get(p, F.lit(0)), F.array().cast("array<struct<lon: double, lat: double>>")))
     return (
         F.when(kind == "Point", F.array(geo.point(F.get(single, F.lit(0)), F.get(single, F.lit(1)))))
-        .when(kind == "LineString", _points(coordinates))
-        .when(kind == "Polygon", ring)
+        .when(kind.isin("LineString", "MultiPoint"), _ring(F.from_json(coordinates, _RING)))
+        .when(kind == "MultiLineString", F.flatten(F.transform(F.from_json(coordinates, f"array<{_RING}>"), _ring)))
+        .when(kind.isin("Polygon", "MultiPolygon"), F.flatten(outer))
     )
 
 
+def with_measures(features: DataFrame) -> DataFrame:
+    """Adds points (vertices) and spot, struct(lon, lat, area_m2): polygons by area without their holes, other types by the mean of their vertices and without area."""
+    kind, text = F.col("geometry.type"), F.col("geometry.coordinates")
+    # an exploded column is computed once, whatever is selected from it or filtered by it later
+    parsed = F.explode(F.array(F.struct(parse_geometry(kind, text).alias("points"), parse_polygons(kind, text).alias("polygons"))))
+    f = features.withColumn("_parsed", parsed).select(*features.columns, "_parsed.points", "_parsed.polygons")
+    middle = geo.vertex_mean(F.col("points"))
+    plain = F.when(F.size("points") >= 1, F.struct(middle["lon"].alias("lon"), middle["lat"].alias("lat"), F.lit(0.0).alias("area_m2")))
+    spot = F.when(F.col("polygons").isNotNull(), geo.polygons_measure(F.col("polygons"))).otherwise(plain)
+    return f.withColumn("spot", F.explode(F.array(spot))).drop("polygons")
+
+
 def feature_rows(features: DataFrame) -> DataFrame:
     """Detections from (type, geometry, properties) rows.
 
     Location: the coordinates property, else the point, else a stored centre for polygons, else the
-    vertex mean. Only locations inside the basin are kept. Missing area is 0, missing confidence 0.6.
+    vertex mean, and for several polygons the centroid of their area. Only locations inside the basin are kept. Missing area is 0, missing confidence 0.6.
     """
     p = F.col("properties")
-    pts = parse_geometry(F.col("geometry.type"), F.col("geometry.coordinates"))
     stored = F.split(F.regexp_replace(p["geo_center_calculated"], "[()]", ""), ", ")
     given = F.from_json(p["coordinates"], "array<double>")
-    f = features.select("*", pts.alias("points")).withColumn(
+    f = with_measures(features).withColumn(
         "at",
         F.when(given.isNotNull(), geo.point(F.get(given, F.lit(0)), F.get(given, F.lit(1))))
         .when(
             (F.col("geometry.type") == "Polygon") & p["geo_center_calculated"].isNotNull(),
             geo.point(F.get(stored, F.lit(0)).try_cast("double"), F.get(stored, F.lit(1)).try_cast("double")),
         )
+        .when(F.col("geometry.type") == "MultiPolygon", geo.point(F.col("spot.lon"), F.col("spot.lat")))
         .when(F.size("points") >= 1, geo.vertex_mean(F.col("points"))),
     )
     out = f.select(
@@ -106,32 +128,23 @@ def feature_rows(features: DataFrame) -> DataFrame:
 
 
 def provider_rows(features: DataFrame, provider: str, order: str) -> DataFrame:
-    """Detections of one provider: default id from the position, area from the polygon, confidence 0."""
+    """Detections of one provider: default id from the position, area from the polygons, confidence 0."""
     p = F.col("properties")
-    pts = parse_geometry(F.col("geometry.type"), F.col("geometry.coordinates"))
-    f = features.select("*", pts.alias("points"))
-    poly = F.col("geometry.type") == "Polygon"
-    ring = F.when(poly, geo.closed_ring(F.col("points")))
-    at = F.when(poly, geo.ring_centroid(ring)).otherwise(geo.vertex_mean(F.col("points")))
-    return f.select(
+    return with_measures(features).select(
         F.coalesce(p["id"], F.concat(F.lit(provider + "_"), F.col(order).cast("string"))).alias("id"),
         F.lit(provider).alias("provider"), F.coalesce(p["type"], F.lit("unknown")).alias("det_type"),
-        at["lon"].alias("lon"), at["lat"].alias("lat"),
+        F.col("spot.lon").alias("lon"), F.col("spot.lat").alias("lat"),
         F.coalesce(p["confidence"].try_cast("double"), F.lit(0.0)).alias("confidence"),
-        F.coalesce(F.when(poly, geo.ring_area_m2(ring)), F.lit(0.0)).alias("area_m2"),
+        F.coalesce("spot.area_m2", F.lit(0.0)).alias("area_m2"),
     )
 
 
 def vector_summary(features: DataFrame, key: str) -> DataFrame:
     """Geometry type, centroid and area per feature; points and lines have no area."""
-    pts = parse_geometry(F.col("geometry.type"), F.col("geometry.coordinates"))
-    f = features.select(key, F.col("geometry.type").alias("geometry_type"), pts.alias("points"))
-    poly = F.col("geometry_type") == "Polygon"
-    ring = F.when(poly, geo.closed_ring(F.col("points")))
-    at = F.when(poly, geo.ring_centroid(ring)).otherwise(geo.vertex_mean(F.col("points")))
+    f = with_measures(features.select(key, "geometry"))
     return f.select(
-        key, "geometry_type", at["lon"].alias("lon"), at["lat"].alias("lat"),
-        F.coalesce(F.when(poly, geo.ring_area_m2(ring)), F.lit(0.0)).alias("area_m2"),
+        key, F.col("geometry.type").alias("geometry_type"), F.col("spot.lon").alias("lon"), F.col("spot.lat").alias("lat"),
+        F.coalesce("spot.area_m2", F.lit(0.0)).alias("area_m2"),
     )
 
 

@@ -31,6 +31,23 @@ def survey_zones(spark: SparkSession) -> DataFrame:
     return spark.createDataFrame(SURVEY_ZONES, cols)
 
 
+#: What a zone that is not in the dimension gets (fixed values).
+DEFAULT_ZONE = dict(
+    centre_lat=0.0, centre_lon=0.0, south=-1.0, west=-73.0, north=0.0, east=-72.0, priority=3, search_radius_km=7.0, min_feature_m=50, max_feature_m=500, zone_type=DEFAULT_ZONE_TYPE
+)
+
+
+def with_zone(rows: DataFrame, zones: DataFrame, name: str = "zone") -> DataFrame:
+    """Rows with the settings of the zone that ``name`` spells; unknown zones take the default zone's, and known tells them apart.
+
+    The dimension has one row per zone, and only the columns of DEFAULT_ZONE and the id are used.
+    """
+    z = zones.select(F.col("id").alias("zone_key"), *DEFAULT_ZONE)
+    j = rows.withColumn("zone_key", normalised_zone(F.col(name))).join(z.withColumn("known", F.lit(True)), "zone_key", "left")
+    title = F.initcap(F.translate(F.col(name), "_", " "))
+    return j.withColumns({c: F.coalesce(c, F.lit(v)) for c, v in DEFAULT_ZONE.items()} | {"known": F.coalesce("known", F.lit(False)), "zone_title": title})
+
+
 def presets(spark: SparkSession) -> DataFrame:
     """Threshold presets, one row each (a constant table)."""
     names = list(PRESETS["original"])
@@ -103,18 +120,23 @@ def resample_bilinear(coarse: DataFrame, grid: DataFrame, value: str, factor: in
     return j.groupBy(*PIX).agg((F.sum(F.col(value) * F.col("_w")) / F.sum("_w")).alias(value))
 
 
-def clip_to_zone(pixels: DataFrame, zones: DataFrame, min_side: int = 10, buffer_deg: float = 0.01) -> DataFrame:
-    """Pixels (with lon, lat, zone_id) inside their zone box; scenes that would keep less than min_side
-    rows or columns use the box widened by the buffer."""
+def with_zone_clip(pixels: DataFrame, zones: DataFrame, buffer_deg: float = 0.01) -> DataFrame:
+    """Pixels (with lon, lat, zone_id) inside their zone's box widened by the buffer, with in_zone: whether they lie inside the box itself, and how many rows and columns of the scene do.
+
+    scene_rows and scene_cols let a caller choose the widened box for scenes of which too little would remain; no pixel depends on it here.
+    """
     box = zones.select("zone_id", "west", "south", "east", "north")
     j = pixels.join(box, "zone_id")
-    inside = F.col("lon").between(F.col("west"), F.col("east")) & F.col("lat").between(F.col("south"), F.col("north"))
     b = buffer_deg
+    inside = F.col("lon").between(F.col("west"), F.col("east")) & F.col("lat").between(F.col("south"), F.col("north"))
     wide = F.col("lon").between(F.col("west") - b, F.col("east") + b) & F.col("lat").between(F.col("south") - b, F.col("north") + b)
-    j = j.withColumn("_in", inside)
-    side = lambda c: F.max(F.when(F.col("_in"), F.col(c))) - F.min(F.when(F.col("_in"), F.col(c))) + 1
-    small = j.groupBy("scene_id").agg(
-        ((F.coalesce(side("pix_row"), F.lit(0)) < min_side) | (F.coalesce(side("pix_col"), F.lit(0)) < min_side)).alias("_small")
-    )
-    kept = j.join(small, "scene_id").where(F.when(F.col("_small"), wide).otherwise(F.col("_in")))
-    return kept.select(*pixels.columns)
+    j = j.where(wide).select(*pixels.columns, inside.alias("in_zone"))
+    side = lambda c: F.coalesce(F.max(F.when(F.col("in_zone"), F.col(c))) - F.min(F.when(F.col("in_zone"), F.col(c))) + 1, F.lit(0))
+    return j.join(j.groupBy("scene_id").agg(side("pix_row").alias("scene_rows"), side("pix_col").alias("scene_cols")), "scene_id")
+
+
+def clip_to_zone(pixels: DataFrame, zones: DataFrame, min_side: int = 10, buffer_deg: float = 0.01) -> DataFrame:
+    """The selection from ``with_zone_clip`` that keeps the box, and the widened one of scenes that would keep less than min_side rows or columns."""
+    clipped = with_zone_clip(pixels, zones, buffer_deg)
+    small = (F.col("scene_rows") < min_side) | (F.col("scene_cols") < min_side)
+    return clipped.where(F.col("in_zone") | small).select(*pixels.columns)

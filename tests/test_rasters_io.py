@@ -173,7 +173,7 @@ def test_stream_skips_files_already_processed(spark, tmp_path):
     assert sorted(r.scene_id for r in spark.read.parquet(out).collect()) == [1, 2]
 
 
-def test_zone_batches_report_failures(spark):
+def test_zone_functions_report_failures(spark):
     df = spark.createDataFrame([(z, i) for z in (1, 2) for i in range(50)], "zone_id long, id long")
 
     def fn(pdf):
@@ -182,9 +182,24 @@ def test_zone_batches_report_failures(spark):
         assert len(pdf) <= 40
         return pdf.groupby("zone_id", as_index=False).agg(n=("id", "size"))
 
-    rows = reg.zone_batches(df, fn, "zone_id long, n double", "id", 20).collect()
-    assert sum(r.n for r in rows if r.zone_id == 1) == 50
-    assert all(r.n is None for r in rows if r.zone_id == 2)
+    merge = lambda states: states.groupby("zone_id", as_index=False).sum()
+    schema = "zone_id long, n double"
+    rows = reg.zone_reduce(df, fn, merge, lambda s: s, schema, schema, "id", 20).collect()
+    assert {r.zone_id: r.n for r in rows} == {1: 50.0, 2: None}
+    whole = {r.zone_id: r.n for r in reg.zone_groups(df.where("id < 30"), fn, schema).collect()}
+    assert whole == {1: 30.0, 2: None}
+
+
+@pytest.mark.parametrize("batch", [1, 2, 3, 7, 100])
+def test_zone_median_at_every_batch_size(spark, batch):
+    import pandas as pd
+
+    df = spark.createDataFrame([(1, i, float(x)) for i, x in enumerate([5, 1, 9, 2, 8, 3, 7, 4, 6, 10])], "zone_id long, id long, x double")
+    counts = lambda pdf: pdf.groupby(["zone_id", "x"], as_index=False).agg(n=("x", "size"))
+    merge = lambda s: s.groupby(["zone_id", "x"], as_index=False).sum()
+    finish = lambda s: pd.DataFrame({"zone_id": [s["zone_id"].iloc[0]], "m": [s["x"].repeat(s["n"].astype(int)).median()]})
+    got = reg.zone_reduce(df, counts, merge, finish, "zone_id long, x double, n long", "zone_id long, m double", "id", batch, 2).collect()
+    assert [(r.zone_id, r.m) for r in got] == [(1, 5.5)]
 
 
 def test_density_limit_keeps_the_most_confident(spark):
