@@ -21,7 +21,7 @@ COMPOSITES = {  # fixed values
 def clip(x: Column, lo, hi) -> Column:
     lo = lo if isinstance(lo, Column) else F.lit(lo)
     hi = hi if isinstance(hi, Column) else F.lit(hi)
-    return F.least(F.greatest(x, lo), hi)
+    return F.when(x.isNotNull(), F.least(F.greatest(x, lo), hi))  # least and greatest alone would turn a missing pixel into a limit
 
 
 def normalised(pixels: DataFrame, bands: list[str], method: str = "minmax") -> DataFrame:
@@ -61,7 +61,7 @@ def composite(pixels: DataFrame, kind: str = "true_color") -> DataFrame:
 
     def channel(b):
         lo, hi = F.col(f"{b}_lo"), F.col(f"{b}_hi")
-        return F.when(hi > lo, F.floor(clip((F.col(b) - lo) / (hi - lo) * 255, 0.0, 255.0))).otherwise(0).cast("int")
+        return F.coalesce(F.when(hi > lo, F.floor(clip((F.col(b) - lo) / (hi - lo) * 255, 0.0, 255.0))), F.lit(0)).cast("int")
 
     return joined.select("scene_id", "pix_row", "pix_col", *[channel(b).alias(n) for b, n in zip(bands, "rgb")])
 
@@ -88,7 +88,7 @@ def preview(pixels: DataFrame, bands=("red", "green", "blue"), gamma: float = 0.
         scale = F.when(top <= 1.0, F.lit(10000.0)).when(top <= 10000, F.lit(1.0)).otherwise(10000.0 / top)
         lo, hi = F.col(f"{b}_lo") * scale, F.col(f"{b}_hi") * scale
         unit = clip((F.col(b) * scale - lo) / F.when(hi > lo, hi - lo).otherwise(10000.0), 0.0, 1.0)
-        return F.when(has_data, F.floor(F.pow(unit, F.lit(gamma)) * 255)).otherwise(0).cast("int")
+        return F.when(has_data, F.coalesce(F.floor(F.pow(unit, F.lit(gamma)) * 255), F.lit(0))).otherwise(0).cast("int")
 
     return joined.where(inside).select("scene_id", "pix_row", "pix_col", *[channel(b).alias(f"{b}_8bit") for b in bands])
 
