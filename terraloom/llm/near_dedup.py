@@ -28,6 +28,8 @@ from terraloom.llm.registry import query, table
 from terraloom.runtime import salted_join
 
 SHINGLE = 5
+#: Bytes of text handled at once; arrays of a slice take some fifty times as much.
+SLICE = 2_000_000
 SLOTS = 128
 BAND = 4
 SIMILARITY = 0.8
@@ -90,7 +92,7 @@ def _sketched(docs: DataFrame) -> DataFrame:
 
     def sketch(batches):
         for b in batches:
-            for part in slices(b):
+            for part in slices(b, limit=SLICE):
                 texts = texts_of(part)
                 owner, shingle, _ = weighted(texts)
                 sig = signatures(len(texts), owner, shingle, np.ones(len(owner)))  # the sets, which _similar compares
@@ -113,31 +115,13 @@ def _sketched(docs: DataFrame) -> DataFrame:
     return docs.mapInArrow(sketch, f"doc_id {kind}, digest string, mark long, id long, bands array<long>, {', '.join(f'{c} long' for c in SKETCH)}, size int")
 
 
-def _similar(pairs):
-    """mapInArrow function: (a, b) of rows whose shingle sets have a Jaccard similarity of SIMILARITY or more."""
-    for p in pairs:
-        for part in slices(p, "a_text"):
-            left, right = texts_of(part, "a_text"), texts_of(part, "b_text")
-            n = len(left)
-            owner, shingle, _ = weighted(left + right)
-            pair = owner % n
-            order = np.lexsort((shingle, pair))
-            pair, shingle = pair[order], shingle[order]
-            same = (pair[1:] == pair[:-1]) & (shingle[1:] == shingle[:-1])
-            both = np.bincount(pair[1:][same], minlength=n)
-            size = np.bincount(pair, minlength=n)
-            good = pa.array(both >= SIMILARITY * (size - both))
-            yield part.select(["a", "b"]).filter(good)
-
-
-def _shingled(batches):
-    """mapInArrow function: (id, shingle) of every distinct shingle of rows (id, text)."""
+def _shingle_sets(batches):
+    """mapInArrow function: (id, shingles) of rows (id, text), the distinct shingles as an array."""
     for b in batches:
-        for part in slices(b):
+        for part in slices(b, limit=SLICE):
             owner, shingle, _ = weighted(texts_of(part))
-            for start in range(0, len(owner), 500_000):
-                cut = slice(start, start + 500_000)
-                yield pa.RecordBatch.from_arrays([part.column(0).take(pa.array(owner[cut])), pa.array(shingle[cut].view(np.int64))], ["id", "shingle"])
+            offsets = np.searchsorted(owner, np.arange(part.num_rows + 1)).astype(np.int32)
+            yield pa.RecordBatch.from_arrays([part.column(0), pa.ListArray.from_arrays(pa.array(offsets), pa.array(shingle.view(np.int64)))], ["id", "shingles"])
 
 
 def near_classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", digest=None) -> DataFrame:
@@ -156,7 +140,7 @@ def near_classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     near = f"{apart} <= {SKETCH_APART} AND least(a_size, b_size) >= {SIMILARITY}D * greatest(a_size, b_size) - {EPS}"
 
     def prepare(wanted: DataFrame):
-        """The texts of the wanted ids, found by one mark each; only texts in the marks' bitmap leave the scan."""
+        """The shingle sets of the wanted ids, found by one mark each; only texts in the marks' bitmap leave the scan. Pairs are compared row by row on these sets, so no batch of texts is ever held."""
         marks = saved(sketched.join(wanted, "id", "left_semi").groupBy("id").agg(F.min("mark").alias("mark")), "marks")
         packed = bitmap(marks, "mark")
 
@@ -165,18 +149,22 @@ def near_classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
                 yield b.filter(pa.array(in_bitmap(packed.value, b.column(0).to_numpy(zero_copy_only=False).astype(np.int64))))
 
         texts = rows.select("mark", "text").mapInArrow(pick, "mark long, text string").join(marks, "mark")
-        texts = saved(texts.groupBy("id").agg(F.min("text").alias("text")), "texts")
+        one = texts.groupBy("id").agg(F.min("text").alias("text"))
+        sets = saved(one.mapInArrow(_shingle_sets, "id long, shingles array<long>"), "sets")
 
         def verify(pairs: DataFrame) -> DataFrame:
-            return with_both(pairs, texts, ["text"]).mapInArrow(_similar, "a long, b long")
+            both = with_both(pairs, sets, ["shingles"])
+            both = both.select("a", "b", F.size(F.array_intersect("a_shingles", "b_shingles")).alias("n"), (F.size("a_shingles") + F.size("b_shingles")).alias("total"))
+            return both.where(F.col("n") >= SIMILARITY * (F.col("total") - F.col("n"))).select("a", "b")
 
         def rest(apart: DataFrame) -> DataFrame:
             """Pairs of different components that may be similar, from rows (id, c, size, sketch)."""
             apart = saved(apart, "apart")
-            shingles = texts.join(apart.select("id"), "id", "left_semi").mapInArrow(_shingled, "id long, shingle long")
+            of = lambda ids: sets.join(ids.select("id"), "id", "left_semi").select("id", F.explode("shingles").alias("shingle"))
+            shingles = of(apart)
             alone = shingles.groupBy("shingle").agg(F.min("id").alias("id"), F.count(F.lit(1)).alias("n")).where("n = 1").groupBy("id").agg(F.count(F.lit(1)).alias("alone"))
             able = saved(apart.join(alone, "id", "left").where(F.col("size") - F.coalesce("alone", F.lit(0)) >= SIMILARITY * F.col("size") - EPS).drop("alone"), "able")
-            shingles = saved(texts.join(able.select("id"), "id", "left_semi").mapInArrow(_shingled, "id long, shingle long"), "shingles")
+            shingles = saved(of(able), "shingles")
             often = shingles.groupBy("shingle").agg(F.count(F.lit(1)).alias("n")).where("n > 1")
             ranked = salted_join(shingles, often, ["shingle"], "id", how="left")
             ranked = ranked.withColumn("at", F.row_number().over(Window.partitionBy("id").orderBy(F.coalesce("n", F.lit(1)), "shingle")))  # one document's shingles
