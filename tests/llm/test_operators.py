@@ -268,6 +268,23 @@ def test_token_files_equal_the_library(docs):
         start += len(ids)
 
 
+def test_token_ids_of_signs_that_fold_to_several(spark):
+    """A sign whose lower case ends in a mark joins the stop after it; other tokenizers encode whole texts."""
+    import public_tokenizers
+
+    signs = ["a", "B", "é", "É", "İ", "Σ", "ß", "1", " ", "  ", "\n", " ", ".", ",", "..,", "'s", "'LL", "<|endoftext|>", "<|ENDOFTEXT|>", "中", "😀", "́", "THE "]
+    r = random.Random(11)
+    texts = ["Aİ. b", *("".join(r.choice(signs) for _ in range(r.randint(0, 14))) for _ in range(2000))]
+    rows = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    for name in ("word_bpe_49k.json", "byte_bpe_50k.json"):
+        path = public_tokenizers.path(name)
+        library, start = Tokenizer.from_file(path), 0
+        for x, text in zip(sorted(token_files.encoded(rows, path).collect(), key=lambda x: x["doc_id"]), texts, strict=True):
+            ids = np.array([*library.encode(text, add_special_tokens=False).ids, 1], "<u4")
+            assert (x["start"], x["n_tokens"], x["ids_crc32"]) == (start, len(ids), zlib.crc32(ids.tobytes())), repr(text)
+            start += len(ids)
+
+
 def test_context_mixing_base_and_held_out(spark):
     texts = [(i, prose(80, i)) for i in range(150)]
     got = context_mixing.score_documents(spark.createDataFrame(texts, "doc_id long, text string")).toPandas()
