@@ -4,8 +4,11 @@ from __future__ import annotations
 
 import math
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from terraloom.constants import BASELINE_MEAN, BASELINE_STD, SENSOR_WEIGHTS
 
@@ -49,42 +52,31 @@ def log_gamma(x: Column) -> Column:
 
 
 def _beta_fraction(a: Column, b: Column, x: Column, rounds: int = 120) -> Column:
-    """Continued fraction of the incomplete beta function, evaluated forward for a fixed number of rounds.
-
-    a, b and x travel in the fold state, so each is computed once per row; every fold step is half a
-    round, which keeps the expression small.
-    """
+    """Continued fraction of the incomplete beta function, evaluated forward for a fixed number of rounds, all rows of a batch at once; NULL where an argument is."""
 
     def guard(v):
-        return F.when(F.abs(v) < 1e-300, 1e-300).otherwise(v)
-
-    d0 = 1 / guard(1 - (a + b) * x / (a + 1))
-    state = F.struct(
-        a.alias("a"), b.alias("b"), x.alias("x"), F.lit(1.0).alias("c"), d0.alias("d"), d0.alias("h"), F.lit(0.0).alias("k")
-    )
-
-    def step(s, i):
-        m = F.floor(i / 2).cast("double")
-        even = m * (s["b"] - m) * s["x"] / ((s["a"] + 2 * m - 1) * (s["a"] + 2 * m))
-        odd = -(s["a"] + m) * (s["a"] + s["b"] + m) * s["x"] / ((s["a"] + 2 * m) * (s["a"] + 2 * m + 1))
-        coef = F.when(i % 2 == 0, even).otherwise(odd)
-        return F.struct(
-            s["a"].alias("a"), s["b"].alias("b"), s["x"].alias("x"), s["c"].alias("c"), s["d"].alias("d"),
-            s["h"].alias("h"), coef.alias("k"),
-        )
-
-    def fold(s):
-        c, d = guard(1 + s["k"] / s["c"]), 1 / guard(1 + s["k"] * s["d"])
-        return F.struct(
-            s["a"].alias("a"), s["b"].alias("b"), s["x"].alias("x"), c.alias("c"), d.alias("d"),
-            (s["h"] * c * d).alias("h"), F.lit(0.0).alias("k"),
-        )
-
-    # Two entries per half round: first the coefficient, then the update.
-    def both(s, i):
-        return F.when(i % 2 == 0, step(s, F.floor(i / 2).cast("int"))).otherwise(fold(s))
-
-    return F.aggregate(F.sequence(F.lit(4), F.lit(4 * rounds + 3)), state, both, lambda s: s["h"])
+        return np.where(np.abs(v) < 1e-300, 1e-300, v)
+
+    @F.arrow_udf(T.DoubleType())
+    def fraction(a: pa.Array, b: pa.Array, x: pa.Array) -> pa.Array:
+        missing = np.zeros(len(a), bool)
+        for v in (a, b, x):
+            missing |= v.is_null().to_numpy(zero_copy_only=False)
+        a, b, x = (v.to_numpy(zero_copy_only=False).astype(np.float64) for v in (a, b, x))
+        with np.errstate(all="ignore"):
+            c, d = np.ones(len(a)), 1 / guard(1 - (a + b) * x / (a + 1))
+            h = d
+            for half in range(2, 2 * rounds + 2):
+                m = float(half // 2)
+                if half % 2 == 0:
+                    k = m * (b - m) * x / ((a + 2 * m - 1) * (a + 2 * m))
+                else:
+                    k = -(a + m) * (a + b + m) * x / ((a + 2 * m) * (a + 2 * m + 1))
+                c, d = guard(1 + k / c), 1 / guard(1 + k * d)
+                h = h * c * d
+        return pa.array(h, pa.float64(), mask=missing)
+
+    return fraction(a, b, x)
 
 
 def incomplete_beta(a: Column, b: Column, x: Column) -> Column:

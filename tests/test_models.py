@@ -234,3 +234,16 @@ def test_distribution_functions(spark):
     for t in ts:
         assert two[t] == pytest.approx(1 - t / math.sqrt(2 + t * t), abs=1e-12)
         assert big[t] == pytest.approx(2 * (1 - statistics.NormalDist().cdf(t)), abs=1e-7)
+
+
+def test_beta_fraction_takes_batches(spark):
+    """p values of a table with missing and undefined rows; the fraction is evaluated for whole batches, not by a fold per row."""
+    df = spark.createDataFrame([(0.5, 1.0), (-2.5, 1.0), (1.5, 2.0), (12.0, 2.0), (None, 2.0), (1.0, None), (1.0, 0.0)], "t double, df double")
+    out = df.select("t", "df", ST.t_two_sided_p(F.col("t"), F.col("df")).alias("p"))
+    assert "ArrowEvalPython" in out._jdf.queryExecution().executedPlan().toString()
+    for r in out.collect():
+        if r.t is None or not r.df:
+            assert r.p is None
+        else:  # closed forms for one and two degrees of freedom
+            t = abs(r.t)
+            assert r.p == pytest.approx(1 - 2 / math.pi * math.atan(t) if r.df == 1 else 1 - t / math.sqrt(2 + t * t), abs=1e-12)
