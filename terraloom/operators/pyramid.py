@@ -20,6 +20,8 @@ from terraloom.runtime import cut_lineage, salted_join
 
 #: Locations of a cell that are looked at one by one.
 OPEN = 64
+#: Probes whose searches one task makes.
+PROBES = 4_000
 #: The finest level, cells of 4**-24 degrees; what is left there is opened.
 FINEST, COARSEST = -24, 5
 _SLACK = 1e-9
@@ -61,10 +63,21 @@ def _covered(probe: DataFrame, level: int) -> DataFrame:
     return probe.where(F.col("_lv") == level).withColumn("_cx", span("_x", "_rx")).withColumn("_cy", span("_y", "_ry"))
 
 
-def _children(state: DataFrame) -> DataFrame:
-    down = F.sequence(F.lit(0), F.lit(3))
-    wide = state.withColumn("_i", F.explode(down)).withColumn("_j", F.explode(down))
-    return wide.withColumn("_cx", F.col("_cx") * 4 + F.col("_i")).withColumn("_cy", F.col("_cy") * 4 + F.col("_j")).drop("_i", "_j")
+def _met(spots: DataFrame, state: DataFrame | None, cells: DataFrame, level: int, span: tuple[int, int], keep: list[str], spread: str) -> DataFrame:
+    """Searches of this level with the cells they reach: those that start here, and those going on from a coarser cell to the children it has."""
+    met = []
+    if level >= span[1]:
+        met.append(salted_join(_covered(spots, level).select(*keep), cells, ["_cx", "_cy"], spread))
+    if state is not None:
+        at = cells.withColumn("_ux", F.floor(F.col("_cx") / 4)).withColumn("_uy", F.floor(F.col("_cy") / 4))
+        down = state.withColumnsRenamed({"_cx": "_ux", "_cy": "_uy"})
+        met.append(salted_join(down, at, ["_ux", "_uy"], spread).drop("_ux", "_uy"))
+    return _union(met)
+
+
+def _dealt(probe: DataFrame) -> DataFrame:
+    """Probes in partitions of about ``PROBES`` rows: a search has many rows per probe, and a small input file would give them all to one task."""
+    return probe.repartition(1 + probe.count() // PROBES)
 
 
 def _levels(probe: DataFrame) -> tuple[int, int] | None:
@@ -83,7 +96,7 @@ def circle_aggregates(base: DataFrame, probe: DataFrame, key: str, radius: Colum
     """
     locs = _locations(base, aggs)
     spots = probe.select(key, F.col("lon").alias("_x"), F.col("lat").alias("_y"), radius.alias("_r")).where("_x IS NOT NULL AND _y IS NOT NULL AND _r >= 0")
-    spots = cut_lineage(spots.withColumn("_rx", F.col("_r")).withColumn("_ry", F.col("_r")).withColumn("_lv", _level(F.col("_r"))))
+    spots = cut_lineage(_dealt(spots.withColumn("_rx", F.col("_r")).withColumn("_ry", F.col("_r")).withColumn("_lv", _level(F.col("_r")))))
     span = _levels(spots)
     names = list(aggs)
     merged = [_MERGE[kind](name).alias(name) for name, (kind, _) in aggs.items()]
@@ -96,9 +109,7 @@ def circle_aggregates(base: DataFrame, probe: DataFrame, key: str, radius: Colum
     for level in range(span[0], FINEST - 1, -1):
         if level < span[1] and state is None:
             break
-        fresh = _covered(spots, level).select(*keep)
-        state = fresh if state is None else state.unionByName(fresh)
-        met = salted_join(state, _cells(locs, level, aggs), ["_cx", "_cy"], key)
+        met = _met(spots, state, _cells(locs, level, aggs), level, span, keep, key)
         gx, gy = gap("_w", "_e", "_x"), gap("_s", "_t", "_y")
         fx, fy = far("_w", "_e", "_x"), far("_s", "_t", "_y")
         near, reach = F.sqrt(gx * gx + gy * gy), F.sqrt(fx * fx + fy * fy)
@@ -111,7 +122,7 @@ def circle_aggregates(base: DataFrame, probe: DataFrame, key: str, radius: Colum
         opened = salted_join(border.where(small).select(*keep), at, ["_cx", "_cy"], key)
         parts.append(opened.where(geo.planar_deg(F.col("lon"), F.col("lat"), F.col("_x"), F.col("_y")) <= F.col("_r")).groupBy(key).agg(*merged))
         left = border.where(~small).select(*keep)
-        state = None if left.isEmpty() else _children(left)
+        state = None if left.isEmpty() else left
     return _union(parts).groupBy(key).agg(*merged)
 
 
@@ -157,7 +168,7 @@ def nearest_within(base: DataFrame, probe: DataFrame, metres: float, open_cells:
     spots = spots.withColumn("_rx", rx).withColumn("_ry", ry).withColumn("_lv", _level(F.greatest("_rx", "_ry")))
     turns = F.array_compact(F.array(F.lit(0.0), F.when(F.col("lon") - F.col("_rx") < -180, 360.0), F.when(F.col("lon") + F.col("_rx") > 180, -360.0)))
     spots = spots.withColumn("_id", F.struct("lon", "lat")).withColumn("_turn", F.explode(turns))
-    spots = cut_lineage(spots.withColumns({"_x": F.col("lon") + F.col("_turn"), "_y": F.col("lat")}).drop("lon", "lat", "_turn"))
+    spots = cut_lineage(_dealt(spots.withColumns({"_x": F.col("lon") + F.col("_turn"), "_y": F.col("lat")}).drop("lon", "lat", "_turn")))
     span = _levels(spots)
     if span is None:
         return probe.select("lon", "lat", F.lit(None).cast("double").alias("metres")).limit(0)
@@ -166,9 +177,7 @@ def nearest_within(base: DataFrame, probe: DataFrame, metres: float, open_cells:
     for level in range(span[0], FINEST - 1, -1):
         if level < span[1] and state is None:
             break
-        fresh = _covered(spots, level).select(*keep)
-        state = fresh if state is None else state.unionByName(fresh)
-        met = salted_join(state, _cells(locs, level, {}), ["_cx", "_cy"], "_id").withColumn("_near", _sphere_gap()).withColumn("_far", _sphere_reach())
+        met = _met(spots, state, _cells(locs, level, {}), level, span, keep, "_id").withColumn("_near", _sphere_gap()).withColumn("_far", _sphere_reach())
         met = met.where(F.col("_near") <= limit).select(*keep, "_n", "_near", "_far")
         sure = met.groupBy("_id").agg(F.min("_far").alias("_best"))
         met = cut_lineage(met.join(sure, "_id").where(F.col("_near") <= F.col("_best")).select(*keep, "_n"))
@@ -178,6 +187,6 @@ def nearest_within(base: DataFrame, probe: DataFrame, metres: float, open_cells:
         d = geo.haversine_m(F.col("lon"), F.col("lat"), F.col("_id.lon"), F.col("_id.lat"))
         found.append(opened.groupBy("_id").agg(F.min(d).alias("metres")))
         left = met.where(~small).select(*keep)
-        state = None if left.isEmpty() else _children(left)
+        state = None if left.isEmpty() else left
     best = _union(found).groupBy("_id").agg(F.min("metres").alias("metres")).where(F.col("metres") <= limit)
     return best.select("_id.lon", "_id.lat", "metres")
