@@ -248,3 +248,55 @@ def test_the_caller_chooses_the_map_view(spark):
         single = di.viewport_view(df, "det_id", box, clustered=False)
         assert single.count() == n and single.where(f"n_in_view = {n}").count() == n and single.first().crowded == (n > 500)
         assert di.viewport_view(df, "det_id", box).count() == 1
+
+
+# --- sizes that no estimate sees
+def spots(spark, n, seed):
+    r = random.Random(seed)
+    kinds, grades = ["terra_preta", "circle", "gedi_clearing", None], ["high", "medium", "low", None]
+    rows = [
+        (i % (n - 5), 1, "gedi" if i % 3 == 0 else "sentinel2", r.choice(kinds), round(r.random() * 0.012, 4), round(r.random() * 0.012, 4), r.choice([None, 0.2, 0.7, 0.85, 0.95]), r.choice([None, 5.0, 20000.0, 60000.0]), r.choice(grades))
+        for i in range(n)
+    ] + [(None, 1, "gedi", "x", 0.001, 0.001, 0.9, 1.0, "high"), (n, 1, "gedi", "x", None, 0.001, 0.9, 1.0, "high")]
+    return spark.createDataFrame(rows, "det_id long, zone_id long, provider string, det_type string, lon double, lat double, confidence double, area_m2 double, grade string")
+
+
+def test_pair_support_is_the_best_pair_and_sorts_no_pairs(spark, monkeypatch):
+    df = spots(spark, 160, 5)
+    want = {}
+    for p in sp.scored_pairs(df).collect():
+        k = (p.score, -p.distance, ((p.a.confidence or 0.0) + (p.b.confidence or 0.0)) / 2)
+        for i in (p.a.det_id, p.b.det_id):
+            if i is not None:
+                want[i] = max(want.get(i, k), k)
+    plans = []
+    real = sp.cut_lineage
+    monkeypatch.setattr(sp, "cut_lineage", lambda d: (plans.append(d._jdf.queryExecution().sparkPlan().toString()), real(d))[1])
+    got = sp.with_pair_support(df, sp.scored_pairs(df)).collect()
+    assert len(got) == df.count() and len(want) > 100
+    for r in got:
+        k = want.get(r.det_id)
+        assert (r.convergent_score, r.combined_confidence) == ((k[0], k[2]) if k else (0.0, None))
+        assert r.convergence_distance_m == (-k[1] * 111000 if k else None)
+    # the pairs are merged by a hash table of one primitive per end and score, not sorted
+    assert any("partial_min(distance" in line and line.lstrip(" +-:").startswith("HashAggregate") for line in plans[0].split("\n"))
+
+
+def test_multiplied_rows_are_not_broadcast(spark):
+    df = spots(spark, 60, 7)
+    p = df.select("det_id", "lon", "lat")
+    px = spark.range(100).select(F.lit(0).alias("scene_id"), (F.col("id") % 10).cast("int").alias("pix_row"), F.floor(F.col("id") / 10).cast("int").alias("pix_col"), F.lit(1.0).alias("nir"))
+    f = p.select("det_id", F.lit(0).alias("scene_id"), F.lit(3).alias("pix_row"), F.lit(4).alias("pix_col"))
+    # what is made by exploding is estimated at the size it had before
+    for out in (sp.near_pairs(p, p, 0.002, "det_id", metric="planar"), sp.sample_pixels(f, px, "det_id", ["nir"], 1), sp.nearest_distance(p, "det_id")):
+        plan = out._jdf.queryExecution().sparkPlan().toString()
+        for side in plan.split("BroadcastHashJoin")[1:]:
+            assert "_dx" not in side.split("\n")[0] and "_salt" not in side.split("\n")[0] and "pix_row" not in side.split("\n")[0]
+        assert "SortMergeJoin" in plan
+
+
+def test_searches_are_dealt_out(spark):
+    """A file of one partition must not leave all searches to one task."""
+    n = 3 * py.PROBES
+    df = spark.range(n).select("id", (F.rand(1) * 0.1).alias("lon"), (F.rand(2) * 0.1).alias("lat")).coalesce(1)
+    assert py._dealt(df).rdd.getNumPartitions() == 4
