@@ -318,3 +318,20 @@ def test_pipeline_stages_chain(spark):
 def test_row_digest_tells_nulls(spark):
     rows = spark.createDataFrame([("a", None), (None, "a"), ("", None), (None, None), ("a", None)], "x string, y string")
     assert rows.select(common.row_digest(rows).alias("d")).distinct().count() == 4
+
+
+def test_rare_characters_have_their_own_probability(spark):
+    """More letters than the model has symbols: each of the rest still counts by its own frequency, and unseen ones by what is left."""
+    letters = [chr(0x4E00 + i) for i in range(100)]
+    body = "".join(c * (200 - i) for i, c in enumerate(letters))
+    texts = spark.createDataFrame([("en", body)], "lang string, text string")
+    model = quality.fit(texts)
+    classes, share = model[0].value
+    rest = letters[quality.SYMBOLS - 2:]
+    seen, total = len(rest), sum(body.count(c) for c in rest)
+    assert np.exp(share[[ord(c) for c in rest]]) == pytest.approx([body.count(c) / (total + seen) for c in rest], rel=1e-5)
+    assert set(share[[ord(c) for c in letters[: quality.SYMBOLS - 2]]]) == {0.0}
+    assert np.exp(share[1:].astype(np.float64)).sum() == pytest.approx(1 + quality.SYMBOLS - 2, rel=1e-4)
+    probe = spark.createDataFrame([(1, rest[0]), (2, rest[-1]), (3, "\U0001F600")], "doc_id int, text string")
+    nll = {r.doc_id: r._nll for r in quality.scored(probe, model).collect()}
+    assert nll[1] < nll[2] < nll[3]
