@@ -10,11 +10,12 @@ from __future__ import annotations
 import math
 
 import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from terraloom.operators.regions import COMP
-from terraloom.runtime import salted_join
+from terraloom.runtime import salted_join, shuffle_partitions
 
 #: Steps to the eight neighbours, clockwise on the screen from east, as (row, col).
 _STEPS = [(0, 1), (1, 1), (1, 0), (1, -1), (0, -1), (-1, -1), (-1, 0), (-1, 1)]
@@ -138,6 +139,8 @@ def smallest_box(hull: np.ndarray) -> tuple[float, float, float, float, float]:
 
 
 _OUTLINE = "n_px long, n_steps long, n_vertices int, area_px double, perimeter_px double, centre_row double, centre_col double, length_px double, width_px double, angle_degrees double"
+_NAMES = [c.split()[0] for c in _OUTLINE.split(", ")]
+_TYPES = [{"long": pa.int64(), "int": pa.int32(), "double": pa.float64()}[c.split()[1]] for c in _OUTLINE.split(", ")]
 
 
 def outlines(region_px: DataFrame, min_px: int = 1, approx: float = APPROX, exact_px: int = EXACT_PX) -> DataFrame:
@@ -147,21 +150,22 @@ def outlines(region_px: DataFrame, min_px: int = 1, approx: float = APPROX, exac
     cell = F.ceil(F.col("n_px") / exact_px).cast("int")
     cells = sized.select(*COMP, "n_px", cell.alias("cell"), F.floor(F.col("pix_row") / cell).alias("r"), F.floor(F.col("pix_col") / cell).alias("c")).distinct()
 
-    def measure(key, px):
-        side, middle = float(px["cell"].iloc[0]), (float(px["cell"].iloc[0]) - 1) / 2
-        pixels = set(zip(px["r"].tolist(), px["c"].tolist()))
+    def measure(px):
+        side = float(px["cell"][0].as_py())
+        middle = (side - 1) / 2
+        pixels = set(zip(px["r"].to_numpy().tolist(), px["c"].to_numpy().tolist()))
         ring = np.array(outer_contour(pixels, min(pixels)), float) * side + middle
         x, y = ring[:, 1], ring[:, 0]
         area, perimeter, cx, cy = polygon_measures(x, y)
         vertices = len(approximated(x, y, approx * perimeter))
         length, width, angle, _, _ = smallest_box(convex_hull(x, y))
-        out = dict(zip(COMP, key)) | dict(
-            n_px=px["n_px"].iloc[0], n_steps=len(ring), n_vertices=vertices, area_px=area, perimeter_px=perimeter, centre_row=cy, centre_col=cx, length_px=length, width_px=width, angle_degrees=angle
-        )
-        return type(px)({k: [v] for k, v in out.items()})
+        found = [px["n_px"][0].as_py(), len(ring), vertices, area, perimeter, cy, cx, length, width, angle]
+        return pa.table([px[c][:1] for c in COMP] + [pa.array([v], t) for v, t in zip(found, _TYPES)], [*COMP, *_NAMES])
 
     keys = ", ".join(f"{c} {region_px.schema[c].dataType.simpleString()}" for c in COMP)
-    return cells.groupBy(*COMP).applyInPandas(measure, f"{keys}, {_OUTLINE}")
+    # few bytes, much work: a number of partitions that follows the sizes would trace all regions in one task
+    dealt = cells.repartition(shuffle_partitions(region_px.sparkSession), *COMP)
+    return dealt.groupBy(*COMP).applyInArrow(measure, f"{keys}, {_OUTLINE}")
 
 
 def rectangles(region_px: DataFrame, min_area_px: float, max_area_px: float) -> DataFrame:

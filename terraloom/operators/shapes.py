@@ -12,7 +12,7 @@ from terraloom.operators.radiometry import to_8bit
 from terraloom.operators.regions import COMP, label_regions
 from terraloom.operators.spatial import near_pairs
 from terraloom.operators.stencil import PIX, TILE, gaussian_weights, gradient, neighbourhood, separable, tiled, untiled
-from terraloom.runtime import cut_lineage
+from terraloom.runtime import cut_lineage, shuffle_partitions
 
 
 def canny(
@@ -71,7 +71,8 @@ def straight_segments(edge_px: DataFrame, votes: int = 140, min_length: float =
     Votes are counted map-side. Pixels of accepted lines are then ordered along each line and cut
     where consecutive pixels are further apart than the gap; a line holds at most one image diagonal.
     """
-    edge_px = cut_lineage(edge_px)  # few pixels of a scene are edges; they are read by the vote and by the segments
+    # few pixels of a scene are edges; they are read by the vote and by the segments, and each becomes 180 rows, which their size does not show
+    edge_px = cut_lineage(edge_px).repartition(shuffle_partitions(edge_px.sparkSession), *PIX)
     angles = edge_px.withColumn("theta", F.explode(F.sequence(F.lit(0), F.lit(179))))
     rad = F.radians(F.col("theta").cast("double"))
     rho = _snap(F.col("pix_col") * F.cos(rad) + F.col("pix_row") * F.sin(rad))

@@ -7,6 +7,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
+from terraloom.operators import contours as ct
 from terraloom.operators import coordinates as cs
 from terraloom.operators import density as de
 from terraloom.operators import display as di
@@ -300,3 +301,14 @@ def test_searches_are_dealt_out(spark):
     n = 3 * py.PROBES
     df = spark.range(n).select("id", (F.rand(1) * 0.1).alias("lon"), (F.rand(2) * 0.1).alias("lat")).coalesce(1)
     assert py._dealt(df).rdd.getNumPartitions() == 4
+
+
+def test_outlines_are_dealt_out(spark):
+    """Regions of few bytes must not all be traced in one task."""
+    px = spark.range(800).select(
+        F.lit(0).alias("scene_id"), F.floor(F.col("id") / 4).cast("int").alias("comp_row"), F.lit(0).alias("comp_col"),
+        (F.floor(F.col("id") / 4) * 3 + F.floor(F.col("id") / 2) % 2).cast("int").alias("pix_row"), (F.col("id") % 2).cast("int").alias("pix_col"),
+    )
+    got = ct.outlines(px).withColumn("task", F.spark_partition_id()).collect()
+    assert len(got) == 200 and {(r.n_px, r.n_steps, r.n_vertices, r.area_px, r.length_px) for r in got} == {(4, 4, 4, 1.0, 1.0)}
+    assert len({r.task for r in got}) > 4
