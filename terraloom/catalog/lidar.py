@@ -12,7 +12,6 @@ from terraloom.operators import density as de
 from terraloom.operators import display as di
 from terraloom.operators import lidar as li
 from terraloom.operators import spatial as sp
-from terraloom.operators.graph import connected_components
 
 MOUND_EPS, GAP_EPS = 0.02, 0.008  # wide enough for the spacing of the sample shots
 LOCAL = """lm AS (SELECT *, max(rh95) OVER w AS localmax_rh95, max(rh100) OVER w AS localmax_rh100 FROM shots WINDOW w AS (PARTITION BY zone_id, beam ORDER BY shot_number ROWS BETWEEN 1 PRECEDING AND 1 FOLLOWING))"""
@@ -204,8 +203,7 @@ def _(v):
     SELECT node, min(s) AS component FROM rc GROUP BY node""",
 )
 def _(v):
-    e = sp.scored_pairs(v.detections).select(F.col("a.det_id").alias("src"), F.col("b.det_id").alias("dst"))
-    return connected_components(e)
+    return sp.pair_components(v.detections)
 
 
 def ordered_leaders_sql(source: str, name: str, radius: float, by: str) -> tuple[str, str]:

@@ -118,6 +118,45 @@ def scored_pairs(detections: DataFrame, radius_deg: float = 0.005) -> DataFrame:
     return pairs.withColumn("score", pair_score("a", "b", F.col("distance")))
 
 
+def pair_components(detections: DataFrame, radius_deg: float = 0.005, providers=("sentinel2", "gedi")) -> DataFrame:
+    """(node, component) of every detection that has a partner of the other provider within the radius: the connected components of all such pairs, named after their smallest id.
+
+    No pair is listed. In every round a location learns the least and the greatest label among the other provider's locations in its circle, from a pyramid of cells. Where a partner has
+    another label, one of the two differs from its own, so each component that is not complete meets another one and their number at least halves. A round has four edges per location at most.
+    """
+    from terraloom.operators.graph import connected_components
+    from terraloom.operators.pyramid import circle_aggregates
+
+    names = [f"_l{i}" for i in range(2)]
+    d = detections.where(F.col("provider").isin(*providers) & F.col("det_id").isNotNull() & F.col("lon").isNotNull() & F.col("lat").isNotNull())
+    d = cut_lineage(d.select("det_id", "provider", "lon", "lat"))
+    locs = cut_lineage(d.groupBy("lon", "lat").agg(*[F.min(F.when(F.col("provider") == p, F.col("det_id"))).alias(c) for p, c in zip(providers, names)]))
+    aggs = {f"{c}_{kind}": (kind, F.col(c)) for c in names for kind in ("min", "max")}
+    opposite = list(zip(names, names[::-1]))
+    labels = None
+    while True:
+        met = circle_aggregates(locs, locs.withColumn("_at", F.struct("lon", "lat")), "_at", F.lit(radius_deg), aggs)
+        met = locs.join(met.select("_at.lon", "_at.lat", *aggs), ["lon", "lat"])
+        met = cut_lineage(met.where(" OR ".join(f"({a} IS NOT NULL AND {b}_min IS NOT NULL)" for a, b in opposite)))
+        edge = lambda a, b: F.struct(F.col(a).alias("src"), F.col(b).alias("dst"))
+        edges = met.select(F.explode(F.array(*[edge(a, f"{b}_{kind}") for a, b in opposite for kind in ("min", "max")])).alias("e")).select("e.src", "e.dst").where("src <> dst")
+        if labels is None:  # a location's detections have the same partners
+            linked = F.coalesce(*[F.when((F.col("provider") == p) & F.col(f"{b}_min").isNotNull(), F.col(a)) for p, (a, b) in zip(providers, opposite)])
+            labels = cut_lineage(d.join(met, ["lon", "lat"]).select(F.col("det_id").alias("node"), linked.alias("component")).where("component IS NOT NULL").distinct())
+            edges = edges.unionByName(labels.select(F.col("node").alias("src"), F.col("component").alias("dst")))
+        elif edges.isEmpty():
+            break
+        found = cut_lineage(connected_components(edges).select(F.col("node").alias("component"), F.col("component").alias("_root")))
+        relabelled = lambda df, c: df.join(found.withColumnRenamed("component", c), c, "left").withColumn(c, F.coalesce("_root", c)).drop("_root")
+        labels = cut_lineage(relabelled(labels, "component").distinct())
+        locs = met.select("lon", "lat", *names)
+        for c in names:
+            locs = relabelled(locs, c)
+        locs = cut_lineage(locs)
+    alone = labels.groupBy("component").agg(F.count(F.lit(1)).alias("_n")).where("_n = 1")  # an id that only meets itself has no pair
+    return labels.join(alone, "component", "left_anti").select("node", "component")
+
+
 #: Cell sides of the partner search halve twice from one level to the next.
 PARTNER_LEVELS = 9
 

@@ -312,3 +312,22 @@ def test_outlines_are_dealt_out(spark):
     got = ct.outlines(px).withColumn("task", F.spark_partition_id()).collect()
     assert len(got) == 200 and {(r.n_px, r.n_steps, r.n_vertices, r.area_px, r.length_px) for r in got} == {(4, 4, 4, 1.0, 1.0)}
     assert len({r.task for r in got}) > 4
+
+
+def test_components_of_pairs_list_no_pairs(spark, monkeypatch):
+    from terraloom.operators import graph as gr
+
+    sizes = []
+    real = gr.connected_components
+    for seed, n, width in ((5, 160, 0.012), (11, 90, 0.2)):
+        df = spots(spark, n, seed)
+        df = df.withColumns({c: F.col(c) * (width / 0.012) for c in ("lon", "lat")})
+        pairs = sp.scored_pairs(df).select(F.col("a.det_id").alias("src"), F.col("b.det_id").alias("dst"))
+        want = {(r.node, r.component) for r in real(pairs).collect()}
+        listed = pairs.count()
+        monkeypatch.setattr(gr, "connected_components", lambda e: (sizes.append(e.count()), real(e))[1])
+        got = [(r.node, r.component) for r in sp.pair_components(df).collect()]
+        monkeypatch.undo()
+        assert sorted(got) == sorted(want) and want
+        if width == 0.012:
+            assert max(sizes) <= 5 * n < listed
