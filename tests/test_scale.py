@@ -331,3 +331,26 @@ def test_components_of_pairs_list_no_pairs(spark, monkeypatch):
         assert sorted(got) == sorted(want) and want
         if width == 0.012:
             assert max(sizes) <= 5 * n < listed
+
+
+def test_pair_scores_read_no_texts_per_pair(spark):
+    df = spots(spark, 120, 3)
+    out = sp.scored_pairs(df)
+    plan = out._jdf.queryExecution().optimizedPlan().toString().split("Join Inner")[0].lower()
+    assert "contains" not in plan and "lower(" not in plan and "'high'" not in plan
+
+    def score(a, b, d):
+        ladder = lambda v, steps, rest: next((s for t, s in steps if v <= t), rest)
+        c = [x.confidence or 0.0 for x in (a, b)]
+        mean, gap = sum(c) / 2, abs(c[0] - c[1])
+        agree = 3.0 if mean >= 0.9 and gap <= 0.1 else 2.5 if mean >= 0.8 and gap <= 0.2 else 2.0 if mean >= 0.7 and gap <= 0.3 else 1.0 if mean >= 0.6 else 0.5
+        kinds = sum(any(s in (x.det_type or "") for s in ("terra_preta", "geometric", "crop_mark")) for x in (a, b))
+        area = max(x.area_m2 or 0.0 for x in (a, b))
+        g = [x.grade for x in (a, b)]
+        grade = {2: 3.0, 1: 2.5}.get(g.count("high")) or {2: 2.0, 1: 1.5}.get(g.count("medium"), 1.0)
+        return ladder(d, ((0.0005, 3.0), (0.001, 2.5), (0.002, 2.0), (0.005, 1.0)), 0.5) + agree + 3.0 + (1.0 + kinds) + (0.5 if area >= 50000 else 0.3 if area >= 10000 else 0.0) + grade
+
+    rows = out.collect()
+    assert len(rows) > 500 and set(rows[0].a.asDict()) == set(sp.PAIR_COLUMNS)
+    for r in rows:
+        assert math.isclose(r.score, min(15.0, score(r.a, r.b, r.distance)))
