@@ -31,7 +31,7 @@ from pyspark.sql import functions as F
 from terraloom.llm.common import saved, shared_folder, slices, whole_text
 from terraloom.llm.registry import query, table
 
-CACHE = 300_000
+CACHE = 600_000
 END = 1
 
 
