@@ -1,16 +1,21 @@
 """Language-model scores by logistic mixing of hashed-context bit predictors.
 
-Texts are sequences of lower-case words and one end. A word of the training documents is coded bit by bit as its bytes and a closing space; a
-word that they do not have is one escape, like the one unknown word of the base score's V + 1, trained with as many occurrences as words seen once (each was unknown
-when it came). Five predictors see hashed contexts of the word so far: its last 1, 2, 3 and 4 bytes, and all of it. Each keeps, per context and bit position, how often the next
+Texts are sequences of lower-case words and one end, and every token is scored in its place. A token is coded bit by bit on its way through a Huffman tree over the training counts, whose leaves
+are the frequent training words (two occurrences and 1 / ``CODED`` of the training tokens at least), the end, and one leaf for all other words. Three predictors see the bits decided so far
+and no word, the last word, and the last two words before the token; words are hashed whole, so rare and unknown ones are contexts too. A text starts after an end.
+Another word is then spelled: bit by bit as its bytes and a closing space, by five predictors that see its last 1, 2, 3 and 4 bytes and all of it so far. A
+word that training documents do not have is one escape there, like the one unknown word of the base score's V + 1, trained with as many occurrences as words seen once (each was unknown
+when it came). Spelling contexts end at the word, so each distinct word is spelled once and its score is joined to its places.
+
+Each predictor keeps, per hashed context and bit position, how often the next
 bit was 0 or 1 in the training documents, which is the state an adaptive counter with rate 1 / n reaches. The predictions are combined in the logistic domain with weights that a
-gate selects by bit position and by how much the two longest contexts have seen. The weights are learned online: every task passes over its share of the training
-words in small steps, with a word's own occurrence taken out of the counters, and the tasks' weights are averaged; ``ROUNDS`` such rounds refine them.
+gate selects by how much the contexts have seen (for spelling also by bit position). The weights are learned online: every task passes over its share of the training
+tokens (or words) in small steps, with a token's own occurrence taken out of the counters, and the tasks' weights are averaged.
 
-Contexts end at the word, so a word has one score wherever it stands, and each distinct word is scored once. ``score`` is the sum of these log10 probabilities.
-``bits`` also pays for the bytes of unknown words after their escapes: the total bits of the text. Base counts and word scores reach the documents in two ways: words with at least
-1 / 2**20 of all tokens (at most 2**20 of them) are broadcast, all others are joined; the end is added to every document. The model has a fixed number of slots, so it is bounded whatever the corpus; all training
-documents are counted.
+``score`` is the sum of these log10 probabilities.
+``bits`` also pays for the bytes of unknown words after their escapes: the total bits of the text. Base counts and spelled scores reach the documents in two ways: words with at least
+1 / 2**20 of all tokens (at most 2**20 of them) are broadcast, all others are joined; the end is added to every document. The word contexts have four slots per training token, up to 2**``MOST_SLOTS`` a predictor;
+the spelling contexts have a fixed number, so the model is bounded whatever the corpus; all training documents are counted.
 
 Null texts are empty: one end token. A null id counts as the text "". Equal rows are scored each for itself. Without training documents the counters hold the escape alone. Empty tables give no rows.
 Only the id and text columns are read.
@@ -27,7 +32,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from terraloom.llm.common import mix64, saved, slices, whole_text
+from terraloom.llm.common import mix64, saved, slices, whole_text, word_hashes
 from terraloom.llm.registry import query, table
 
 #: log2 of the slots per predictor: the last 1, 2, 3, 4 bytes and the whole word so far.
@@ -41,6 +46,16 @@ MODEL_TASKS = 12
 HEAVY = 1 << 20
 END, ESCAPE = "\n", "\x0b"  # white space, so never words
 WORDS_AT_ONCE = 30_000
+#: Least share of the training tokens, as 1 / CODED, of a word with a leaf of its own; at most as many leaves.
+CODED = 1 << 20
+#: log2 of the most slots of a predictor of word contexts.
+MOST_SLOTS = 22
+TEXT_CONTEXTS, TEXT_GATES = 3, 4 * 4 * 4
+#: Tokens whose bits are handled together.
+TOKENS_AT_ONCE = 1 << 16
+#: Slots whose counts travel together.
+BLOCK = 1 << 16
+END_HASH, START_HASH = np.uint64(0x5851F42D4C957F2D), np.uint64(0x14057B7EF767814F)
 NAMES = ["row", "doc_id", "train", "word", "n", "known", "base", "lp", "bits", "bytes"]
 
 
@@ -207,9 +222,13 @@ def refine(words: DataFrame, table, weights: np.ndarray) -> np.ndarray:
                 seen += np.bincount(gate, count, GATES)
         yield pa.RecordBatch.from_pydict({"w": [w.astype(np.float64).ravel().tolist()], "n": [seen.tolist()]})
 
-    rows = words.coalesce(MODEL_TASKS).mapInArrow(learn, "w array<double>, n array<double>").collect()  # one row per task
-    part = np.array([r["n"] for r in rows])[:, None, :]
-    value = np.array([r["w"] for r in rows]).reshape(len(rows), CONTEXTS, GATES)
+    return _averaged(words.coalesce(MODEL_TASKS).mapInArrow(learn, "w array<double>, n array<double>").collect(), weights)
+
+
+def _averaged(rows: list, weights: np.ndarray) -> np.ndarray:
+    """Weights of the tasks, one row (w, n) each, by what their gates saw; ``weights`` where none saw anything."""
+    part = np.array([r["n"] for r in rows]).reshape(len(rows), 1, weights.shape[1])
+    value = np.array([r["w"] for r in rows]).reshape(len(rows), *weights.shape)
     return np.where(part.sum(axis=0) > 0, (value * part).sum(axis=0) / np.maximum(part.sum(axis=0), 1e-9), weights)
 
 
@@ -252,6 +271,194 @@ def scored_words(words: DataFrame, model: tuple) -> DataFrame:
     return words.mapInArrow(score, "word string, n long, c long, lp double, spelled double")
 
 
+# ---- tokens in their places --------------------------------------------------------------------------------------------
+
+
+def code_tree(weights: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(parent, side) of a Huffman tree: leaves in the order of ``weights`` (two at least), then the inner nodes; the last one is the root."""
+    n = len(weights)
+    order = np.argsort(weights, kind="stable").tolist()
+    weight = np.asarray(weights, np.int64).tolist() + [0] * (n - 1)
+    parent, side = np.zeros(2 * n - 1, np.int32), np.zeros(2 * n - 1, np.int8)
+    leaf, inner = 0, n
+    for node in range(n, 2 * n - 1):
+        for bit in (0, 1):
+            if leaf < n and (inner >= node or weight[order[leaf]] <= weight[inner]):
+                child, leaf = order[leaf], leaf + 1
+            else:
+                child, inner = inner, inner + 1
+            parent[child], side[child] = node, bit
+            weight[node] += weight[child]
+    return parent, side
+
+
+class TextCode:
+    """The coded words (leaves 0 to n - 1), the leaves of the end and of all other words, their tree, and log2 of the slots of a word context."""
+
+    def __init__(self, names: pa.Array, counts: np.ndarray, ends: int, others: int):
+        self.names, self.end, self.other = names, len(names), len(names) + 1
+        self.parent, self.side = code_tree(np.concatenate([counts, [max(ends, 1), max(others, 1)]]))
+        self.inner = len(names) + 1
+        self.bits = int(min(max(math.ceil(math.log2(4 * max(counts.sum() + ends + others, 1))), 12), MOST_SLOTS))
+        self.first = np.array([0, self.inner, self.inner + (1 << self.bits), self.inner + (2 << self.bits)])
+
+
+def token_stream(texts: pa.Array, code: TextCode) -> tuple:
+    """(text, leaf, contexts of the last word and of the last two) of all tokens in order, ends included, then what ``split_words`` gives."""
+    owner, codes, found = split_words(texts)
+    n = len(texts)
+    at = pc.fill_null(pc.index_in(found, code.names), code.other).to_numpy().astype(np.int32)
+    hashes, offsets = word_hashes(found.to_pylist(), fold=False)
+    whole = np.zeros(len(found), np.uint64)
+    np.add.at(whole, np.repeat(np.arange(len(found)), np.diff(offsets)), hashes)
+    size = np.bincount(owner, minlength=n) + 1
+    ends = np.cumsum(size) - 1
+    place = np.arange(len(owner)) + owner
+    leaf, word = np.full(len(owner) + n, code.end, np.int32), np.full(len(owner) + n, END_HASH)
+    leaf[place], word[place] = at[codes], whole[codes]
+    one = np.concatenate([[END_HASH], word[:-1]])
+    two = np.concatenate([[START_HASH], one[:-1]])
+    two[ends - size + 1] = START_HASH  # nothing of the text before
+    last = mix64(one + np.uint64(1))
+    return np.repeat(np.arange(n), size), leaf, last, mix64(last * np.uint64(31) + mix64(two + np.uint64(2))), owner, codes, found
+
+
+def _decisions(code: TextCode, leaf: np.ndarray, last: np.ndarray, both: np.ndarray):
+    """For each step from the leaves to the root: (tokens still on the way, bits, slots per predictor)."""
+    on, node, top = np.arange(len(leaf)), leaf, 2 * code.inner
+    shift = np.uint64(64 - code.bits)
+    while len(on):
+        bit, node = code.side[node], code.parent[node]
+        inner = node - (code.inner + 1)
+        step = inner.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15)
+        hashed = [(((c + step) * np.uint64(0xD6E8FEB86659FD93)) >> shift).astype(np.int64) + at for c, at in zip((last, both), code.first[1:3])]
+        yield on, bit, np.stack([inner, *hashed])
+        go = node != top
+        on, node, last, both = on[go], node[go], last[go], both[go]
+
+
+def _runs(n: int, first: int = TOKENS_AT_ONCE):
+    """Cuts of n tokens; the first ones are short, so that learning has steps on small data too."""
+    start = 0
+    while start < n:
+        stop = min(n, start + max(min(TOKENS_AT_ONCE, start), first))
+        yield slice(start, stop)
+        start = stop
+
+
+def _text_tasks(docs: DataFrame) -> DataFrame:
+    """Documents in as many tasks as run at once: each holds one set of counters."""
+    return docs.select("text").coalesce(max(MODEL_TASKS, docs.sparkSession.sparkContext.defaultParallelism))
+
+
+def text_counters(docs: DataFrame, code) -> np.ndarray:
+    """(2, slots) counts of zeros and ones per slot of the word contexts, from training documents (text); tasks send theirs in blocks that are added up one by one."""
+    import zstandard
+
+    size = int(code.value.first[-1])
+
+    def count(batches):
+        total = np.zeros(-(-size // BLOCK) * BLOCK * 2, np.int32)
+        for b in batches:
+            for part in slices(b):
+                _, leaf, last, both, *_ = token_stream(part.column(0), code.value)
+                for r in _runs(len(leaf)):
+                    for _, bit, slots in _decisions(code.value, leaf[r], last[r], both[r]):
+                        at = (slots * 2 + bit).ravel()
+                        np.add.at(total, at, np.ones(len(at), np.int32))  # of one type, which is many times faster
+        pack = zstandard.ZstdCompressor(level=1)
+        for k, block in enumerate(total.reshape(-1, 2 * BLOCK)):
+            if block.any():
+                yield pa.RecordBatch.from_pydict({"block": pa.array([k], pa.int32()), "counts": [pack.compress(block.astype(np.int64).tobytes())]})
+
+    def add(parts):  # one row per task
+        whole = np.zeros(2 * BLOCK, np.int64)
+        for x in parts.column("counts"):
+            whole += np.frombuffer(zstandard.ZstdDecompressor().decompress(x.as_py()), np.int64)
+        scale = max(1.0, whole.max() / ((1 << 31) - 1))  # counts beyond 32 bits keep their ratio
+        data = np.ceil(whole / scale).astype(np.int32).tobytes()
+        return pa.table({"block": parts.column("block").slice(0, 1), "counts": pa.array([zstandard.ZstdCompressor(level=1).compress(data)], pa.binary())})
+
+    schema = "block int, counts binary"
+    sums = _text_tasks(docs).mapInArrow(count, schema).groupBy("block").applyInArrow(add, schema).toArrow()  # at most 2 * 2**MOST_SLOTS slots and one per leaf
+    out = np.zeros((-(-size // BLOCK), 2 * BLOCK), np.int32)
+    for k, x in zip(sums.column("block").to_pylist(), sums.column("counts")):
+        out[k] = np.frombuffer(zstandard.ZstdDecompressor().decompress(x.as_py()), np.int32)
+    return np.ascontiguousarray(out.reshape(-1, 2)[:size].T)
+
+
+def _levels(seen: np.ndarray) -> np.ndarray:
+    return (seen > 0).astype(np.int8) + (seen > 3) + (seen > 50)
+
+
+def _text_gate(level: np.ndarray) -> np.ndarray:
+    return (level[0].astype(np.int64) * 4 + level[1]) * 4 + level[2]
+
+
+def refine_text(docs: DataFrame, code, table, weights: np.ndarray) -> np.ndarray:
+    """One pass of online learning over the training documents (text)."""
+
+    def learn(batches):
+        w, seen, first = weights.copy(), np.zeros(TEXT_GATES), 1000
+        for b in batches:
+            for part in slices(b):
+                zeros, ones = table.value.array
+                _, leaf, last, both, *_ = token_stream(part.column(0), code.value)
+                for r in _runs(len(leaf), first):
+                    slope, bend = np.zeros((2, TEXT_CONTEXTS, TEXT_GATES))
+                    for _, bit, slots in _decisions(code.value, leaf[r], last[r], both[r]):
+                        a, z = np.maximum(ones[slots] - bit, 0), np.maximum(zeros[slots] - (1 - bit), 0)  # without the token itself
+                        x = np.log((a + np.float32(0.4)) / (z + np.float32(0.4))).astype(np.float32)
+                        gate = _text_gate(_levels(a.astype(np.int64) + z))
+                        p = _mixed(x, gate, w)
+                        for k in range(TEXT_CONTEXTS):
+                            slope[k] += np.bincount(gate, (bit - p) * x[k], TEXT_GATES)
+                            bend[k] += np.bincount(gate, p * (1 - p) * x[k] * x[k], TEXT_GATES)
+                        seen += np.bincount(gate, minlength=TEXT_GATES)
+                    w = w + slope / (TEXT_CONTEXTS * bend + 20.0)
+                first = TOKENS_AT_ONCE
+        yield pa.RecordBatch.from_pydict({"w": [w.ravel().tolist()], "n": [seen.tolist()]})
+
+    return _averaged(_text_tasks(docs).mapInArrow(learn, "w array<double>, n array<double>").collect(), weights)  # one row per task
+
+
+class TextModel:
+    """What scoring reads per slot: the stretched prediction and how much was seen."""
+
+    def __init__(self, counts: np.ndarray, weights: np.ndarray):
+        x = counts[1].astype(np.float32) + np.float32(0.4)
+        x /= counts[0].astype(np.float32) + np.float32(0.4)
+        self.stretch = Packed(np.log(x, out=x))
+        self.level = Packed(_levels(counts[0].astype(np.int64) + counts[1]))
+        self.weights = weights.astype(np.float32)
+
+
+def token_scores(code: TextCode, model: TextModel, leaf: np.ndarray, last: np.ndarray, both: np.ndarray) -> np.ndarray:
+    """log10 probability of each token's leaf in its place."""
+    stretch, level = model.stretch.array, model.level.array
+    out = np.zeros(len(leaf))
+    for r in _runs(len(leaf)):
+        total = out[r]
+        for on, bit, slots in _decisions(code, leaf[r], last[r], both[r]):
+            gate = _text_gate(level[slots])
+            z = np.zeros(len(on), np.float32)
+            for k in range(TEXT_CONTEXTS):
+                z += stretch[slots[k]] * model.weights[k][gate]
+            total[on] -= np.log1p(np.exp(np.clip(z, -14, 14) * np.where(bit == 1, np.float32(-1), np.float32(1)))) / np.float32(math.log(10))
+    return out
+
+
+def fit_text(docs: DataFrame, names: pa.Array, counts: np.ndarray, ends: int, others: int) -> tuple:
+    """Broadcast (code, model) of the tokens in their places, from training documents (text)."""
+    sc = docs.sparkSession.sparkContext
+    code = sc.broadcast(TextCode(names, counts, ends, others))
+    found = text_counters(docs, code)
+    table = sc.broadcast(Packed(found))
+    weights = refine_text(docs, code, table, np.full((TEXT_CONTEXTS, TEXT_GATES), 0.3))
+    table.unpersist()
+    return code, sc.broadcast(TextModel(found, weights))
+
+
 # ---- documents -------------------------------------------------------------------------------------------------------
 
 
@@ -266,11 +473,18 @@ def score_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     words = saved(word_totals(rows).unionByName(ends), "words")
     sums = words.agg(F.sum("c").alias("t"), F.sum("n").alias("n"), F.sum((F.col("c") > 0).cast("long")).alias("v")).first()
     train_tokens, all_tokens, distinct = sums["t"], sums["n"], sums["v"]
-    words = saved(scored_words(words, fit(words.where("c > 0").select("word", "c"))), "scores")
+    own_leaf = (F.col("word") == END) | ((F.col("c") > 1) & (F.col("c") * CODED >= train_tokens))
+    coded = words.where(own_leaf & (F.col("word") != END)).select("word", "c").orderBy("word").toArrow().combine_chunks()  # at most CODED rows
+    names = coded.column("word").combine_chunks() if coded.num_rows else pa.array([], pa.string())
+    counts = coded.column("c").to_numpy()
+    train = rows.where("train").select("text")
+    code, model = fit_text(train, names, counts, train_docs, train_tokens - train_docs - int(counts.sum()))
+    spelled_out = words.where(~own_leaf)
+    spelled_out = scored_words(spelled_out, fit(spelled_out.where("c > 0").select("word", "c")))
+    in_place = words.where(own_leaf).select("word", "n", "c", F.lit(0.0).alias("lp"), F.lit(0.0).alias("spelled"))  # scored where they stand
+    words = saved(spelled_out.unionByName(in_place), "scores")
     heavy = words.where(F.col("n") * HEAVY >= all_tokens).select("word", "c", "lp", "spelled").toArrow().combine_chunks()  # at most HEAVY rows
     shared = spark.sparkContext.broadcast(heavy)
-    end = words.where(F.col("word") == END).select("c", "lp", "spelled").first()  # every document has one, however rare ends are
-    end_c, end_lp, end_spelled = end["c"], end["lp"], end["spelled"]
     kind = dict(rows.dtypes)["doc_id"]
 
     def look_up(batches):
@@ -283,7 +497,8 @@ def score_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
         log_c = np.log10(c + 1.0)
         for b in batches:
             for part in slices(b):
-                owner, codes, found = split_words(part.column(1))
+                text, leaf, last, both, owner, codes, found = token_stream(part.column(1), code.value)
+                placed = np.bincount(text, token_scores(code.value, model.value, leaf, last, both), part.num_rows)
                 at = pc.fill_null(pc.index_in(found, names), len(names)).to_numpy().astype(np.int64)
                 size = pc.binary_length(found).to_numpy() + 1
                 n = part.num_rows
@@ -293,8 +508,8 @@ def score_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
                 nothing = pa.nulls
                 yield pa.RecordBatch.from_arrays(
                     [pa.array(ids), part.column(0), part.column(2), nothing(n, pa.string()), pa.array(np.bincount(owner, minlength=n) + 1),
-                     pa.array(total((c[at] > 0).astype(float)).astype(np.int64) + int(end_c > 0)), pa.array(total(log_c[at]) + math.log10(end_c + 1.0)),
-                     pa.array(total(lp[at]) + end_lp), pa.array(total(spelled[at]) + end_spelled), pa.array(total(size.astype(float)).astype(np.int64) + 1)],
+                     pa.array(total((c[at] > 0).astype(float)).astype(np.int64) + int(train_docs > 0)), pa.array(total(log_c[at]) + math.log10(train_docs + 1.0)),
+                     pa.array(total(lp[at]) + placed), pa.array(total(spelled[at]) + placed), pa.array(total(size.astype(float)).astype(np.int64) + 1)],
                     NAMES,
                 )
                 rare = at[codes] == len(names)

@@ -5,6 +5,7 @@ import re
 import zlib
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from tokenizers import Tokenizer
 
@@ -310,6 +311,48 @@ def test_context_mixing_counts_rare_ends(spark, monkeypatch):
     assert np.allclose(got, want, rtol=1e-5)
 
 
+def test_context_mixing_sees_the_words_before(spark):
+    """Words follow each other by a rule: texts that keep it score higher than the same words in another order, whether learned from or not."""
+    follow = {w: VOCABULARY[(5 * i + 3) % len(VOCABULARY)] for i, w in enumerate(VOCABULARY)}
+    r, texts = random.Random(5), []
+    for _ in range(200):
+        words = [r.choice(VOCABULARY)]
+        for _ in range(60):
+            words.append(follow[words[-1]] if r.random() < 0.9 else r.choice(VOCABULARY))
+        texts.append(words)
+    rows = [(i, " ".join(w)) for i, w in enumerate(texts)]
+    held = [i for i in range(200, 300) if zlib.crc32(str(i).encode()) % 7 == 2]
+    rows += [(i, " ".join(r.sample(w, len(w)))) for i, w in zip(held, [texts[j] for j in range(200) if zlib.crc32(str(j).encode()) % 7 == 2])]
+    got = context_mixing.score_documents(spark.createDataFrame(rows, "doc_id long, text string")).toPandas().set_index("doc_id")
+    ordered, mixed = got[got["held_out"] & (got.index < 200)], got[got.index >= 200]
+    n = min(len(ordered), len(mixed))
+    assert n > 5 and (ordered["score"].sort_index().to_numpy()[:n] > 0.8 * mixed["score"].sort_index().to_numpy()[:n]).all()
+    assert ordered["score"].sum() > 0.6 * ordered["base_score"].sum()  # the base does not see the rule
+    known = got[~got["held_out"]]
+    assert known["score"].sum() > 0.6 * known["base_score"].sum()
+
+
+def test_context_mixing_leaves_share_one(spark):
+    """In any place the probabilities of all leaves add up to one, and Huffman codes are as long as a direct construction's."""
+    import heapq
+
+    counts = np.array([50, 3, 3, 20, 7, 1, 11])
+    code = context_mixing.TextCode(pa.array([f"w{i}" for i in range(7)]), counts, 9, 4)
+    heap, weight = [[int(w), i, [i]] for i, w in enumerate([*counts, 9, 4])], 0
+    heapq.heapify(heap)
+    while len(heap) > 1:
+        a, b = heapq.heappop(heap), heapq.heappop(heap)
+        weight += a[0] + b[0]
+        heapq.heappush(heap, [a[0] + b[0], min(a[1], b[1]), a[2] + b[2]])
+    depth = np.bincount(np.concatenate([on for on, _, _ in context_mixing._decisions(code, np.arange(9, dtype=np.int32), *np.zeros((2, 9), np.uint64))]))
+    assert (depth * [*counts, 9, 4]).sum() == weight
+    draw = np.random.default_rng(3)
+    model = context_mixing.TextModel(draw.integers(0, 90, (2, code.first[-1])).astype(np.int32), np.full((3, context_mixing.TEXT_GATES), 0.4))
+    for last, both in ((1, 2), (1 << 60, 77)):
+        p = 10 ** context_mixing.token_scores(code, model, np.arange(9, dtype=np.int32), *np.array([[last] * 9, [both] * 9], np.uint64))
+        assert p.sum() == pytest.approx(1, abs=1e-6)
+
+
 def test_pipeline_stages_chain(spark):
     out = corpus_pipeline.run(spark, "/root/testdata/sf0.001").toPandas()
     assert len(out) and (out.sort_values("start")["n_tokens"].cumsum().shift(fill_value=0) == out.sort_values("start")["start"]).all()
