@@ -32,7 +32,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from terraloom.llm.common import mix64, saved, slices, whole_text, word_hashes
+from terraloom.llm.common import array_hashes, mix64, saved, slices, whole_text
 from terraloom.llm.registry import query, table
 
 #: log2 of the slots per predictor: the last 1, 2, 3, 4 bytes and the whole word so far.
@@ -51,8 +51,10 @@ CODED = 1 << 20
 #: log2 of the most slots of a predictor of word contexts.
 MOST_SLOTS = 22
 TEXT_CONTEXTS, TEXT_GATES = 3, 4 * 4 * 4
-#: Tokens whose bits are handled together.
+#: Tokens from one learning step to the next.
 TOKENS_AT_ONCE = 1 << 16
+#: Tokens (bytes of words when spelling) whose bits are handled together: their arrays stay in a core's cache.
+PIECE = 1 << 14
 #: Slots whose counts travel together.
 BLOCK = 1 << 16
 END_HASH, START_HASH = np.uint64(0x5851F42D4C957F2D), np.uint64(0x14057B7EF767814F)
@@ -73,7 +75,7 @@ class Packed:
         import zstandard
 
         if "_array" not in self.__dict__:
-            self._array = np.frombuffer(zstandard.ZstdDecompressor().decompress(self.data), self.kind).reshape(self.shape)
+            self._array = np.frombuffer(zstandard.ZstdDecompressor().decompress(self.data), self.kind).reshape(self.shape).copy()  # in large pages, which numpy asks for
             self.data = b""
         return self._array
 
@@ -81,6 +83,63 @@ class Packed:
         return {k: v for k, v in self.__dict__.items() if k != "_array"}
 
 
+class Tallies:
+    """Counts (2, slots) of zeros and ones as one code per slot, and what each code predicts when its own occurrence is taken out."""
+
+    def __init__(self, counts: np.ndarray):
+        small = (counts < 256).all(axis=0)
+        code = np.minimum(counts[0], 255) * 256 + np.minimum(counts[1], 255)
+        large, where = np.unique(counts[0, ~small].astype(np.int64) << 32 | counts[1, ~small], return_inverse=True)
+        code[~small] = 65536 + where
+        zeros = np.concatenate([np.arange(65536) >> 8, large >> 32])
+        ones = np.concatenate([np.arange(65536) & 255, large & 0xFFFFFFFF])
+        left = [np.stack([np.maximum(zeros - 1, 0), ones]), np.stack([zeros, np.maximum(ones - 1, 0)])]
+        self.code, self.values = Packed(code.astype(np.int32)), Packed(np.stack([_stretched(x) for x in left], axis=1).ravel())
+
+    def without(self, slots: np.ndarray, bit: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """(stretched predictions, levels) of the slots without one occurrence of ``bit``."""
+        x = self.values.array.take(self.code.array.take(slots) * 2 + bit)
+        return x, x.view(np.int32) & 3
+
+
+def _levels(seen: np.ndarray) -> np.ndarray:
+    """0 to 3 for counts of 0, up to 3, up to 50 and more."""
+    return (seen > 0).astype(np.int8) + (seen > 3) + (seen > 50)
+
+
+def _stretched(counts: np.ndarray) -> np.ndarray:
+    """The stretched prediction of each of counts (2, n), with the level of what was seen in its last two bits."""
+    x = counts[1].astype(np.float32) + np.float32(0.4)
+    x /= counts[0].astype(np.float32) + np.float32(0.4)
+    np.log(x, out=x)
+    bits = x.view(np.int32)
+    bits &= ~3
+    bits |= _levels(counts[0].astype(np.int64) + counts[1])
+    return x
+
+
+class Stretched(Packed):
+    """What scoring reads per slot of counts (2, slots)."""
+
+    def __init__(self, counts: np.ndarray):
+        super().__init__(_stretched(counts))
+
+    def at(self, slots: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """(stretched predictions, levels) of the slots."""
+        x = self.array.take(slots)
+        return x, x.view(np.int32) & 3
+
+
+def _odds_against(x: np.ndarray, gate: np.ndarray, weights: np.ndarray, bit: np.ndarray) -> np.ndarray:
+    """1 / p of each bit as it was, from the stretched predictions and the weights of their gates."""
+    z = x[0] * weights[0].take(gate)
+    for k in range(1, len(x)):
+        z += x[k] * weights[k].take(gate)
+    np.clip(z, -14, 14, out=z)
+    z *= (1 - 2 * bit).astype(np.float32)
+    return np.exp(z, out=z).astype(np.float64) + 1.0
+
+
 # ---- words -----------------------------------------------------------------------------------------------------------
 
 
@@ -134,13 +193,12 @@ def _contexts(words: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         out[k - 1] = mix64(recent + np.uint64(k << 40))
     whole = np.zeros(len(raw), np.uint64)
     value = raw.astype(np.uint64) + np.uint64(1)
-    live = np.flatnonzero(at > 0)
-    depth = 1
-    while len(live):  # one step per letter position, over the words that are that long
-        here = live[at[live] == depth]
+    size = stop - start
+    longest = start[np.argsort(-size, kind="stable")]
+    still = len(size) - np.cumsum(np.bincount(size, minlength=1))
+    for depth, n in enumerate(still[:-1].tolist(), 1):  # one step per letter position, over the words that are that long
+        here = longest[:n] + depth
         whole[here] = mix64(whole[here - 1] * np.uint64(31) + value[here - 1])
-        live = live[at[live] > depth]
-        depth += 1
     out[4] = mix64(whole + np.uint64(5 << 40))
     return raw, owner, out
 
@@ -189,20 +247,19 @@ def counters(words: DataFrame) -> np.ndarray:
     return out
 
 
-def _inputs(table: np.ndarray, slots: np.ndarray, j: int, bit: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray]:
-    """(stretched predictions, gates); ``bit`` takes the word's own occurrence out of the counters."""
-    zeros, ones = table[0][slots], table[1][slots]
-    if bit is not None:
-        zeros, ones = np.maximum(zeros - (bit == 0), 0), np.maximum(ones - (bit == 1), 0)
-    x = np.log((ones + np.float32(0.4)) / (zeros + np.float32(0.4))).astype(np.float32)
-    seen = zeros[3:].astype(np.int64) + ones[3:]
-    level = (seen > 0).astype(np.int64) + (seen > 3) + (seen > 50)
-    return x, (j * 4 + level[0]) * 4 + level[1]
+def _gate(j: int, level: np.ndarray) -> np.ndarray:
+    return ((j * 4 + level[3]) * 4 + level[4]).astype(np.int64)
 
 
-def _mixed(x: np.ndarray, gate: np.ndarray, weights: np.ndarray) -> np.ndarray:
-    z = np.clip((x * weights[:, gate]).sum(axis=0), -14, 14)
-    return 1 / (1 + np.exp(-z))
+def _gains(x: np.ndarray, gate: np.ndarray, weights: np.ndarray, bit: np.ndarray, gates: int, count: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray]:
+    """First and second derivatives of the log likelihood, (predictors, gates) each; ``count`` is how often each bit occurs (once without)."""
+    p = 1.0 / _odds_against(x, gate, weights.astype(np.float32), np.ones_like(bit))
+    miss, bend = bit - p, p * (1 - p)
+    if count is None:
+        miss, bend = miss.astype(np.float32), bend.astype(np.float32)
+    if count is not None:
+        miss, bend = miss * count, bend * count
+    return np.stack([np.bincount(gate, miss * r, gates) for r in x]), np.stack([np.bincount(gate, bend * (r * r), gates) for r in x])
 
 
 def refine(words: DataFrame, table, weights: np.ndarray) -> np.ndarray:
@@ -214,10 +271,9 @@ def refine(words: DataFrame, table, weights: np.ndarray) -> np.ndarray:
             raw, owner, contexts = _contexts(names)
             count = c[owner]
             for j, bit, slots in _bits(raw, contexts):
-                x, gate = _inputs(table.value.array, slots, j, bit)
-                p = _mixed(x, gate, w)
-                slope = np.stack([np.bincount(gate, count * (bit - p) * r, GATES) for r in x])
-                bend = np.stack([np.bincount(gate, count * p * (1 - p) * r * r, GATES) for r in x])
+                x, level = table.value.without(slots, bit)
+                gate = _gate(j, level)
+                slope, bend = _gains(x, gate, w, bit, GATES, count)
                 w = w + slope / (CONTEXTS * bend + 20.0)
                 seen += np.bincount(gate, count, GATES)
         yield pa.RecordBatch.from_pydict({"w": [w.astype(np.float64).ravel().tolist()], "n": [seen.tolist()]})
@@ -232,38 +288,42 @@ def _averaged(rows: list, weights: np.ndarray) -> np.ndarray:
     return np.where(part.sum(axis=0) > 0, (value * part).sum(axis=0) / np.maximum(part.sum(axis=0), 1e-9), weights)
 
 
-def word_scores(words: list[str], table: np.ndarray, weights: np.ndarray) -> np.ndarray:
+def word_scores(words: list[str], table: Stretched, weights: np.ndarray) -> np.ndarray:
     """log10 probability of each word."""
     raw, owner, contexts = _contexts(words)
-    total = np.zeros(len(raw))
-    for j, bit, slots in _bits(raw, contexts):
-        x, gate = _inputs(table, slots, j)
-        p = _mixed(x, gate, weights)
-        total += np.log10(np.where(bit == 1, p, 1 - p))
-    return np.bincount(owner, total, len(words))
+    odds, weights = np.ones(len(raw)), weights.astype(np.float32)
+    for a in range(0, len(raw), PIECE):
+        part = odds[a: a + PIECE]
+        for j, bit, slots in _bits(raw[a: a + PIECE], contexts[:, a: a + PIECE]):
+            x, level = table.at(slots)
+            part *= _odds_against(x, _gate(j, level), weights, bit)
+    return np.bincount(owner, -np.log10(odds), len(words))
 
 
 def fit(words: DataFrame) -> tuple:
-    """Broadcast (counters, weights) learned from training words (word, c), and the score of the escape."""
+    """Broadcast (predictions, weights) learned from training words (word, c), and the score of the escape."""
     spark = words.sparkSession
     once = words.where("c = 1").count()
     words = words.unionByName(spark.createDataFrame([(ESCAPE, max(once, 1))], "word string, c long"))
     counts = counters(words)
-    table = spark.sparkContext.broadcast(Packed(counts))
+    table = spark.sparkContext.broadcast(Tallies(counts))
     weights = np.full((CONTEXTS, GATES), 0.3)
     for _ in range(ROUNDS):  # a word seen once would be an escape without its own occurrence
         weights = refine(words.where("c > 1"), table, weights)
-    return table, spark.sparkContext.broadcast(weights), float(word_scores([ESCAPE], counts, weights)[0])
+    table.unpersist()
+    stretched = Stretched(counts)
+    shared = spark.sparkContext.broadcast(stretched)
+    return shared, spark.sparkContext.broadcast(weights), float(word_scores([ESCAPE], stretched, weights)[0])
 
 
 def scored_words(words: DataFrame, model: tuple) -> DataFrame:
     """``words`` (word, n, c) with lp, the log10 probability of the word or of the escape, and spelled, that with an unknown word's bytes."""
-    counts, weights, escape = model
+    table, weights, escape = model
 
     def score(batches):
         for b in batches:
             for s in slices(b, "word", WORDS_AT_ONCE * 10):
-                spelled = word_scores(s.column(0).to_pylist(), counts.value.array, weights.value)
+                spelled = word_scores(s.column(0).to_pylist(), table.value, weights.value)
                 known = s.column(2).to_numpy() > 0
                 lp = np.where(known, spelled, escape)
                 yield pa.RecordBatch.from_arrays([*s.columns, pa.array(lp), pa.array(np.where(known, spelled, spelled + escape))], ["word", "n", "c", "lp", "spelled"])
@@ -297,8 +357,19 @@ class TextCode:
 
     def __init__(self, names: pa.Array, counts: np.ndarray, ends: int, others: int):
         self.names, self.end, self.other = names, len(names), len(names) + 1
-        self.parent, self.side = code_tree(np.concatenate([counts, [max(ends, 1), max(others, 1)]]))
+        parent, side = code_tree(np.concatenate([counts, [max(ends, 1), max(others, 1)]]))
+        self.up = parent * np.int32(2) + side  # of each node, with its side
         self.inner = len(names) + 1
+        on = np.arange(len(names) + 2)
+        node, self.depth, nodes = on, np.zeros(len(on), np.uint8), np.zeros((self.inner, 2), np.int64)
+        weight = np.concatenate([counts, [ends, others]]).astype(np.int64)
+        while len(on):
+            self.depth[on] += 1
+            node, bit = parent[node], side[node]
+            np.add.at(nodes, (node - (self.inner + 1), bit), weight[on])
+            on, node = on[node != 2 * self.inner], node[node != 2 * self.inner]
+        #: Zeros and ones of each inner node in the training documents, which the counts of the words give.
+        self.nodes = np.ceil(nodes / np.maximum(1.0, nodes.max(axis=1, keepdims=True) / ((1 << 31) - 1))).astype(np.int32)
         self.bits = int(min(max(math.ceil(math.log2(4 * max(counts.sum() + ends + others, 1))), 12), MOST_SLOTS))
         self.first = np.array([0, self.inner, self.inner + (1 << self.bits), self.inner + (2 << self.bits)])
 
@@ -308,36 +379,51 @@ def token_stream(texts: pa.Array, code: TextCode) -> tuple:
     owner, codes, found = split_words(texts)
     n = len(texts)
     at = pc.fill_null(pc.index_in(found, code.names), code.other).to_numpy().astype(np.int32)
-    hashes, offsets = word_hashes(found.to_pylist(), fold=False)
-    whole = np.zeros(len(found), np.uint64)
-    np.add.at(whole, np.repeat(np.arange(len(found)), np.diff(offsets)), hashes)
+    # the end and the start are hashed like words
+    whole = np.concatenate([array_hashes(found), [END_HASH, START_HASH]])
+    once, twice = mix64(whole + np.uint64(1)), mix64(whole + np.uint64(2))
     size = np.bincount(owner, minlength=n) + 1
     ends = np.cumsum(size) - 1
     place = np.arange(len(owner)) + owner
-    leaf, word = np.full(len(owner) + n, code.end, np.int32), np.full(len(owner) + n, END_HASH)
-    leaf[place], word[place] = at[codes], whole[codes]
-    one = np.concatenate([[END_HASH], word[:-1]])
-    two = np.concatenate([[START_HASH], one[:-1]])
-    two[ends - size + 1] = START_HASH  # nothing of the text before
-    last = mix64(one + np.uint64(1))
-    return np.repeat(np.arange(n), size), leaf, last, mix64(last * np.uint64(31) + mix64(two + np.uint64(2))), owner, codes, found
+    leaf, word = np.full(len(owner) + n, code.end, np.int32), np.full(len(owner) + n, len(found), np.int32)
+    leaf[place], word[place] = at[codes], codes
+    one = np.concatenate([[len(found)], word[:-1]]).astype(np.int32)
+    two = np.concatenate([[len(found) + 1], one[:-1]]).astype(np.int32)
+    two[ends - size + 1] = len(found) + 1  # nothing of the text before
+    last = once[one]
+    return np.repeat(np.arange(n), size), leaf, last, mix64(last * np.uint64(31) + twice[two]), owner, codes, found
 
 
 def _decisions(code: TextCode, leaf: np.ndarray, last: np.ndarray, both: np.ndarray):
-    """For each step from the leaves to the root: (tokens still on the way, bits, slots per predictor)."""
-    on, node, top = np.arange(len(leaf)), leaf, 2 * code.inner
-    shift = np.uint64(64 - code.bits)
-    while len(on):
-        bit, node = code.side[node], code.parent[node]
-        inner = node - (code.inner + 1)
-        step = inner.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15)
-        hashed = [(((c + step) * np.uint64(0xD6E8FEB86659FD93)) >> shift).astype(np.int64) + at for c, at in zip((last, both), code.first[1:3])]
-        yield on, bit, np.stack([inner, *hashed])
-        go = node != top
-        on, node, last, both = on[go], node[go], last[go], both[go]
-
-
-def _runs(n: int, first: int = TOKENS_AT_ONCE):
+    """For each step from the leaves to the root: (tokens still on the way, bits, slots per predictor).
+
+    Tokens with the longest ways come first, so those still on the way are the first ones of the step before.
+    """
+    depth = code.depth[leaf]
+    order = np.argsort(np.uint8(255) - depth, kind="stable")
+    still = len(leaf) - np.cumsum(np.bincount(depth, minlength=1))
+    node, shift = leaf[order], np.uint64(64 - code.bits)
+    spread = [c[order] * np.uint64(0xD6E8FEB86659FD93) for c in (last, both)]
+    turn = np.uint64(0x9E3779B97F4A7C15 * 0xD6E8FEB86659FD93 % (1 << 64))
+    for n in still[:-1].tolist():
+        up = code.up[node[:n]]
+        node, bit = up >> 1, up & 1
+        slots = np.empty((TEXT_CONTEXTS, n), np.int64)
+        np.subtract(node, code.inner + 1, out=slots[0])
+        step = slots[0].view(np.uint64) * turn
+        for k, c in enumerate(spread, 1):
+            np.right_shift(c[:n] + step, shift, out=slots[k].view(np.uint64))
+            slots[k] += code.first[k]
+        yield order[:n], bit, slots
+
+
+def _pieces(code: TextCode, leaf: np.ndarray, last: np.ndarray, both: np.ndarray):
+    """(start, ``_decisions``) of runs of tokens."""
+    for a in range(0, len(leaf), PIECE):
+        yield a, _decisions(code, leaf[a: a + PIECE], last[a: a + PIECE], both[a: a + PIECE])
+
+
+def _runs(n: int, first: int):
     """Cuts of n tokens; the first ones are short, so that learning has steps on small data too."""
     start = 0
     while start < n:
@@ -351,8 +437,19 @@ def _text_tasks(docs: DataFrame) -> DataFrame:
     return docs.select("text").coalesce(max(MODEL_TASKS, docs.sparkSession.sparkContext.defaultParallelism))
 
 
+def count_decisions(code: TextCode, total: np.ndarray, leaf: np.ndarray, last: np.ndarray, both: np.ndarray) -> None:
+    """Add the bits of all tokens to ``total``, zeros and ones of each slot side by side; the nodes without a context are left out."""
+    one = np.ones(2 * PIECE, np.int32)  # of one type, which is many times faster
+    for _, steps in _pieces(code, leaf, last, both):
+        for _, bit, slots in steps:
+            at = (slots[1:] * 2 + bit).ravel()
+            np.add.at(total, at, one[: len(at)])
+
+
 def text_counters(docs: DataFrame, code) -> np.ndarray:
-    """(2, slots) counts of zeros and ones per slot of the word contexts, from training documents (text); tasks send theirs in blocks that are added up one by one."""
+    """(2, slots) counts of zeros and ones per slot of the word contexts, from training documents (text); tasks send theirs in blocks that are added up one by one.
+
+    Those without a context are the code's own."""
     import zstandard
 
     size = int(code.value.first[-1])
@@ -362,10 +459,7 @@ def text_counters(docs: DataFrame, code) -> np.ndarray:
         for b in batches:
             for part in slices(b):
                 _, leaf, last, both, *_ = token_stream(part.column(0), code.value)
-                for r in _runs(len(leaf)):
-                    for _, bit, slots in _decisions(code.value, leaf[r], last[r], both[r]):
-                        at = (slots * 2 + bit).ravel()
-                        np.add.at(total, at, np.ones(len(at), np.int32))  # of one type, which is many times faster
+                count_decisions(code.value, total, leaf, last, both)
         pack = zstandard.ZstdCompressor(level=1)
         for k, block in enumerate(total.reshape(-1, 2 * BLOCK)):
             if block.any():
@@ -384,15 +478,27 @@ def text_counters(docs: DataFrame, code) -> np.ndarray:
     out = np.zeros((-(-size // BLOCK), 2 * BLOCK), np.int32)
     for k, x in zip(sums.column("block").to_pylist(), sums.column("counts")):
         out[k] = np.frombuffer(zstandard.ZstdDecompressor().decompress(x.as_py()), np.int32)
-    return np.ascontiguousarray(out.reshape(-1, 2)[:size].T)
+    out = out.reshape(-1, 2)[:size]
+    out[: code.value.inner] = code.value.nodes
+    return out.T
 
 
-def _levels(seen: np.ndarray) -> np.ndarray:
-    return (seen > 0).astype(np.int8) + (seen > 3) + (seen > 50)
+def _text_gate(level: np.ndarray) -> np.ndarray:
+    return ((level[0] * 4 + level[1]) * 4 + level[2]).astype(np.int64)
 
 
-def _text_gate(level: np.ndarray) -> np.ndarray:
-    return (level[0].astype(np.int64) * 4 + level[1]) * 4 + level[2]
+def learned(code: TextCode, tallies: Tallies, w: np.ndarray, leaf: np.ndarray, last: np.ndarray, both: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(weights, bits seen per gate) after one step of learning from the tokens."""
+    slope, bend, seen = np.zeros((TEXT_CONTEXTS, TEXT_GATES)), np.zeros((TEXT_CONTEXTS, TEXT_GATES)), np.zeros(TEXT_GATES)
+    for _, steps in _pieces(code, leaf, last, both):
+        for _, bit, slots in steps:
+            x, level = tallies.without(slots, bit)  # without the token itself
+            gate = _text_gate(level)
+            first, second = _gains(x, gate, w, bit, TEXT_GATES)
+            slope += first
+            bend += second
+            seen += np.bincount(gate, minlength=TEXT_GATES)
+    return w + slope / (TEXT_CONTEXTS * bend + 20.0), seen
 
 
 def refine_text(docs: DataFrame, code, table, weights: np.ndarray) -> np.ndarray:
@@ -402,20 +508,10 @@ def refine_text(docs: DataFrame, code, table, weights: np.ndarray) -> np.ndarray
         w, seen, first = weights.copy(), np.zeros(TEXT_GATES), 1000
         for b in batches:
             for part in slices(b):
-                zeros, ones = table.value.array
                 _, leaf, last, both, *_ = token_stream(part.column(0), code.value)
                 for r in _runs(len(leaf), first):
-                    slope, bend = np.zeros((2, TEXT_CONTEXTS, TEXT_GATES))
-                    for _, bit, slots in _decisions(code.value, leaf[r], last[r], both[r]):
-                        a, z = np.maximum(ones[slots] - bit, 0), np.maximum(zeros[slots] - (1 - bit), 0)  # without the token itself
-                        x = np.log((a + np.float32(0.4)) / (z + np.float32(0.4))).astype(np.float32)
-                        gate = _text_gate(_levels(a.astype(np.int64) + z))
-                        p = _mixed(x, gate, w)
-                        for k in range(TEXT_CONTEXTS):
-                            slope[k] += np.bincount(gate, (bit - p) * x[k], TEXT_GATES)
-                            bend[k] += np.bincount(gate, p * (1 - p) * x[k] * x[k], TEXT_GATES)
-                        seen += np.bincount(gate, minlength=TEXT_GATES)
-                    w = w + slope / (TEXT_CONTEXTS * bend + 20.0)
+                    w, n = learned(code.value, table.value, w, leaf[r], last[r], both[r])
+                    seen += n
                 first = TOKENS_AT_ONCE
         yield pa.RecordBatch.from_pydict({"w": [w.ravel().tolist()], "n": [seen.tolist()]})
 
@@ -423,28 +519,27 @@ def refine_text(docs: DataFrame, code, table, weights: np.ndarray) -> np.ndarray
 
 
 class TextModel:
-    """What scoring reads per slot: the stretched prediction and how much was seen."""
+    """What scoring reads: the predictions per slot and the weights."""
 
     def __init__(self, counts: np.ndarray, weights: np.ndarray):
-        x = counts[1].astype(np.float32) + np.float32(0.4)
-        x /= counts[0].astype(np.float32) + np.float32(0.4)
-        self.stretch = Packed(np.log(x, out=x))
-        self.level = Packed(_levels(counts[0].astype(np.int64) + counts[1]))
+        self.stretched = Stretched(counts)
         self.weights = weights.astype(np.float32)
 
 
 def token_scores(code: TextCode, model: TextModel, leaf: np.ndarray, last: np.ndarray, both: np.ndarray) -> np.ndarray:
     """log10 probability of each token's leaf in its place."""
-    stretch, level = model.stretch.array, model.level.array
     out = np.zeros(len(leaf))
-    for r in _runs(len(leaf)):
-        total = out[r]
-        for on, bit, slots in _decisions(code, leaf[r], last[r], both[r]):
-            gate = _text_gate(level[slots])
-            z = np.zeros(len(on), np.float32)
-            for k in range(TEXT_CONTEXTS):
-                z += stretch[slots[k]] * model.weights[k][gate]
-            total[on] -= np.log1p(np.exp(np.clip(z, -14, 14) * np.where(bit == 1, np.float32(-1), np.float32(1)))) / np.float32(math.log(10))
+    for a, steps in _pieces(code, leaf, last, both):
+        order, odds = None, None
+        for turn, (on, bit, slots) in enumerate(steps):
+            if order is None:
+                order, odds, total = on, np.ones(len(on)), np.zeros(len(on))
+            x, level = model.stretched.at(slots)
+            odds[: len(on)] *= _odds_against(x, _text_gate(level), model.weights, bit)
+            if turn % 32 == 31:  # each step multiplies by e**14 + 1 at most
+                total -= np.log10(odds)
+                odds[:] = 1.0
+        out[a + order] = total - np.log10(odds)
     return out
 
 
@@ -453,7 +548,7 @@ def fit_text(docs: DataFrame, names: pa.Array, counts: np.ndarray, ends: int, ot
     sc = docs.sparkSession.sparkContext
     code = sc.broadcast(TextCode(names, counts, ends, others))
     found = text_counters(docs, code)
-    table = sc.broadcast(Packed(found))
+    table = sc.broadcast(Tallies(found))
     weights = refine_text(docs, code, table, np.full((TEXT_CONTEXTS, TEXT_GATES), 0.3))
     table.unpersist()
     return code, sc.broadcast(TextModel(found, weights))

@@ -353,6 +353,48 @@ def test_context_mixing_leaves_share_one(spark):
         assert p.sum() == pytest.approx(1, abs=1e-6)
 
 
+def test_context_mixing_learns_as_from_plain_counts():
+    """Counts without a token itself, learning and scores from the packed tables are those of the counts as they are, and nodes without a context have the counts of the words."""
+    draw = np.random.default_rng(8)
+    weight = draw.integers(1, 400, 60)
+    code = context_mixing.TextCode(pa.array([f"w{i:02d}" for i in range(58)]), weight[:58], int(weight[58]), int(weight[59]))
+    leaf = draw.permutation(np.repeat(np.arange(60, dtype=np.int32), weight))
+    last, both = draw.integers(0, 9, (2, len(leaf))).astype(np.uint64)
+    counts = np.zeros((2, code.first[-1]), np.int32)
+    steps = list(context_mixing._decisions(code, leaf, last, both))
+    for _, bit, slots in steps:
+        np.add.at(counts, (np.broadcast_to(bit, slots.shape), slots), 1)
+    assert (counts[:, : code.inner].T == code.nodes).all()
+    total = np.zeros(2 * code.first[-1], np.int32)
+    context_mixing.count_decisions(code, total, leaf, last, both)
+    assert (total.reshape(-1, 2)[code.inner:].T == counts[:, code.inner:]).all()
+
+    level = lambda n: (n > 0) * 1 + (n > 3) + (n > 50)
+    first = np.full((3, context_mixing.TEXT_GATES), 0.3)
+    slope, bend, score = np.zeros((3, 64)), np.zeros((3, 64)), np.zeros(len(leaf))
+    for on, bit, slots in steps:
+        zeros, ones = np.maximum(counts[0][slots] - (bit == 0), 0), np.maximum(counts[1][slots] - (bit == 1), 0)
+        x, n = np.log((ones + 0.4) / (zeros + 0.4)), level(zeros + ones)
+        gate = (n[0] * 4 + n[1]) * 4 + n[2]
+        p = 1 / (1 + np.exp(-np.clip((x * first[:, gate]).sum(axis=0), -14, 14)))
+        for k in range(3):
+            slope[k] += np.bincount(gate, (bit - p) * x[k], 64)
+            bend[k] += np.bincount(gate, p * (1 - p) * x[k] ** 2, 64)
+        x, n = np.log((counts[1][slots] + 0.4) / (counts[0][slots] + 0.4)), level(counts.sum(axis=0)[slots])
+        p = 1 / (1 + np.exp(-np.clip((x * first[:, (n[0] * 4 + n[1]) * 4 + n[2]]).sum(axis=0), -14, 14)))
+        score[on] += np.log10(np.where(bit == 1, p, 1 - p))
+    learned, seen = context_mixing.learned(code, context_mixing.Tallies(counts), first, leaf, last, both)
+    assert np.allclose(learned, first + slope / (3 * bend + 20), atol=1e-5) and seen.sum() == sum(len(on) for on, _, _ in steps)
+    assert np.allclose(context_mixing.token_scores(code, context_mixing.TextModel(counts, first), leaf, last, both), score, rtol=1e-5)
+
+
+def test_words_of_an_array_hash_as_in_texts():
+    words = pa.array(["skip", "a", "Wort", "größe", "", "\U0001f600x", "a"]).slice(1)
+    want = [common.word_hashes([w], fold=False)[0].sum() for w in words.to_pylist()]
+    assert common.array_hashes(words).tolist() == want
+    assert len(common.array_hashes(pa.array([], pa.string()))) == 0
+
+
 def test_pipeline_stages_chain(spark):
     out = corpus_pipeline.run(spark, "/root/testdata/sf0.001").toPandas()
     assert len(out) and (out.sort_values("start")["n_tokens"].cumsum().shift(fill_value=0) == out.sort_values("start")["start"]).all()
