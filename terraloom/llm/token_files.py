@@ -28,7 +28,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from terraloom.llm.common import saved, shared_folder, slices, whole_text
+from terraloom.llm.common import held, saved, shared_folder, slices, whole_text
 from terraloom.llm.registry import query, table
 
 CACHE = 600_000
@@ -126,16 +126,9 @@ class Encoder:
         return out, np.diff(np.concatenate([[0], stop]))
 
 
-_WORKERS: dict[str, Encoder] = {}
-
-
 def encoder_of(definition: str) -> Encoder:
     """The one encoder of this worker process for a tokenizer."""
-    key = hashlib.sha256(definition.encode()).hexdigest()
-    if key not in _WORKERS:
-        _WORKERS.clear()
-        _WORKERS[key] = Encoder(definition)
-    return _WORKERS[key]
+    return held(hashlib.sha256(definition.encode()).hexdigest(), lambda: Encoder(definition))
 
 
 def vocabulary_size(definition: str) -> int:

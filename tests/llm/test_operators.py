@@ -395,6 +395,21 @@ def test_words_of_an_array_hash_as_in_texts():
     assert len(common.array_hashes(pa.array([], pa.string()))) == 0
 
 
+def test_quality_tasks_let_go_of_the_encoder():
+    """The encoder a worker process kept from a run before is freed before the quality model is used there."""
+    import weakref
+    from types import SimpleNamespace
+
+    from pyspark.sql import types as T
+
+    with open(token_files.default_tokenizer(), encoding="utf-8") as f:
+        definition = f.read()
+    kept = weakref.ref(token_files.encoder_of(definition))
+    assert token_files.encoder_of(definition) is kept()  # from task to task of one step it stays
+    texts = SimpleNamespace(columns=["text"], schema=T.StructType([T.StructField("text", T.StringType())]), mapInArrow=lambda function, schema: function)
+    assert list(quality.scored(texts, (None, None))(iter([]))) == [] and kept() is None
+
+
 def test_pipeline_stages_chain(spark):
     out = corpus_pipeline.run(spark, "/root/testdata/sf0.001").toPandas()
     assert len(out) and (out.sort_values("start")["n_tokens"].cumsum().shift(fill_value=0) == out.sort_values("start")["start"]).all()
