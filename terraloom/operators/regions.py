@@ -97,7 +97,7 @@ def label_regions(true_pixels: DataFrame, connectivity: int = 4, tile: int = TIL
     steps = [(0, 1), (1, 0)] + ([(1, 1), (1, -1)] if connectivity == 8 else [])
     step = F.explode(F.array(*[F.struct(F.lit(r).alias("r"), F.lit(c).alias("c")) for r, c in steps]))
     to = rim.withColumn("_s", step).select("scene_id", (F.col("pix_row") + F.col("_s.r")).alias("pix_row"), (F.col("pix_col") + F.col("_s.c")).alias("pix_col"), F.col("label").alias("other"))
-    edges = rim.join(to, PIX).where(F.col("label") != F.col("other")).select(F.col("label").alias("src"), F.col("other").alias("dst"))
+    edges = rim.join(to.hint("merge"), PIX).where(F.col("label") != F.col("other")).select(F.col("label").alias("src"), F.col("other").alias("dst"))
     comp = connected_components(edges).select(
         F.col("node.scene_id").alias("scene_id"), F.col("node.row").alias("_lr"), F.col("node.col").alias("_lc"),
         F.col("component.row").alias("_cr"), F.col("component.col").alias("_cc"),

@@ -68,20 +68,21 @@ def _snap(x):
 def straight_segments(edge_px: DataFrame, votes: int = 140, min_length: float = 6.0, max_gap: float = 2.0) -> DataFrame:
     """Segments on lines that enough edge pixels agree on (1 pixel, 1 degree bins).
 
-    Votes are counted map-side. Pixels of accepted lines are then ordered along each line and cut
-    where consecutive pixels are further apart than the gap; a line holds at most one image diagonal.
+    Each pixel goes once to each of the lines it may lie on, and a line's pixels come together in order: they are counted, and those of accepted lines cut where
+    consecutive pixels are further apart than the gap. A line holds at most one image diagonal. No side of a join is there to be broadcast.
     """
-    # few pixels of a scene are edges; they are read by the vote and by the segments, and each becomes 180 rows, which their size does not show
+    # few pixels of a scene are edges, and each becomes 180 rows, which their size does not show
     edge_px = cut_lineage(edge_px).repartition(shuffle_partitions(edge_px.sparkSession), *PIX)
     angles = edge_px.withColumn("theta", F.explode(F.sequence(F.lit(0), F.lit(179))))
     rad = F.radians(F.col("theta").cast("double"))
     rho = _snap(F.col("pix_col") * F.cos(rad) + F.col("pix_row") * F.sin(rad))
-    voted = angles.withColumn("rho", rho)
-    lines = voted.groupBy("scene_id", "rho", "theta").agg(F.count(F.lit(1)).alias("votes")).where(F.col("votes") >= votes)
+    line = ["scene_id", "rho", "theta"]
+    voted = angles.withColumn("rho", rho).where("scene_id IS NOT NULL AND rho IS NOT NULL").repartition(shuffle_partitions(edge_px.sparkSession), *line)
     along = F.round(F.col("pix_row") * F.cos(rad) - F.col("pix_col") * F.sin(rad), 6)
-    on = voted.join(lines, ["scene_id", "rho", "theta"]).withColumn("pos", along)
-    w = Window.partitionBy("scene_id", "rho", "theta").orderBy("pos", "pix_row", "pix_col")
-    cut = F.coalesce(F.col("pos") - F.lag("pos").over(w) > max_gap, F.lit(True)).cast("int")
+    w = Window.partitionBy(*line).orderBy("pos", "pix_row", "pix_col")
+    whole = w.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
+    on = voted.withColumn("pos", along).withColumns({"votes": F.count(F.lit(1)).over(whole), "_last": F.lag("pos").over(w)}).where(F.col("votes") >= votes)
+    cut = F.coalesce(F.col("pos") - F.col("_last") > max_gap, F.lit(True)).cast("int")
     parts = on.withColumn("_cut", cut).withColumn("segment", F.sum("_cut").over(w.rowsBetween(Window.unboundedPreceding, 0)))
     at = lambda f: f(F.struct("pos", "pix_row", "pix_col"))
     seg = parts.groupBy("scene_id", "rho", "theta", "votes", "segment").agg(

@@ -16,6 +16,7 @@ from terraloom.operators import pyramid as py
 from terraloom.operators import quantiles as qn
 from terraloom.operators import reference_areas as ra
 from terraloom.operators import regions as rg
+from terraloom.operators import shapes as sh
 from terraloom.operators import spatial as sp
 
 POINT = "id long, lon double, lat double"
@@ -354,3 +355,35 @@ def test_pair_scores_read_no_texts_per_pair(spark):
     assert len(rows) > 500 and set(rows[0].a.asDict()) == set(sp.PAIR_COLUMNS)
     for r in rows:
         assert math.isclose(r.score, min(15.0, score(r.a, r.b, r.distance)))
+
+
+def broadcast_joins(df):
+    """The lines of the plan that join a broadcast side."""
+    return [line for line in df._jdf.queryExecution().sparkPlan().toString().split("\n") if "BroadcastHashJoin" in line]
+
+
+def from_file(df, folder):
+    """``df`` read from a file, whose size is what Spark knows of it."""
+    df.coalesce(1).write.parquet(str(folder))
+    return df.sparkSession.read.parquet(str(folder))
+
+
+def test_line_votes_are_not_broadcast(spark, tmp_path):
+    """An edge pixel becomes 180 rows, which no size estimate sees; repeated pixels vote twice, pixels without a scene do not."""
+    px = [(0, r, r) for r in range(20)] + [(0, 30, c) for c in range(25) if c != 12] + [(0, 3, 40), (0, 3, 40), (1, 5, 5), (None, 1, 1)] + [(None, 9, c) for c in range(30)]
+    out = sh.straight_segments(from_file(spark.createDataFrame(px, "scene_id long, pix_row int, pix_col int"), tmp_path / "px"), votes=14, max_gap=1.5)
+    assert not broadcast_joins(out)
+    want, lines = set(), {}
+    for s, r, c in px:
+        for theta in range(180):
+            a = math.radians(theta)
+            if s is not None:
+                lines.setdefault((s, math.floor(c * math.cos(a) + r * math.sin(a) + 0.5 + 1e-9), theta), []).append((round(r * math.cos(a) - c * math.sin(a), 6), r, c))
+    for (s, rho, theta), on in lines.items():
+        on.sort()
+        cuts = [0] + [i for i in range(1, len(on)) if on[i][0] - on[i - 1][0] > 1.5] + [len(on)]
+        for k, (i, j) in enumerate(zip(cuts, cuts[1:]), 1):
+            if len(on) >= 14 and math.hypot(on[j - 1][1] - on[i][1], on[j - 1][2] - on[i][2]) >= 6:
+                want.add((s, rho, theta, len(on), k, j - i, on[i][2], on[i][1], on[j - 1][2], on[j - 1][1]))
+    got = [tuple(r)[:10] for r in out.collect()]
+    assert len(got) == len(set(got)) and set(got) == want and {(30, 90), (0, 135)} <= {w[1:3] for w in want}
