@@ -55,12 +55,13 @@ def scene_settings(pixels: DataFrame, zones: DataFrame | None = None) -> DataFra
 def circle_edges(levels: DataFrame, settings: DataFrame) -> DataFrame:
     """Edge pixels (PIX, ux, uy) of the 8-bit level, with the thresholds of each scene."""
     limits = settings.select("scene_id", "edge_low", "edge_high")
-    return canny(levels.join(limits, "scene_id"), "level", "edge_low", "edge_high", blur=0.8, direction=DIRECTION)
+    # settings are one row per scene; of pixels, Spark only knows the size of the files they come from, and might broadcast them instead
+    return canny(levels.join(F.broadcast(limits), "scene_id"), "level", "edge_low", "edge_high", blur=0.8, direction=DIRECTION)
 
 
 def gradient_votes(edge_px: DataFrame, settings: DataFrame) -> DataFrame:
     """(scene_id, cell_row, cell_col, radius), a row per vote. ``edge_px`` has PIX and the unit gradient ux, uy."""
-    px = edge_px.join(settings, "scene_id").where("radius_min <= radius_max AND ux IS NOT NULL AND uy IS NOT NULL")
+    px = edge_px.join(F.broadcast(settings), "scene_id").where("radius_min <= radius_max AND ux IS NOT NULL AND uy IS NOT NULL")
     px = px.select(*PIX, "row_end", "col_end", "radius_min", "radius_max", "ux", "uy")
     spread = px.withColumn("radius", F.explode(F.sequence("radius_min", "radius_max"))).withColumn("_s", F.explode(F.array(F.lit(-1.0), F.lit(1.0))))
     x = F.col("pix_col") + F.col("_s") * F.col("radius") * F.col("ux")
@@ -82,7 +83,7 @@ def centre_candidates(votes: DataFrame, least: int = VOTES) -> DataFrame:
         (F.col("votes") * 2 + F.when(F.col("_d.r") + F.col("_d.c") > 0, 1).otherwise(0)).alias("rival"),
     )
     rival = beside.groupBy(*_AT).agg(F.max("rival").alias("rival"))
-    return strong.join(rival, _AT, "left").where(F.col("votes") * 2 >= F.coalesce("rival", F.lit(0))).drop("rival")
+    return strong.join(rival.hint("merge"), _AT, "left").where(F.col("votes") * 2 >= F.coalesce("rival", F.lit(0))).drop("rival")
 
 
 def distance_counts(centres: DataFrame, edge_px: DataFrame, settings: DataFrame) -> DataFrame:
@@ -92,7 +93,7 @@ def distance_counts(centres: DataFrame, edge_px: DataFrame, settings: DataFrame)
     span = lambda c: F.explode(F.sequence(F.floor((F.col(c) - F.col("radius_max") - 2) / MEET), F.floor((F.col(c) + F.col("radius_max") + 2) / MEET)))
     squares = own.withColumn("_sr", span("_y")).withColumn("_sc", span("_x"))
     edge = edge_px.select(*PIX, F.floor(F.col("pix_row") / MEET).alias("_sr"), F.floor(F.col("pix_col") / MEET).alias("_sc"))
-    met = salted_join(edge, squares, ["scene_id", "_sr", "_sc"], "pix_row")
+    met = salted_join(edge, squares, ["scene_id", "_sr", "_sc"], "pix_row", dealt=True)
     dx, dy = F.col("pix_col") - F.col("_x"), F.col("pix_row") - F.col("_y")
     met = met.withColumn("radius", F.floor(F.sqrt(dx * dx + dy * dy) + 0.5).cast("int"))
     met = met.where(F.col("radius").between(F.col("radius_min") - 1, F.col("radius_max") + 1))
@@ -153,7 +154,7 @@ def validated_circles(circles: DataFrame, edge_px: DataFrame, settings: DataFram
         *circles.columns, "row_end", "col_end", (F.col("centre_row") + F.col("_y")).alias("pix_row"), (F.col("centre_col") + F.col("_x")).alias("pix_col")
     )
     ring = ring.where(F.col("pix_row").between(0, F.col("row_end")) & F.col("pix_col").between(0, F.col("col_end"))).drop("row_end", "col_end")
-    hits = ring.join(edge_px.select(*PIX, F.lit(1).alias("_e")), PIX, "left")
+    hits = ring.join(edge_px.select(*PIX, F.lit(1).alias("_e")).hint("merge"), PIX, "left")
     strength = hits.groupBy(*circles.columns).agg((F.count("_e") / F.count(F.lit(1))).alias("edge_strength"))
     metres = r * PIXEL_M
     out = strength.withColumn("size_coherence", F.when(metres >= 60, F.least(F.lit(1.0), metres / 100)).otherwise(0.5)).withColumn("circularity", ring_circularity(r))

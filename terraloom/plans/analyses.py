@@ -108,7 +108,7 @@ def terra_preta_regions(pixels: DataFrame, preset: str = "archaeological") -> Da
     """Scored terra-preta regions: mask, clean, label, measure, filter, score."""
     mask = masks.fast_mask_with_red_edge() if preset == "fast" else masks.enhanced_mask(preset)
     lab = cut_lineage(rg.clean_regions(pixels, mask, TERRA_CHAIN, 8 if preset == "fast" else 4))
-    measured = lab.join(with_indices(pixels, BANDS_USED), st.PIX)
+    measured = lab.join(with_indices(pixels, BANDS_USED).hint("merge"), st.PIX)  # a table of pixels is never broadcast: its size in the files says little about it
     stats = rg.region_stats(measured, BANDS_USED).join(rg.perimeters(lab), rg.COMP)
     conf = S.region_confidence_enhanced(F.col("mean_terra_preta_enhanced"), F.col("mean_ndvi"), F.col("mean_ndre1"), F.col("area_m2"))
     scored = rg.enhanced_prefilter(stats).withColumn("confidence", conf)
@@ -119,7 +119,7 @@ def crop_mark_regions(pixels: DataFrame, threshold: Column) -> DataFrame:
     """Positive and negative crop marks as scored regions, with their scene's load class."""
     out = None
     for kind, mask in (("positive", masks.crop_positive(threshold)), ("negative", masks.crop_negative(threshold))):
-        lab = rg.clean_regions(pixels, mask, CROP_CHAIN, 4).join(with_indices(pixels, ["crop_mark"]), st.PIX)
+        lab = rg.clean_regions(pixels, mask, CROP_CHAIN, 4).join(with_indices(pixels, ["crop_mark"]).hint("merge"), st.PIX)
         stats = rg.component_load(rg.region_stats(lab, ["crop_mark"]))
         conf = S.crop_confidence(F.col("area_m2"), F.col("mean_crop_mark"))
         marks = rg.crop_prefilter(stats).withColumn("confidence", conf).where("confidence >= 0.3").withColumn("det_type", F.lit(f"crop_mark_{kind}"))
@@ -173,7 +173,7 @@ def geometric_shapes(pixels: DataFrame, zones: DataFrame | None = None, line_vot
 def standard_terra_preta_regions(pixels: DataFrame, preset: str = "archaeological") -> DataFrame:
     """Terra preta by the plain index: mask, clean, label, measure, filter."""
     p = PRESETS[preset]
-    lab = rg.clean_regions(pixels, masks.standard_mask(), TERRA_CHAIN, 4).join(with_indices(pixels, BANDS_USED), st.PIX)
+    lab = rg.clean_regions(pixels, masks.standard_mask(), TERRA_CHAIN, 4).join(with_indices(pixels, BANDS_USED).hint("merge"), st.PIX)
     return rg.standard_filter(rg.region_stats(lab, BANDS_USED), p["min_area_m2"], p["max_area_m2"])
 
 

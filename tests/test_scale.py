@@ -7,6 +7,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
+from terraloom.operators import circles as ci
 from terraloom.operators import contours as ct
 from terraloom.operators import coordinates as cs
 from terraloom.operators import density as de
@@ -18,6 +19,7 @@ from terraloom.operators import reference_areas as ra
 from terraloom.operators import regions as rg
 from terraloom.operators import shapes as sh
 from terraloom.operators import spatial as sp
+from terraloom.plans import analyses as an
 
 POINT = "id long, lon double, lat double"
 
@@ -387,3 +389,16 @@ def test_line_votes_are_not_broadcast(spark, tmp_path):
                 want.add((s, rho, theta, len(on), k, j - i, on[i][2], on[i][1], on[j - 1][2], on[j - 1][1]))
     got = [tuple(r)[:10] for r in out.collect()]
     assert len(got) == len(set(got)) and set(got) == want and {(30, 90), (0, 135)} <= {w[1:3] for w in want}
+
+
+def test_pixels_are_not_broadcast(spark, tmp_path):
+    """Of pixels, Spark only knows the size of the files they are made from, so they would pass through the driver."""
+    px = from_file(spark.range(900).select(F.lit(0).cast("long").alias("scene_id"), F.floor(F.col("id") / 30).cast("int").alias("pix_row"), (F.col("id") % 30).cast("int").alias("pix_col")), tmp_path / "px")
+    settings = ci.scene_settings(px)
+    centres = spark.createDataFrame([(0, 12, 12, 40)], "scene_id long, cell_row int, cell_col int, votes long")
+    circle = spark.createDataFrame([(0, 15, 15, 8, 40, 40)], "scene_id long, centre_row int, centre_col int, radius int, votes long, support long")
+    bands = px.select("*", *[(F.col("pix_row") / 400).alias(b) for b in ("blue", "green", "red", "red_edge_1", "red_edge_3", "nir", "swir1", "swir2")])
+    votes = ci.gradient_votes(px.select("*", F.lit(1.0).alias("ux"), F.lit(0.0).alias("uy")), settings)
+    assert [line for line in broadcast_joins(votes) if "BuildRight" in line] == broadcast_joins(votes) != []  # the settings, one row per scene
+    for df in (ci.distance_counts(centres, px, settings), ci.validated_circles(circle, px, settings), an.standard_terra_preta_regions(bands)):
+        assert not [line for line in broadcast_joins(df) if "pix_row" in line or "_salt" in line]
