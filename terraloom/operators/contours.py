@@ -1,17 +1,18 @@
 """Outlines of pixel regions: ordered outer boundary, polygon approximation, hull and smallest enclosing box.
 
-A region is measured in one task, which needs a bound on its size: a region of n pixels is traced on square cells of ceil(n / ``EXACT_PX``) pixels. Regions of up to EXACT_PX pixels are traced pixel by
-pixel; a larger one covers at most about 4 * EXACT_PX cells, as it is connected, and its outline is off by a cell, less than a hundredth of the tolerance that its approximation has anyway. Nothing is left out.
+Regions of every size are traced pixel by pixel, by one rule. Only pixels that lack one of their four neighbours can be on an outline, so only those go to the task that traces a region: of a filled
+region of n pixels some 4 * sqrt(n). The task holds some 150 bytes for each, in arrays. A caller that needs a bound on thin regions of many million pixels can ask for larger cells (``exact_px``).
 Coordinates are pixel centres, (col, row).
 """
 
 from __future__ import annotations
 
 import math
+from array import array
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from terraloom.operators.regions import COMP
@@ -21,8 +22,6 @@ from terraloom.runtime import salted_join, shuffle_partitions
 _STEPS = [(0, 1), (1, 1), (1, 0), (1, -1), (0, -1), (-1, -1), (-1, 0), (-1, 1)]
 #: A vertex closer to the chord than this share of the perimeter is left out of the approximation.
 APPROX = 0.02
-#: Pixels of the largest region that is traced pixel by pixel.
-EXACT_PX = 50_000
 
 
 def outer_contour(pixels: set[tuple[int, int]], start: tuple[int, int]) -> list[tuple[int, int]]:
@@ -30,17 +29,32 @@ def outer_contour(pixels: set[tuple[int, int]], start: tuple[int, int]) -> list[
 
     A pixel passed twice, as on a line, is listed twice. Following keeps the outside on the left hand: after a step the search goes on two directions back.
     """
-    out, at, look, first = [start], start, 5, None
+    points = sorted(pixels)
+    row, col = np.array(points, np.int64).T
+    return [points[i] for i in contour_positions(row, col, points.index(start))]
+
+
+def contour_positions(row: np.ndarray, col: np.ndarray, start: int = 0) -> np.ndarray:
+    """``outer_contour`` of different pixels that come in raster order, as positions in them. Pixels with all four neighbours may be left out: the search never gets to them."""
+    n, wide = len(row), int(col.max() - col.min()) + 3
+    key = (row - row[0]) * wide + (col - col.min() + 1)
+    beside = np.empty((n, 8), np.int32)  # the position of each neighbour, or -1
+    for d, (r, c) in enumerate(_STEPS):
+        to = key + (r * wide + c)
+        at = np.minimum(np.searchsorted(key, to), n - 1)
+        beside[:, d] = np.where(key[at] == to, at, -1)
+    beside = memoryview(beside.reshape(-1))
+    out, at, look, first = array("i", [start]), start, 5, None
     while True:
         for k in range(8):
             d = (look + k) % 8
-            to = (at[0] + _STEPS[d][0], at[1] + _STEPS[d][1])
-            if to in pixels:
+            to = beside[8 * at + d]
+            if to >= 0:
                 break
         else:
-            return out  # a single pixel
+            return np.array(out)  # a single pixel
         if at == start and d == first:
-            return out[:-1]
+            return np.array(out)[:-1]
         first = d if first is None else first
         out.append(to)
         at, look = to, (d + 6) % 8
@@ -86,7 +100,11 @@ def approximated(x: np.ndarray, y: np.ndarray, tolerance: float) -> list[int]:
 
 def convex_hull(x: np.ndarray, y: np.ndarray) -> np.ndarray:
     """Hull vertices (n, 2) in counter-clockwise order, without points on edges."""
-    points = sorted(set(zip(x.tolist(), y.tolist())))
+    order = np.lexsort((y, x))
+    x, y = x[order], y[order]
+    turn = x[1:] != x[:-1]
+    ends = np.concatenate([[True], turn]) | np.concatenate([turn, [True]])  # of points above each other, the first and the last
+    points = sorted(set(zip(x[ends].tolist(), y[ends].tolist())))
     if len(points) < 3:
         return np.array(points, float)
 
@@ -143,19 +161,32 @@ _NAMES = [c.split()[0] for c in _OUTLINE.split(", ")]
 _TYPES = [{"long": pa.int64(), "int": pa.int32(), "double": pa.float64()}[c.split()[1]] for c in _OUTLINE.split(", ")]
 
 
-def outlines(region_px: DataFrame, min_px: int = 1, approx: float = APPROX, exact_px: int = EXACT_PX) -> DataFrame:
-    """One row per region (8-connected, keyed by COMP) of at least ``min_px`` pixels: boundary polygon, vertices of its approximation, smallest box."""
+def _on_border(cells: DataFrame) -> DataFrame:
+    """The cells (COMP, r, c, ...) of regions that lack one of their four neighbours; rows are distinct."""
+    lacks = lambda same, at: F.coalesce((F.lag(at).over(w(same, at)) != F.col(at) - 1) | (F.lead(at).over(w(same, at)) != F.col(at) + 1), F.lit(True))
+    w = lambda same, at: Window.partitionBy(*COMP, same).orderBy(at)
+    marked = cells.withColumn("_h", lacks("r", "c")).withColumn("_v", lacks("c", "r"))
+    return marked.where("_h OR _v").drop("_h", "_v")
+
+
+def outlines(region_px: DataFrame, min_px: int = 1, approx: float = APPROX, exact_px: int | None = None) -> DataFrame:
+    """One row per region (8-connected, keyed by COMP) of at least ``min_px`` pixels: boundary polygon, vertices of its approximation, smallest box.
+
+    With ``exact_px``, a region of n pixels is traced on square cells of ceil(n / exact_px) pixels instead, which moves its outline by a cell.
+    """
     sizes = region_px.groupBy(*COMP).agg(F.count(F.lit(1)).alias("n_px")).where(F.col("n_px") >= min_px)
     sized = salted_join(region_px.select(*COMP, "pix_row", "pix_col"), sizes, COMP, "pix_row")
-    cell = F.ceil(F.col("n_px") / exact_px).cast("int")
-    cells = sized.select(*COMP, "n_px", cell.alias("cell"), F.floor(F.col("pix_row") / cell).alias("r"), F.floor(F.col("pix_col") / cell).alias("c")).distinct()
+    cell = F.lit(1) if exact_px is None else F.ceil(F.col("n_px") / exact_px).cast("int")
+    cells = _on_border(sized.select(*COMP, "n_px", cell.alias("cell"), F.floor(F.col("pix_row") / cell).alias("r"), F.floor(F.col("pix_col") / cell).alias("c")).distinct())
 
     def measure(px):
         side = float(px["cell"][0].as_py())
         middle = (side - 1) / 2
-        pixels = set(zip(px["r"].to_numpy().tolist(), px["c"].to_numpy().tolist()))
-        ring = np.array(outer_contour(pixels, min(pixels)), float) * side + middle
-        x, y = ring[:, 1], ring[:, 0]
+        row, col = px["r"].to_numpy(), px["c"].to_numpy()
+        order = np.lexsort((col, row))
+        row, col = row[order], col[order]
+        ring = contour_positions(row, col)
+        x, y = col[ring] * side + middle, row[ring] * side + middle
         area, perimeter, cx, cy = polygon_measures(x, y)
         vertices = len(approximated(x, y, approx * perimeter))
         length, width, angle, _, _ = smallest_box(convex_hull(x, y))

@@ -176,3 +176,26 @@ def test_scene_families(spark):
     assert disc_found and abs(disc_found[0].radius_m - 200) <= 15 and abs(disc_found[0].lon - (-60.0 + 45.5 * 0.0001)) < 2e-4
     geometric = [r for r in got if r.det_type in ("circle", "line", "rectangle")]
     assert sum(not r.over_quota for r in geometric) == 1 and sum(r.over_quota for r in geometric) == len(geometric) - 1
+
+
+def test_large_regions_are_traced_like_small_ones(spark):
+    """No size changes the rule, and the inside of a region does not come to the task that traces it."""
+    width, height = 320, 200  # more pixels than the former limit of 50 000
+    filled = [(0, r, c, 0, 0) for r in range(height) for c in range(width) if not (r < 3 and c > 200)]
+    px = spark.createDataFrame(filled, "scene_id long, pix_row int, pix_col int, comp_row int, comp_col int")
+    got = co.outlines(px).first()
+    ring = np.array(co.outer_contour({(r, c) for _, r, c, _, _ in filled}, (0, 0)), float)
+    area, perimeter, cx, cy = co.polygon_measures(ring[:, 1], ring[:, 0])
+    assert (got.n_px, got.n_steps) == (len(filled), len(ring))
+    assert (got.area_px, got.perimeter_px, got.centre_col, got.centre_row) == pytest.approx((area, perimeter, cx, cy))
+    assert (got.length_px, got.width_px, got.angle_degrees) == (width - 1, height - 1, 0.0)
+    kept = co._on_border(px.select(*rg.COMP, F.col("pix_row").alias("r"), F.col("pix_col").alias("c")))
+    assert kept.count() == len({tuple(p) for p in ring.tolist()}) < 1100
+
+
+def test_contour_needs_only_the_border():
+    r = random.Random(5)
+    for _ in range(200):
+        for own in components((i, j) for i in range(14) for j in range(14) if r.random() < 0.75):
+            border = {(a, b) for a, b in own if not {(a + 1, b), (a - 1, b), (a, b + 1), (a, b - 1)} <= own}
+            assert co.outer_contour(own, min(own)) == co.outer_contour(border, min(own))
