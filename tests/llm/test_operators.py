@@ -435,3 +435,54 @@ def test_rare_characters_have_their_own_probability(spark):
     probe = spark.createDataFrame([(1, rest[0]), (2, rest[-1]), (3, "\U0001F600")], "doc_id int, text string")
     nll = {r.doc_id: r._nll for r in quality.scored(probe, model).collect()}
     assert nll[1] < nll[2] < nll[3]
+
+
+def test_rare_characters_count_in_their_contexts(spark):
+    """More letters than fit the table of common ones: each has n-grams of its own, as a direct Kneser-Ney over all characters says."""
+    from collections import Counter, defaultdict
+
+    r = random.Random(4)
+    letters = [chr(0x4E00 + i) for i in range(90)] + ["\U00020000"]
+    follow = {c: r.sample(letters, 3) for c in letters}
+
+    def walk(n):
+        out = [r.choice(letters)]
+        while len(out) < n:
+            out.append(r.choice(follow[out[-1]]))
+        return "".join(out)
+
+    body = [walk(120) for _ in range(40)]
+    model = quality.fit_all(spark.createDataFrame([(t,) for t in body], "text string").repartition(3))
+    share = model[0].value[1]
+    grams = Counter()
+    for t in body:
+        line = "\0" * 3 + t + "\0"
+        grams.update(line[i: i + 4] for i in range(len(line) - 3))
+    levels, now = [], grams
+    for order in (4, 3, 2, 1):
+        now = now if order == 4 else Counter(g[1:] for g in now)
+        k = [max(sum(v == i for v in now.values()), 1) for i in (1, 2, 3, 4)]
+        y = k[0] / (k[0] + 2 * k[1])
+        cut = [min(max(i - (i + 1) * y * k[i] / k[i - 1], 0.05), i - 0.05) for i in (1, 2, 3)]
+        total, left = defaultdict(float), defaultdict(float)
+        for g, n in now.items():
+            total[g[:-1]] += n
+            left[g[:-1]] += cut[min(n, 3) - 1]
+        levels.append({"gram": {g: (n - cut[min(n, 3) - 1]) / total[g[:-1]] for g, n in now.items()}, "left": {c: left[c] / total[c] for c in total}})
+
+    def nll(t):
+        line, out = "\0" * 3 + t + "\0", 0.0
+        for i in range(len(line) - 3):
+            p = np.exp(float(share[ord(line[i + 3])])) / quality.SYMBOLS
+            for order, level in enumerate(levels[::-1], 1):
+                g = line[i + 4 - order: i + 4]
+                p = level["gram"].get(g, 0.0) + level["left"].get(g[:-1], 1.0) * p
+            out -= np.log(p)
+        return out
+
+    rare = [c for c in letters if model[0].value[0][ord(c)] >= quality.SYMBOLS]
+    assert len(rare) > 20
+    probes = [walk(80), "".join(r.choice(letters) for _ in range(80)), "x" + rare[0] + "\U0001F600" + rare[1] + follow[rare[1]][0], "".join(rare), ""]
+    got = {x.k: x._nll for x in quality.scored(spark.createDataFrame(list(enumerate(probes)), "k int, text string"), model).collect()}
+    assert [got[k] for k in range(len(probes))] == pytest.approx([nll(t) for t in probes], rel=2e-3)
+    assert got[0] < 0.5 * got[1]  # what follows a rare character is known
